@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id as lid
 from . import license_scan as lic
+from . import packing
 from . import quality_rules as quality
 from . import shuffle_shards as shards
 from .common import read_table
@@ -22,9 +24,17 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents")).drop("rule")
 
 
+def op6_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lic.license_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op5_quality_cascade, op8_license_rules)}
+def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lid.identify_language(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language)}
 ORACLES: dict[str, str] = {"op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}
