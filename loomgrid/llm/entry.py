@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id as lid
 from . import license_scan as lic
+from . import near_duplicates as near
 from . import packing
 from . import quality_rules as quality
 from . import shuffle_shards as shards
@@ -20,6 +21,10 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents")).drop("rule")
 
@@ -36,5 +41,5 @@ def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lid.identify_language(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language)}
-ORACLES: dict[str, str] = {"op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language)}
+ORACLES: dict[str, str] = {"op3_lsh_forest": near.ORACLE, "op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}
