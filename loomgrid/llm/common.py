@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed at a time; bounds the memory of `word_hashes`.
 BLOCK_BYTES = 1 << 20
-#: Rows of an Arrow batch sent to Python; texts may be long.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch sent to Python, about; texts may be long.
+BATCH_BYTES = 4 << 20
 
 U64 = np.uint64
 
@@ -55,7 +55,7 @@ def discard(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker holds few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

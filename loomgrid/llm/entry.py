@@ -11,6 +11,7 @@ from . import language_id as lid
 from . import license_scan as lic
 from . import near_duplicates as near
 from . import packing
+from . import private_data as private
 from . import quality_rules as quality
 from . import shuffle_shards as shards
 from .common import read_table
@@ -41,5 +42,9 @@ def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lid.identify_language(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language)}
+def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_data(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language, op10_disclosure_pii)}
 ORACLES: dict[str, str] = {"op3_lsh_forest": near.ORACLE, "op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}

@@ -194,6 +194,14 @@ def predict_language(docs: DataFrame, model: EcocModel, keep: list[str]) -> Data
     return ready.mapInArrow(predict, kind)
 
 
+def filter_language(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """The documents whose language is told clearly, with their own columns; learns from all labelled rows."""
+    model = fit_language_id(docs, per_lang)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = predict_language(whole, model, ["row"])
+    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("row.*")
+
+
 def identify_language(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every document; learns from the rows that are not held out."""
     out = docs.select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
