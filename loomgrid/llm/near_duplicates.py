@@ -9,10 +9,11 @@ again one level up.
 Inside a region a leader (the class nearest to the region's most usual signature) is compared by a small sketch
 with all classes not yet taken; those that look linked are taken, and the next leader is chosen from the rest. So
 a region of g copies yields about g pairs, not g * g. Pairs are then decided on the full sets: first each
-class's best pair, then all pairs between components that are still apart. At last every class that came near a
-leader (sketch at least FLAG) and is still in another component is compared with all members of its regions. By
-the triangle inequality of the Jaccard distance no link that the forest's regions hold is lost by this, but for
-sketches that are off by four standard deviations.
+class's best pair, then all pairs between components that are still apart. A class near a leader (FLAG) that it
+does not take is paired with the nearest of those it took: by the triangle inequality of the Jaccard distance,
+whoever is linked to one of them is near the leader. At last, where a pair of components had a pair that was not
+confirmed, the classes of the smaller one are compared with all members of their regions. So no link that the
+forest's regions hold is lost, but for sketches that are off by four standard deviations.
 
 Two sets of similarity 0.8 share no region with a probability of (1 - 0.8**DEPTH)**TREES, 3e-5.
 
@@ -120,29 +121,41 @@ def _entries(classes: DataFrame, wide: bool) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(spread, "region long, rep long, n long, sketch binary" if wide else "region long")
 
 
-def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs (leader, member, matches) of groups of classes (gid sorted), and which rows led others."""
+def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (class, class, matches) to decide in groups of classes (gid sorted), and which rows led others."""
     m = len(gid)
     free = np.ones(m, bool)
     led = np.zeros(m, bool)
     out = []
     rows = np.arange(m)
     start = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
-    big = np.diff(np.append(start, m)) > _SMALL
+    stop = np.append(start, m)[1:]
+    big = stop - start > _SMALL
+
+    def sizes_allow(x: np.ndarray, y: np.ndarray, tenths: int) -> np.ndarray:
+        return 10 * np.minimum(n[x], n[y]) >= tenths * np.maximum(n[x], n[y])
 
     def take(rows: np.ndarray, pivot: np.ndarray) -> None:
         """Compare the free rows given with the pivot of each."""
         same = (sk[rows] == sk[pivot]).sum(axis=1)
-        less, more = np.minimum(n[rows], n[pivot]), np.maximum(n[rows], n[pivot])
-        near = (same >= FLAG) & (10 * less >= 6 * more) & (rows != pivot)
-        decide = near & (same >= DECIDE) & (10 * less >= 8 * more)
+        decide = (same >= DECIDE) & sizes_allow(rows, pivot, 8) & (rows != pivot)
         taken = decide & (same >= LOOKS)
-        out.append(np.stack([rep[pivot[near]], rep[rows[near]], same[near], decide[near].astype(np.int64)]))
+        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide]]))
         free[rows[taken]] = False
         free[pivot] = False
         led[pivot[decide]] = True
-
-    for s, e in zip(start[big], np.append(start, m)[1:][big]):
+        near = (same >= FLAG) & ~taken & sizes_allow(rows, pivot, 6) & (rows != pivot) & np.isin(pivot, pivot[taken])
+        for p in np.unique(pivot[near]):  # what is near a leader but not taken may be linked to one that it took
+            mine, others = rows[taken & (pivot == p)], rows[near & (pivot == p)]
+            for i in range(0, len(others), 64):
+                some = others[i : i + 64]
+                match = (sk[some][:, None, :] == sk[mine][None]).sum(axis=2) * sizes_allow(some[:, None], mine[None], 8)
+                best = match.argmax(axis=1)
+                top = match[np.arange(len(some)), best]
+                good = top >= DECIDE
+                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good]]))
+
+    for s, e in zip(start[big], stop[big]):
         while len(left := rows[s:e][free[s:e]]):
             usual = np.array([np.bincount(c, minlength=256).argmax() for c in sk[left].T], np.uint8)
             pivot = left[np.argmax((sk[left] == usual).sum(axis=1))]
@@ -150,7 +163,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
     while len(left := rows[free]):
         first = np.concatenate([[True], gid[left][1:] != gid[left][:-1]])
         take(left, left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))])
-    return out, led
+    return np.concatenate(out, axis=1), led
 
 
 def _whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -174,7 +187,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("rep").to_numpy(), t.column("n").to_numpy(), sk
 
 
-_PAIRS = "a long, b long, same long, decide boolean, region long, n long, sketch binary"
+_PAIRS = "a long, b long, same long, region long, n long, sketch binary"
 
 
 def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
@@ -192,14 +205,13 @@ def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
                 continue
             t = t.take(pa.array(at))
             rep, n, sk = _columns(t)
-            out, led = _lead(gid[at], rep, n, sk)
-            a, b, same, decide = np.concatenate(out, axis=1)
+            (a, b, same), led = _lead(gid[at], rep, n, sk)
             none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), pa.array(decide.astype(bool)), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.binary())], ["a", "b", "same", "decide", "region", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.binary())], ["a", "b", "same", "region", "n", "sketch"])
             lead = t.take(pa.array(np.flatnonzero(led & split[at]))).combine_chunks()
             if k := lead.num_rows:
                 one = lambda c: lead.column(c).combine_chunks()
-                yield pa.RecordBatch.from_arrays([one("rep"), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()), one("region"), one("n"), one("sketch")], ["a", "b", "same", "decide", "region", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([one("rep"), none(k, pa.int64()), none(k, pa.int64()), one("region"), one("n"), one("sketch")], ["a", "b", "same", "region", "n", "sketch"])
 
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find, _PAIRS)
 
@@ -229,7 +241,19 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs whose ends are in different components."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return out.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+    return out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
+
+
+def _open_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes that may yet have links to another component: the led ends of pairs that were not confirmed and lie in
+    different components, and all of the smaller component of each such pair."""
+    apart = materialise(_apart(pairs, labels).select("a", "b", "c_a", "c_b"))
+    size = labels.groupBy("component").agg(F.count("*").alias("size"))
+    of = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
+    both = apart.select("c_a", "c_b").distinct().join(of("a"), "c_a", "left").join(of("b"), "c_b", "left")
+    smaller = both.select(F.when(F.coalesce("s_a", F.lit(1)) <= F.coalesce("s_b", F.lit(1)), F.col("c_a")).otherwise(F.col("c_b")).alias("component")).distinct()
+    members = labels.join(smaller, "component", "left_semi").select(F.col("node").alias("rep"))
+    return members.unionAll(smaller.select(F.col("component").alias("rep"))).unionAll(apart.select(F.col("b").alias("rep"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -246,10 +270,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     entries = _entries(classes, True).join(crowded, "region", "left")
     part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
     found = materialise(_find_pairs(entries.withColumns({"bucket": part, "split": F.col("parts").isNotNull()}).drop("parts"), parts))
-    pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same", "decide")
+    pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same")
     leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
     again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(False)}), parts)
-    pairs = materialise(pairs.unionByName(again.select("a", "b", "same", "decide")).where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"), F.max("decide").alias("decide")))
+    sure = materialise(pairs.unionByName(again.select("a", "b", "same")).where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same")))
 
     shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
     clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -258,7 +282,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         ends = some.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         return materialise(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi"))
 
-    sure = pairs.where("decide")
     texts = texts_of(sure)
     best = sure.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     links = materialise(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
@@ -267,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.count():
         links = links.unionByName(materialise(_decide(more, texts, k, percent)))
         labels = connected_components(links)
-    open_ends = materialise(_apart(pairs, labels).select(F.col("b").alias("rep")).distinct())
+    open_ends = materialise(_open_ends(sure, labels))
     if open_ends.count():
         extra = materialise(_apart(_ask(classes, open_ends, crowded, parts), labels).join(sure, ["a", "b"], "left_anti"))
         if extra.count():
