@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 ALPHA = 0.9
 #: Bits of the bitmap of words worth counting.
-BITMAP = 1 << 20
+BITMAP = 1 << 23
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 500_000
 
@@ -163,13 +163,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sent.value).astype(bool)
-        held: list[np.ndarray] = []
-
-        def hand_on() -> pa.RecordBatch:
-            term, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
-
+        terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches(it):
             h, first = word_hashes(*text_bytes(b.column("text")))
             h = h.astype(np.int64)
@@ -180,11 +174,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            held.append(h[new])
-            if sum(map(len, held)) > HELD_WORDS:
-                yield hand_on()
-        if held:
-            yield hand_on()
+            terms, where = np.unique(np.concatenate([terms, h[new]]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, np.ones(int(new.sum()), np.int64)]), len(terms)).astype(np.int64)
+            if len(terms) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
+                terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
 
     n_t = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     told = pairs.join(entities, "entity").join(n_t, "term")
