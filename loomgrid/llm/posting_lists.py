@@ -2,9 +2,9 @@
 
 Centroids are fitted on a bounded sample by k-means that splits what grows too large. Every vector is entered in
 the list of its nearest centroid and, if it lies near a boundary, in further lists: those whose centroid is at
-most (1 + SPREAD) times as far, unless a list already chosen is nearer to that centroid than the vector is. Centroids
-are searched by best-first walks on an in-memory graph that joins each centroid to its nearest others. A query
-reads the lists whose centroid is at most (1 + PRUNE) times as far as its nearest one, up to PROBES of them.
+most (1 + SPREAD) times as far, REPLICAS at most. Centroids are searched by best-first walks on an in-memory graph
+that joins each centroid to its nearest others. A query reads the lists whose centroid is at most `ratio` times
+as far as its nearest one; the ratio is fitted on the sample, so that queries find a share REACH of their neighbours.
 
 Equal vectors are one class with its smallest `k + 1` ids, so that a vector held by a third of all rows is
 compared once. Long lists are cut into parts that different tasks compare.
@@ -30,8 +30,9 @@ from .common import U64, batches, materialise, mix64, small_batches, text_bytes
 LIST, MOST_LISTS = 100, 16_384
 #: Rows of the sample that centroids are fitted on, for each centroid.
 SAMPLE = 24
-SPREAD, REPLICAS = 0.15, 6
-PRUNE, PROBES = 0.6, 96
+SPREAD, REPLICAS = 0.05, 3
+#: Queries of the sample that the pruning ratio is fitted with, and the share of their neighbours in the sample that it must reach.
+TRIALS, REACH = 256, 0.97
 LINKS = 24
 #: Entries of a list that one task compares.
 PART = 4096
@@ -80,6 +81,7 @@ class CentroidGraph:
             near[i : i + 1024] = np.argpartition(d, m - 1, axis=1)[:, :m] if m else 0
         far = (mix64(np.arange(k * 4, dtype=U64) + U64(99)) % U64(k)).astype(np.int32).reshape(k, 4)
         self.links = np.concatenate([near, far], 1)
+        self.ratio, self.width = 1.0, 1
         self.entry = (np.arange(min(k, 16)) * (k / min(k, 16))).astype(int)
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,24 +131,44 @@ class CentroidGraph:
     def entries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of all lists that vectors are entered in."""
         ids, dist = self.search(x, 4 * REPLICAS)
-        chosen = np.zeros(ids.shape, bool)
-        chosen[:, 0] = True
-        count = np.ones(len(x), int)
-        for j in range(1, ids.shape[1]):
-            ok = (ids[:, j] >= 0) & (dist[:, j] <= (1 + SPREAD) * np.maximum(dist[:, 0], self.scale)) & (count < REPLICAS)
-            for i in range(j):
-                apart = np.sqrt(((self.c[ids[:, i]] - self.c[ids[:, j]]) ** 2).sum(1)) if ok.any() else np.inf
-                ok &= ~(chosen[:, i] & (apart < dist[:, j]))
-            chosen[:, j] = ok
-            count += ok
-        row, j = np.nonzero(chosen)
+        near = (ids >= 0) & (dist <= (1 + SPREAD) * np.maximum(dist[:, :1], self.scale))
+        row, j = np.nonzero(near[:, :REPLICAS])
         return row, ids[row, j]
 
+    def fit_pruning(self, x: np.ndarray, k: int) -> None:
+        """Set the ratio, and the width of walks, by queries of the sample x and their k nearest in it."""
+        q = x[:TRIALS]
+        d = _squares(q, x)
+        d[np.arange(len(q)), np.arange(len(q))] = np.inf
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return
+        true = np.argpartition(d, k - 1, axis=1)[:, :k]
+        to = np.sqrt(_squares(q, self.c))
+        to /= np.maximum(to.min(axis=1, keepdims=True), self.scale)
+        row, at = self.entries(x)
+        own = np.full((len(x), REPLICAS), -1)
+        slot = np.arange(len(row)) - np.searchsorted(row, row)
+        own[row, slot] = at
+        lists = own[true]
+        need = np.where(lists >= 0, to[np.arange(len(q))[:, None, None], lists], np.inf).min(axis=2)
+        self.ratio = float(np.quantile(need, REACH))
+        self.width = int(min(len(self.c), np.quantile((to <= self.ratio).sum(axis=1), 0.99) + LINKS))
+
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that queries read."""
-        ids, dist = self.search(q, PROBES)
-        row, j = np.nonzero((ids >= 0) & (dist <= (1 + PRUNE) * np.maximum(dist[:, :1], self.scale)))
-        return row, ids[row, j]
+        """(row, list) of the lists that queries read; walks are widened until they pass the ratio."""
+        ids, dist = self.search(q, self.width)
+        limit = self.ratio * np.maximum(dist[:, :1], self.scale)
+        short = np.flatnonzero((dist[:, -1:] <= limit)[:, 0]) if ids.shape[1] < len(self.c) else []
+        keep = np.ones(len(q), bool)
+        keep[short] = False
+        row, j = np.nonzero((ids >= 0) & (dist <= limit) & keep[:, None])
+        found = [(row, ids[row, j])]
+        if len(short):
+            all_d = np.sqrt(_squares(q[short], self.c))
+            r, j = np.nonzero(all_d <= limit[short])
+            found.append((np.asarray(short)[r], j))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _valid(e: Column) -> Column:
@@ -195,7 +217,9 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
     sample = np.frombuffer(b"".join(some["v"]), "<f8").reshape(-1, dim)
     centroids = balanced_centroids(sample, lists)
     scale = float(np.median(np.concatenate([_squares(sample[i : i + 2048], centroids).min(1) for i in range(0, len(sample), 2048)]) ** 0.5))
-    sent = spark.sparkContext.broadcast(CentroidGraph(centroids, scale))  # MOST_LISTS rows at most
+    graph = CentroidGraph(centroids, scale)
+    graph.fit_pruning(sample, k)
+    sent = spark.sparkContext.broadcast(graph)  # MOST_LISTS rows at most
 
     def enter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
