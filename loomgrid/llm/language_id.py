@@ -92,6 +92,22 @@ def codewords(k: int) -> np.ndarray:
     return best[1]
 
 
+def _ridge(z: np.ndarray, target: np.ndarray, steps: int = 80) -> np.ndarray:
+    """Weights w that minimise |z w - target|^2 + RIDGE |w|^2, by conjugate gradients, which need no matrix but z."""
+    w = np.zeros((z.shape[1], target.shape[1]), np.float32)
+    r = z.T @ target
+    p, rr = r.copy(), (r * r).sum(0)
+    for _ in range(steps):
+        q = z.T @ (z @ p) + np.float32(RIDGE) * p
+        a = rr / np.maximum((p * q).sum(0), 1e-20)
+        w += a * p
+        r -= a * q
+        new = (r * r).sum(0)
+        p = r + (new / np.maximum(rr, 1e-20)) * p
+        rr = new
+    return w
+
+
 class EcocModel:
     """Languages, their codewords, a linear classifier a bit, and how far each bit is to be trusted."""
 
@@ -100,27 +116,24 @@ class EcocModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> EcocModel:
-        """x: relative trigram frequencies, a row a text; ridge regression onto the bits, with equal weight a language."""
+        """x: relative trigram frequencies, a row a text (overwritten); ridge regression onto the bits, with equal weight a language."""
         names = sorted(set(langs))
         code = codewords(len(names))
         at = np.array([names.index(s) for s in langs], int)
         if len(names) == 0:
             return cls([], code, np.zeros((1, 1 << BITS), np.float32), np.zeros(1), np.ones(1))
-        weight = np.sqrt(1.0 / np.bincount(at, minlength=len(names))[at] / len(names))[:, None]
-        mean = (x * weight**2).sum(0)
-        scale = 1.0 / (np.sqrt(((x - mean) ** 2 * weight**2).sum(0)) + 1e-5)
-        z = ((x - mean) * scale * weight).astype(np.float64)
+        weight = np.sqrt(1.0 / np.bincount(at, minlength=len(names))[at] / len(names))[:, None].astype(np.float32)
+        mean = (weight.T**2 @ x)[0]
+        x -= mean  # in place: the sample is the driver's largest object
+        scale = 1.0 / (np.sqrt((weight.T**2 @ np.square(x))[0]) + 1e-5)
+        x *= scale
+        x *= weight
         y = code[at]
         middle = (y * weight**2).sum(0)
-        target = (y - middle) * weight
-        if len(z) > z.shape[1]:
-            w = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ target)
-        else:
-            w = z.T @ np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), target)
-        w *= scale[:, None]
-        bias = middle - mean @ w
-        right = np.mean(np.sign(x @ w + bias) == y, axis=0)
-        return cls(names, code, np.ascontiguousarray(w.T).astype(np.float32), bias, np.clip(2 * right - 1, 0.05, 1.0))
+        w = _ridge(x, ((y - middle) * weight).astype(np.float32))
+        right = np.mean(np.sign((x @ w) / weight + middle) == y, axis=0)
+        w = w * scale[:, None]
+        return cls(names, code, np.ascontiguousarray(w.T, np.float32), middle - mean @ w, np.clip(2 * right - 1, 0.05, 1.0))
 
     def decode(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest codeword of each column of outputs, and its share of the evidence (0 to 1)."""
@@ -165,11 +178,12 @@ def fit_language_id(docs: DataFrame, per_lang: int = PER_LANG) -> EcocModel:
     got = few.select("lang", F.lower("text").alias("text"), F.xxhash64("doc_id", "text").alias("key")).mapInArrow(features, "lang string, key long, hist binary").toPandas()
     got = got.sort_values(["lang", "key"], kind="stable")
     x = np.zeros((len(got), 1 << BITS), np.float32)
-    for i, blob in enumerate(got["hist"]):
+    langs = list(got["lang"])
+    for i, blob in enumerate(got.pop("hist")):
         v = np.frombuffer(blob, "<u4")
         at, n = v[: len(v) // 2], v[len(v) // 2 :]
         x[i, at] = n / max(1, n.sum())
-    return EcocModel.fit(x, list(got["lang"]))
+    return EcocModel.fit(x, langs)
 
 
 def predict_language(docs: DataFrame, model: EcocModel, keep: list[str]) -> DataFrame:
