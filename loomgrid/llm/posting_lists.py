@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from .common import U64, batches, materialise, mix64, small_batches, text_bytes
 
 #: Vectors of a list that centroids are made for, and the most centroids: these and their graph are broadcast.
-LIST, MOST_LISTS = 100, 16_384
+LIST, MOST_LISTS = 100, 8192
 #: Rows of the sample that centroids are fitted on, for each centroid.
-SAMPLE = 24
+SAMPLE = 16
 SPREAD, REPLICAS = 0.05, 3
 #: Queries of the sample that the pruning ratio is fitted with, and the share of their neighbours in the sample that it must reach.
 TRIALS, REACH = 256, 0.97
 LINKS = 24
+#: Vectors of the sample that bound, for each query, how far its answers can be.
+BOUND = 8192
 #: Entries of a list that one task compares.
 PART = 4096
 _ROUNDS = 8
@@ -81,7 +83,7 @@ class CentroidGraph:
             near[i : i + 1024] = np.argpartition(d, m - 1, axis=1)[:, :m] if m else 0
         far = (mix64(np.arange(k * 4, dtype=U64) + U64(99)) % U64(k)).astype(np.int32).reshape(k, 4)
         self.links = np.concatenate([near, far], 1)
-        self.ratio, self.width = 1.0, 1
+        self.ratio, self.width, self.near = 1.0, 1, self.c[:0]
         self.entry = (np.arange(min(k, 16)) * (k / min(k, 16))).astype(int)
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +139,7 @@ class CentroidGraph:
 
     def fit_pruning(self, x: np.ndarray, k: int) -> None:
         """Set the ratio, and the width of walks, by queries of the sample x and their k nearest in it."""
+        self.near = x[:BOUND]
         q = x[:TRIALS]
         d = _squares(q, x)
         d[np.arange(len(q)), np.arange(len(q))] = np.inf
@@ -155,6 +158,12 @@ class CentroidGraph:
         self.ratio = float(np.quantile(need, REACH))
         self.width = int(min(len(self.c), np.quantile((to <= self.ratio).sum(axis=1), 0.99) + LINKS))
 
+    def bounds(self, q: np.ndarray, k: int) -> np.ndarray:
+        """For each query, a distance within which k indexed vectors lie: that of its k-th nearest in the sample."""
+        if len(self.near) < k:
+            return np.full(len(q), np.inf)
+        return np.concatenate([np.sqrt(np.partition(_squares(q[i : i + 256], self.near), k - 1, axis=1)[:, k - 1]) for i in range(0, len(q), 256)]) * (1 + 1e-6) + 1e-6
+
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that queries read; walks are widened until they pass the ratio."""
         ids, dist = self.search(q, self.width)
@@ -228,25 +237,28 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            row, at = sent.value.probes(_vectors(b.column("v"), dim))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c).take(pa.array(row)) for c in ("q", "v"))], ["list", "q", "v"])
+            v = _vectors(b.column("v"), dim)
+            row, at = sent.value.probes(v)
+            bound = sent.value.bounds(v, k + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c).take(pa.array(row)) for c in ("q", "v")), pa.array(bound)], ["list", "q", "v", "bound"])
 
     postings = materialise(classes.select("rep", "v").mapInArrow(enter, "list int, rep long, v binary"))
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row a list
     entered = postings.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "v")
     asking = once.where("asks").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("rep").alias("q"), "v")
-    probing = asking.mapInArrow(probe, "list int, q long, v binary").join(F.broadcast(parts), "list")
-    probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "v")
+    probing = asking.mapInArrow(probe, "list int, q long, v binary, bound double").join(F.broadcast(parts), "list")
+    probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "v", "bound")
 
     def compare(key: object, left: pa.Table, right: pa.Table) -> pa.Table:
         own, asked = [], []
         if left.num_rows and right.num_rows:
             rep = left.column("rep").to_numpy()
             v, q = (_vectors(t.column("v").combine_chunks(), dim) for t in (left, right))
-            for name, x in zip(right.column("q").to_pylist(), q):
+            for name, x, bound in zip(right.column("q").to_pylist(), q, right.column("bound").to_pylist()):
                 diff = v - x
                 d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                top = np.lexsort((rep, d))[: k + 1]
+                close = np.flatnonzero(d <= bound)
+                top = close[np.lexsort((rep[close], d[close]))[: k + 1]]
                 own.append((rep[top], d[top]))
                 asked += [name] * len(top)
         rep, d = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64), np.zeros(0))
