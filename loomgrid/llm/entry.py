@@ -15,6 +15,7 @@ from . import posting_lists
 from . import private_data as private
 from . import quality_rules as quality
 from . import shuffle_shards as shards
+from . import subword
 from .common import read_table
 
 
@@ -39,6 +40,10 @@ def op6_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_maxplus_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.subword_ids(read_table(spark, sf_dir, "documents"))
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lic.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_data(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_posting_lists, op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op8_license_rules, op9_ecoc_language, op10_disclosure_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_posting_lists, op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op7_maxplus_subword, op8_license_rules, op9_ecoc_language, op10_disclosure_pii)}
 ORACLES: dict[str, str] = {"op3_lsh_forest": near.ORACLE, "op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}
