@@ -11,6 +11,7 @@ from . import language_id as lid
 from . import license_scan as lic
 from . import near_duplicates as near
 from . import packing
+from . import pitman_yor
 from . import posting_lists
 from . import private_data as private
 from . import quality_rules as quality
@@ -32,6 +33,10 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.pitman_yor_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents")).drop("rule")
 
@@ -56,5 +61,5 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_data(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_posting_lists, op2_feistel_shards, op3_lsh_forest, op5_quality_cascade, op6_island_packing, op7_maxplus_subword, op8_license_rules, op9_ecoc_language, op10_disclosure_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_posting_lists, op2_feistel_shards, op3_lsh_forest, op4_pitman_yor, op5_quality_cascade, op6_island_packing, op7_maxplus_subword, op8_license_rules, op9_ecoc_language, op10_disclosure_pii)}
 ORACLES: dict[str, str] = {"op3_lsh_forest": near.ORACLE, "op5_quality_cascade": quality.ORACLE, "op8_license_rules": lic.oracle()}
