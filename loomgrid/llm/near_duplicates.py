@@ -104,8 +104,8 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _entries(classes: DataFrame, wide: bool) -> DataFrame:
-    """A row for each class and tree: region, and if wide rep, n and sketch."""
+def _entries(classes: DataFrame, wide: bool, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """A row for each class and tree: region, and if wide rep, n and sketch, and columns extra of the classes."""
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -115,14 +115,15 @@ def _entries(classes: DataFrame, wide: bool) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(b.num_rows), TREES))
                 pick = sig.reshape(len(sig), TREES, LEVELS).transpose(0, 2, 1).reshape(len(sig), _N)[:, :SKETCH]
                 sketch = pa.array([x.tobytes() for x in (pick & 0xFF).astype(np.uint8)], pa.binary())
-                made += [b.column("rep").take(row), b.column("n").take(row), sketch.take(row)]
-            yield pa.RecordBatch.from_arrays(made, ["region", "rep", "n", "sketch"][: len(made)])
+                made += [b.column("rep").take(row), b.column("n").take(row), sketch.take(row), *(b.column(c).take(row) for c in extra)]
+            yield pa.RecordBatch.from_arrays(made, ["region", "rep", "n", "sketch", *extra][: len(made)])
 
-    return classes.select("rep", "n", "sig").mapInArrow(spread, "region long, rep long, n long, sketch binary" if wide else "region long")
+    kinds = "".join(f", {c} {classes.schema[c].dataType.simpleString()}" for c in extra)
+    return classes.select("rep", "n", "sig", *extra).mapInArrow(spread, f"region long, rep long, n long, sketch binary{kinds}" if wide else "region long")
 
 
 def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (class, class, matches) to decide in groups of classes (gid sorted), and which rows led others."""
+    """Pairs (class, class, matches, whether the first took the second) to decide in groups of classes (gid sorted), and which rows led others."""
     m = len(gid)
     free = np.ones(m, bool)
     led = np.zeros(m, bool)
@@ -140,7 +141,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
         same = (sk[rows] == sk[pivot]).sum(axis=1)
         decide = (same >= DECIDE) & sizes_allow(rows, pivot, 8) & (rows != pivot)
         taken = decide & (same >= LOOKS)
-        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide]]))
+        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64)]))
         free[rows[taken]] = False
         free[pivot] = False
         led[pivot[decide]] = True
@@ -153,7 +154,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
                 best = match.argmax(axis=1)
                 top = match[np.arange(len(some)), best]
                 good = top >= DECIDE
-                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good]]))
+                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good], np.zeros(int(good.sum()), np.int64)]))
 
     for s, e in zip(start[big], stop[big]):
         while len(left := rows[s:e][free[s:e]]):
@@ -187,7 +188,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("rep").to_numpy(), t.column("n").to_numpy(), sk
 
 
-_PAIRS = "a long, b long, same long, region long, n long, sketch binary"
+_PAIRS = "a long, b long, same long, taken long, region long, n long, sketch binary"
 
 
 def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
@@ -205,13 +206,13 @@ def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
                 continue
             t = t.take(pa.array(at))
             rep, n, sk = _columns(t)
-            (a, b, same), led = _lead(gid[at], rep, n, sk)
+            (a, b, same, taken), led = _lead(gid[at], rep, n, sk)
             none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.binary())], ["a", "b", "same", "region", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), pa.array(taken), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.binary())], ["a", "b", "same", "taken", "region", "n", "sketch"])
             lead = t.take(pa.array(np.flatnonzero(led & split[at]))).combine_chunks()
             if k := lead.num_rows:
                 one = lambda c: lead.column(c).combine_chunks()
-                yield pa.RecordBatch.from_arrays([one("rep"), none(k, pa.int64()), none(k, pa.int64()), one("region"), one("n"), one("sketch")], ["a", "b", "same", "region", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([one("rep"), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), one("region"), one("n"), one("sketch")], ["a", "b", "same", "taken", "region", "n", "sketch"])
 
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find, _PAIRS)
 
@@ -244,16 +245,26 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
 
 
-def _open_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Classes that may yet have links to another component: the led ends of pairs that were not confirmed and lie in
-    different components, and all of the smaller component of each such pair."""
-    apart = materialise(_apart(pairs, labels).select("a", "b", "c_a", "c_b"))
+def _open_ends(classes: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """classes with their component, whether it is theirs alone, whether a leader took them and was not confirmed (failed),
+    and whether they may yet have links to another component (asks); None if nobody asks.
+
+    Asking are the failed, and, where a pair of components of which one has several classes had a pair that was not
+    confirmed, the classes of the smaller one and the pair's second class.
+    """
+    apart = materialise(_apart(pairs, labels).select("b", "taken", "c_a", "c_b"))
+    if apart.isEmpty():
+        return None
     size = labels.groupBy("component").agg(F.count("*").alias("size"))
     of = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
-    both = apart.select("c_a", "c_b").distinct().join(of("a"), "c_a", "left").join(of("b"), "c_b", "left")
-    smaller = both.select(F.when(F.coalesce("s_a", F.lit(1)) <= F.coalesce("s_b", F.lit(1)), F.col("c_a")).otherwise(F.col("c_b")).alias("component")).distinct()
-    members = labels.join(smaller, "component", "left_semi").select(F.col("node").alias("rep"))
-    return members.unionAll(smaller.select(F.col("component").alias("rep"))).unionAll(apart.select(F.col("b").alias("rep"))).distinct()
+    both = apart.join(of("a"), "c_a", "left").join(of("b"), "c_b", "left").withColumns({"s_a": F.coalesce("s_a", F.lit(1)), "s_b": F.coalesce("s_b", F.lit(1))})
+    several = F.greatest("s_a", "s_b") > 1
+    smaller = both.where(several).select(F.when(F.col("s_a") <= F.col("s_b"), F.col("c_a")).otherwise(F.col("c_b")).alias("component"))
+    ends = both.where(several | (F.col("taken") > 0)).groupBy(F.col("b").alias("rep")).agg(F.max("taken").alias("failed"))
+    out = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = out.join(size, "component", "left").join(ends, "rep", "left").join(smaller.distinct().withColumn("small", F.lit(True)), "component", "left")
+    flags = {"alone": F.coalesce("size", F.lit(1)) == 1, "asks": F.col("failed").isNotNull() | F.col("small").isNotNull(), "failed": F.coalesce("failed", F.lit(0)) > 0}
+    return materialise(out.withColumns(flags).select("rep", "n", "sig", "component", "alone", "failed", "asks"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -270,10 +281,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     entries = _entries(classes, True).join(crowded, "region", "left")
     part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
     found = materialise(_find_pairs(entries.withColumns({"bucket": part, "split": F.col("parts").isNotNull()}).drop("parts"), parts))
-    pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same")
+    pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same", "taken")
     leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
     again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(False)}), parts)
-    sure = materialise(pairs.unionByName(again.select("a", "b", "same")).where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same")))
+    sure = materialise(pairs.unionByName(again.select("a", "b", "same", "taken")).where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"), F.max("taken").alias("taken")))
 
     shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
     clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -290,9 +301,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.count():
         links = links.unionByName(materialise(_decide(more, texts, k, percent)))
         labels = connected_components(links)
-    open_ends = materialise(_open_ends(sure, labels))
-    if open_ends.count():
-        extra = materialise(_apart(_ask(classes, open_ends, crowded, parts), labels).join(sure, ["a", "b"], "left_anti"))
+    known = _open_ends(classes, sure, labels)
+    if known is not None:
+        extra = materialise(_ask(known, crowded, parts).join(sure, ["a", "b"], "left_anti"))
         if extra.count():
             links = links.unionByName(materialise(_decide(extra, texts_of(extra), k, percent)))
             labels = connected_components(links)
@@ -303,27 +314,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _ask(classes: DataFrame, asked: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
-    """Pairs between the classes asked and all classes of their regions that look near enough to be decided."""
-    queries = _entries(classes.join(asked, "rep", "left_semi"), True).join(crowded, "region", "left")
+def _ask(classes: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
+    """Pairs between the classes that ask and the classes of other components in their regions that look near enough to
+    be decided. Two classes alone in their components were compared when one of them led, unless a leader took one."""
+    extra = ["component", "alone", "failed", "asks"]
+    entries = lambda some: _entries(some, True, extra).join(crowded, "region", "left")
     all_parts = F.when(F.col("parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64("region", i))).otherwise(F.array("region"))
-    queries = queries.withColumn("bucket", F.explode(all_parts)).withColumn("query", F.lit(True)).drop("parts")
-    touched = queries.select("region").distinct()
+    queries = entries(classes.where("asks")).withColumn("bucket", F.explode(all_parts)).withColumn("query", F.lit(True)).drop("parts")
+    touched = _entries(classes.where("asks"), False).distinct()
     part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
-    others = _entries(classes, True).join(touched, "region", "left_semi").join(crowded, "region", "left")
-    others = others.withColumns({"bucket": part, "query": F.lit(False)}).drop("parts")
+    others = entries(classes).join(touched, "region", "left_semi").withColumns({"bucket": part, "query": F.lit(False)}).drop("parts")
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(it, "bucket"):
-            gid, query = t.column("bucket").to_numpy(), t.column("query").to_numpy(zero_copy_only=False)
+            gid = t.column("bucket").to_numpy()
+            query, alone, failed, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "alone", "failed", "asks"))
+            component = t.column("component").to_numpy()
             rep, n, sk = _columns(t)
             for i in np.flatnonzero(query):
                 lo, hi = np.searchsorted(gid, [gid[i], gid[i] + 1])
-                near = ((sk[lo:hi] == sk[i]).sum(axis=1) >= DECIDE) & ~query[lo:hi] & (rep[lo:hi] != rep[i])
-                near &= 10 * np.minimum(n[lo:hi], n[i]) >= 8 * np.maximum(n[lo:hi], n[i])
-                if near.any():
-                    other = rep[lo:hi][near]
-                    yield pa.RecordBatch.from_arrays([pa.array(other), pa.array(np.full(len(other), rep[i]))], ["a", "b"])
+                other = np.arange(lo, hi)
+                go = ~query[other] & (component[other] != component[i]) & (10 * np.minimum(n[other], n[i]) >= 8 * np.maximum(n[other], n[i]))
+                go &= ~alone[other] | (not alone[i]) | failed[other] | failed[i]
+                go &= ~asks[other] | (rep[other] > rep[i])  # of two that ask, one finds the pair
+                other = other[go]
+                other = other[(sk[other] == sk[i]).sum(axis=1) >= DECIDE]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[other]), pa.array(np.full(len(other), rep[i]))], ["a", "b"])
 
     both = queries.unionByName(others).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return both.mapInArrow(ask, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
