@@ -245,15 +245,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
 
 
-def _open_ends(classes: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _open_ends(classes: DataFrame, pairs: DataFrame, labels: DataFrame, crowded: DataFrame) -> DataFrame | None:
     """classes with their component, whether it is theirs alone, whether a leader took them and was not confirmed (failed),
     and whether they may yet have links to another component (asks); None if nobody asks.
 
     Asking are the failed, and, where a pair of components of which one has several classes had a pair that was not
-    confirmed, the classes of the smaller one and the pair's second class.
+    confirmed, the classes of the smaller one and the pair's second class. In crowded regions others ask too (`_ask`).
     """
     apart = materialise(_apart(pairs, labels).select("b", "taken", "c_a", "c_b"))
-    if apart.isEmpty():
+    if apart.isEmpty() and crowded.isEmpty():
         return None
     size = labels.groupBy("component").agg(F.count("*").alias("size"))
     of = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     crowded = _entries(classes, False).groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > REGION)
     crowded = materialise(crowded.withColumn("parts", F.ceil(F.col("m") / REGION).cast("int")).drop("m"))
     entries = _entries(classes, True).join(crowded, "region", "left")
-    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
+    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.col("region"))
     found = materialise(_find_pairs(entries.withColumns({"bucket": part, "split": F.col("parts").isNotNull()}).drop("parts"), parts))
     pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same", "taken")
     leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.count():
         links = links.unionByName(materialise(_decide(more, texts, k, percent)))
         labels = connected_components(links)
-    known = _open_ends(classes, sure, labels)
+    known = _open_ends(classes, sure, labels, crowded)
     if known is not None:
         extra = materialise(_ask(known, crowded, parts).join(sure, ["a", "b"], "left_anti"))
         if extra.count():
@@ -316,26 +316,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _ask(classes: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
     """Pairs between the classes that ask and the classes of other components in their regions that look near enough to
-    be decided. Two classes alone in their components were compared when one of them led, unless a leader took one."""
+    be decided. Two classes alone in their components were compared when one of them led, unless a leader took one. In a
+    region that was split that does not hold: there all classes outside the region's largest component ask.
+    """
     extra = ["component", "alone", "failed", "asks"]
     entries = lambda some: _entries(some, True, extra).join(crowded, "region", "left")
-    all_parts = F.when(F.col("parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64("region", i))).otherwise(F.array("region"))
-    queries = entries(classes.where("asks")).withColumn("bucket", F.explode(all_parts)).withColumn("query", F.lit(True)).drop("parts")
-    touched = _entries(classes.where("asks"), False).distinct()
-    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
-    others = entries(classes).join(touched, "region", "left_semi").withColumns({"bucket": part, "query": F.lit(False)}).drop("parts")
+    split = F.col("parts").isNotNull()
+    shared = _entries(classes, True, ["component"]).join(crowded, "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("m"))
+    largest = materialise(shared.groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest")))
+    part = F.when(split, F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.col("region"))
+    all_parts = F.when(split, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64("region", i))).otherwise(F.array("region"))
+    outside = F.col("largest").isNotNull() & (F.col("component") != F.col("largest"))
+
+    touched = _entries(classes.where("asks"), False).unionAll(crowded.select("region")).distinct()
+    here = entries(classes).join(touched, "region", "left_semi").join(largest, "region", "left").withColumns({"asks": F.col("asks") | outside, "split": split})
+    others = here.withColumns({"bucket": part, "query": F.lit(False)}).drop("parts", "largest")
+    queries = here.where("asks").withColumns({"bucket": F.explode(all_parts), "query": F.lit(True)}).drop("parts", "largest")
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(it, "bucket"):
             gid = t.column("bucket").to_numpy()
-            query, alone, failed, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "alone", "failed", "asks"))
+            query, alone, failed, asks, parted = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "alone", "failed", "asks", "split"))
             component = t.column("component").to_numpy()
             rep, n, sk = _columns(t)
             for i in np.flatnonzero(query):
                 lo, hi = np.searchsorted(gid, [gid[i], gid[i] + 1])
                 other = np.arange(lo, hi)
                 go = ~query[other] & (component[other] != component[i]) & (10 * np.minimum(n[other], n[i]) >= 8 * np.maximum(n[other], n[i]))
-                go &= ~alone[other] | (not alone[i]) | failed[other] | failed[i]
+                go &= ~alone[other] | (not alone[i]) | failed[other] | failed[i] | parted[i]
                 go &= ~asks[other] | (rep[other] > rep[i])  # of two that ask, one finds the pair
                 other = other[go]
                 other = other[(sk[other] == sk[i]).sum(axis=1) >= DECIDE]
