@@ -8,12 +8,16 @@ again one level up.
 
 Inside a region a leader (the class nearest to the region's most usual signature) is compared by a small sketch
 with all classes not yet taken; those that look linked are taken, and the next leader is chosen from the rest. So
-a region of g copies yields about g pairs, not g * g. Pairs are then decided on the full sets: first each
-class's best pair, then all pairs between components that are still apart. A class near a leader (FLAG) that it
-does not take is paired with the nearest of those it took: by the triangle inequality of the Jaccard distance,
-whoever is linked to one of them is near the leader. At last, where a pair of components had a pair that was not
-confirmed, the classes of the smaller one are compared with all members of their regions. So no link that the
-forest's regions hold is lost, but for sketches that are off by four standard deviations.
+a region of g copies yields about g pairs, not g * g. A class near a leader (FLAG) that it does not take is paired
+with the nearest of those it took: by the triangle inequality of the Jaccard distance, whoever is linked to one of
+them is near the leader. Pairs are decided on the full sets, first each class's best one. Then some classes ask: they
+are compared, on the full sets and in blocks, with all members of a group, and only links are told:
+
+- where two components had a pair that was not confirmed, the classes of the smaller ask the larger;
+- a class that a leader took without being linked to it asks all that were paired through that leader;
+- in a region that was split, classes outside its largest component ask that component and one another.
+
+So no link that the forest's regions hold is lost, but for sketches that are off by four standard deviations.
 
 Two sets of similarity 0.8 share no region with a probability of (1 - 0.8**DEPTH)**TREES, 3e-5.
 
@@ -42,6 +46,10 @@ SKETCH = 48
 #: Matching bytes from which a pair looks linked, is to be decided, or is near: 0.8, and 0.8 and 0.6 less four standard deviations.
 LOOKS, DECIDE, FLAG = 38, 27, 15
 _SMALL = 24
+#: Members of a group that those who ask meet in one place.
+BLOCK = 400
+#: Bits of the bitmap that keeps texts nobody asks for from being moved.
+BITMAP = 1 << 23
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -56,10 +64,10 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarra
         if b - a >= k:
             yield np.unique(run[a : b - k + 1])
         elif b > a:
-            whole = U64(b - a) * U64(0xC2B2AE3D27D4EB4F)
+            whole = mix64(np.array([1000 + b - a], U64))
             for x in h[a:b]:
-                whole = mix64(np.array([whole ^ x]))[0]
-            yield np.array([whole], U64)
+                whole = mix64(whole ^ x)
+            yield whole
         else:
             yield np.zeros(0, U64)
 
@@ -104,8 +112,8 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _entries(classes: DataFrame, wide: bool, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """A row for each class and tree: region, and if wide rep, n and sketch, and columns extra of the classes."""
+def _entries(classes: DataFrame, wide: bool, named: bool = False) -> DataFrame:
+    """A row for each class and tree: region, if named rep, and if wide rep, n and sketch."""
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -115,15 +123,17 @@ def _entries(classes: DataFrame, wide: bool, extra: list[str] = []) -> DataFrame
                 row = pa.array(np.repeat(np.arange(b.num_rows), TREES))
                 pick = sig.reshape(len(sig), TREES, LEVELS).transpose(0, 2, 1).reshape(len(sig), _N)[:, :SKETCH]
                 sketch = pa.array([x.tobytes() for x in (pick & 0xFF).astype(np.uint8)], pa.binary())
-                made += [b.column("rep").take(row), b.column("n").take(row), sketch.take(row), *(b.column(c).take(row) for c in extra)]
-            yield pa.RecordBatch.from_arrays(made, ["region", "rep", "n", "sketch", *extra][: len(made)])
+                made += [b.column("rep").take(row), b.column("n").take(row), sketch.take(row)]
+            elif named:
+                made.append(b.column("rep").take(pa.array(np.repeat(np.arange(b.num_rows), TREES))))
+            yield pa.RecordBatch.from_arrays(made, ["region", "rep", "n", "sketch"][: len(made)])
 
-    kinds = "".join(f", {c} {classes.schema[c].dataType.simpleString()}" for c in extra)
-    return classes.select("rep", "n", "sig", *extra).mapInArrow(spread, f"region long, rep long, n long, sketch binary{kinds}" if wide else "region long")
+    kind = "region long, rep long, n long, sketch binary" if wide else "region long, rep long" if named else "region long"
+    return classes.select("rep", "n", "sig").mapInArrow(spread, kind)
 
 
 def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (class, class, matches, whether the first took the second) to decide in groups of classes (gid sorted), and which rows led others."""
+    """Pairs (class, class, matches, whether the first took the second, the leader, the second's row) to decide in groups of classes (gid sorted), and which rows led others."""
     m = len(gid)
     free = np.ones(m, bool)
     led = np.zeros(m, bool)
@@ -141,7 +151,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
         same = (sk[rows] == sk[pivot]).sum(axis=1)
         decide = (same >= DECIDE) & sizes_allow(rows, pivot, 8) & (rows != pivot)
         taken = decide & (same >= LOOKS)
-        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64)]))
+        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64), rep[pivot[decide]], rows[decide]]))
         free[rows[taken]] = False
         free[pivot] = False
         led[pivot[decide]] = True
@@ -154,7 +164,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
                 best = match.argmax(axis=1)
                 top = match[np.arange(len(some)), best]
                 good = top >= DECIDE
-                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good], np.zeros(int(good.sum()), np.int64)]))
+                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good], np.zeros(int(good.sum()), np.int64), np.full(int(good.sum()), rep[p]), some[good]]))
 
     for s, e in zip(start[big], stop[big]):
         while len(left := rows[s:e][free[s:e]]):
@@ -188,7 +198,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("rep").to_numpy(), t.column("n").to_numpy(), sk
 
 
-_PAIRS = "a long, b long, same long, taken long, region long, n long, sketch binary"
+_PAIRS = "a long, b long, same long, taken long, leader long, whole boolean, region long, n long, sketch binary"
 
 
 def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
@@ -206,13 +216,18 @@ def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
                 continue
             t = t.take(pa.array(at))
             rep, n, sk = _columns(t)
-            (a, b, same, taken), led = _lead(gid[at], rep, n, sk)
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), pa.array(taken), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.binary())], ["a", "b", "same", "taken", "region", "n", "sketch"])
+            (a, b, same, taken, leader, row), led = _lead(gid[at], rep, n, sk)
+            whole = ~split[at][row]
             lead = t.take(pa.array(np.flatnonzero(led & split[at]))).combine_chunks()
-            if k := lead.num_rows:
-                one = lambda c: lead.column(c).combine_chunks()
-                yield pa.RecordBatch.from_arrays([one("rep"), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), one("region"), one("n"), one("sketch")], ["a", "b", "same", "taken", "region", "n", "sketch"])
+            k, m = lead.num_rows, len(a)
+            one = lambda c: lead.column(c).combine_chunks()
+            table = {
+                "a": pa.concat_arrays([pa.array(a), one("rep").cast(pa.int64())]) if k else pa.array(a),
+                **{c: pa.array(np.append(x, np.zeros(k, np.int64)), mask=np.arange(m + k) >= m) for c, x in (("b", b), ("same", same), ("taken", taken), ("leader", leader))},
+                "whole": pa.array(np.append(whole, np.zeros(k, bool)), mask=np.arange(m + k) >= m),
+                **{c: pa.concat_arrays([pa.nulls(m, kind), one(c).cast(kind)]) if k else pa.nulls(m, kind) for c, kind in (("region", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()))},
+            }
+            yield pa.RecordBatch.from_pydict(table)
 
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find, _PAIRS)
 
@@ -233,38 +248,23 @@ def _decide(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 good[i] = len(s) > 0 and 100 * both >= percent * (len(own) + len(s) - both)
             yield b.select(["a", "b"]).filter(pa.array(good))
 
-    with_b = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs whose ends are in different components."""
+    """pairs whose ends are in different components, with these."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
 
 
-def _open_ends(classes: DataFrame, pairs: DataFrame, labels: DataFrame, crowded: DataFrame) -> DataFrame | None:
-    """classes with their component, whether it is theirs alone, whether a leader took them and was not confirmed (failed),
-    and whether they may yet have links to another component (asks); None if nobody asks.
-
-    Asking are the failed, and, where a pair of components of which one has several classes had a pair that was not
-    confirmed, the classes of the smaller one and the pair's second class. In crowded regions others ask too (`_ask`).
-    """
-    apart = materialise(_apart(pairs, labels).select("b", "taken", "c_a", "c_b"))
-    if apart.isEmpty() and crowded.isEmpty():
-        return None
+def _with_sizes(apart: DataFrame, labels: DataFrame) -> DataFrame:
     size = labels.groupBy("component").agg(F.count("*").alias("size"))
     of = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
-    both = apart.join(of("a"), "c_a", "left").join(of("b"), "c_b", "left").withColumns({"s_a": F.coalesce("s_a", F.lit(1)), "s_b": F.coalesce("s_b", F.lit(1))})
-    several = F.greatest("s_a", "s_b") > 1
-    smaller = both.where(several).select(F.when(F.col("s_a") <= F.col("s_b"), F.col("c_a")).otherwise(F.col("c_b")).alias("component"))
-    ends = both.where(several | (F.col("taken") > 0)).groupBy(F.col("b").alias("rep")).agg(F.max("taken").alias("failed"))
-    out = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = out.join(size, "component", "left").join(ends, "rep", "left").join(smaller.distinct().withColumn("small", F.lit(True)), "component", "left")
-    flags = {"alone": F.coalesce("size", F.lit(1)) == 1, "asks": F.col("failed").isNotNull() | F.col("small").isNotNull(), "failed": F.coalesce("failed", F.lit(0)) > 0}
-    return materialise(out.withColumns(flags).select("rep", "n", "sig", "component", "alone", "failed", "asks"))
+    both = apart.join(of("a"), "c_a", "left").join(of("b"), "c_b", "left")
+    return both.withColumns({"s_a": F.coalesce("s_a", F.lit(1)), "s_b": F.coalesce("s_b", F.lit(1))})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -279,34 +279,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     crowded = _entries(classes, False).groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > REGION)
     crowded = materialise(crowded.withColumn("parts", F.ceil(F.col("m") / REGION).cast("int")).drop("m"))
     entries = _entries(classes, True).join(crowded, "region", "left")
-    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.col("region"))
+    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
     found = materialise(_find_pairs(entries.withColumns({"bucket": part, "split": F.col("parts").isNotNull()}).drop("parts"), parts))
-    pairs = found.where(F.col("b").isNotNull()).select("a", "b", "same", "taken")
+    columns = ["a", "b", "same", "taken", "leader", "whole"]
+    pairs = found.where(F.col("b").isNotNull()).select(*columns)
     leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
     again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(False)}), parts)
-    sure = materialise(pairs.unionByName(again.select("a", "b", "same", "taken")).where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"), F.max("taken").alias("taken")))
+    pairs = pairs.unionByName(again.select(*columns)).where("a <> b")
+    pairs = materialise(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
 
     shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
     clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        ends = some.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        return materialise(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi"))
-
-    texts = texts_of(sure)
-    best = sure.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    in_split = _entries(classes, False, named=True).join(crowded.select("region"), "region", "left_semi")
+    ends = pairs.select(F.explode(F.array("a", "b", "leader")).alias("rep")).unionAll(in_split.select("rep")).distinct()
+    texts = materialise(_only(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), materialise(ends)))
+    best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
     links = materialise(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
     labels = connected_components(links)
-    more = materialise(_apart(sure, labels).join(best, ["a", "b"], "left_anti"))
-    if more.count():
+    apart = _with_sizes(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), labels)
+    more = materialise(apart.where("whole AND s_a = 1 AND s_b = 1").select("a", "b").distinct())
+    if not more.isEmpty():
         links = links.unionByName(materialise(_decide(more, texts, k, percent)))
         labels = connected_components(links)
-    known = _open_ends(classes, sure, labels, crowded)
-    if known is not None:
-        extra = materialise(_ask(known, crowded, parts).join(sure, ["a", "b"], "left_anti"))
-        if extra.count():
-            links = links.unionByName(materialise(_decide(extra, texts_of(extra), k, percent)))
-            labels = connected_components(links)
+    asked = _groups(pairs, labels, in_split)
+    if not asked.isEmpty():
+        links = links.unionByName(materialise(_ask(asked, texts, k, percent)))
+        labels = connected_components(links)
     reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "n", "component_id")
     lone = rows.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -314,44 +313,97 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _ask(classes: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
-    """Pairs between the classes that ask and the classes of other components in their regions that look near enough to
-    be decided. Two classes alone in their components were compared when one of them led, unless a leader took one. In a
-    region that was split that does not hold: there all classes outside the region's largest component ask.
-    """
-    extra = ["component", "alone", "failed", "asks"]
-    entries = lambda some: _entries(some, True, extra).join(crowded, "region", "left")
-    split = F.col("parts").isNotNull()
-    shared = _entries(classes, True, ["component"]).join(crowded, "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("m"))
-    largest = materialise(shared.groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest")))
-    part = F.when(split, F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.col("region"))
-    all_parts = F.when(split, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64("region", i))).otherwise(F.array("region"))
-    outside = F.col("largest").isNotNull() & (F.col("component") != F.col("largest"))
-
-    touched = _entries(classes.where("asks"), False).unionAll(crowded.select("region")).distinct()
-    here = entries(classes).join(touched, "region", "left_semi").join(largest, "region", "left").withColumns({"asks": F.col("asks") | outside, "split": split})
-    others = here.withColumns({"bucket": part, "query": F.lit(False)}).drop("parts", "largest")
-    queries = here.where("asks").withColumns({"bucket": F.explode(all_parts), "query": F.lit(True)}).drop("parts", "largest")
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts (rep, text) whose rep is in ids. A bitmap of fixed size keeps most other texts from being moved."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
+    bits = np.zeros(BITMAP, bool)
+    bits[ids.select(at("rep").alias("i")).distinct().toPandas()["i"].to_numpy()] = True  # BITMAP rows at most
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for b in it:
+            yield b.filter(pa.array(bits[b.column("i").to_numpy()])).select(["rep", "text"])
+
+    few = texts.where(F.col("rep").isNotNull()).select("rep", "text", at("rep").alias("i")).mapInArrow(sift, "rep long, text string")
+    return few.join(ids.hint("merge"), "rep", "left_semi")
+
+
+def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFrame:
+    """Who asks whom: kind and id of a group, rep, its component, and whether it asks the group or is a member of it."""
+    apart = materialise(_with_sizes(_apart(pairs, labels), labels).select("b", "taken", "leader", "c_a", "c_b", "s_a", "s_b"))
+    first_smaller = F.col("s_a") <= F.col("s_b")
+    smaller, larger = F.when(first_smaller, F.col("c_a")).otherwise(F.col("c_b")), F.when(first_smaller, F.col("c_b")).otherwise(F.col("c_a"))
+    facing = apart.where((F.col("s_a") > 1) | (F.col("s_b") > 1)).select(smaller.alias("component"), larger.alias("g")).distinct()
+    every = labels.select(F.col("node").alias("rep"), "component")
+    alone = lambda df, c: df.select(F.col(c).alias("rep"), F.col(c).alias("component"))  # noqa: E731  a class without links is its own component
+    labelled = lambda df: df.join(every, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    regions = labelled(in_split)
+    largest = regions.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
+    outside = materialise(regions.join(largest, "region").where("component <> largest"))
+
+    nodes = every.unionAll(alone(facing, "component")).distinct()
+    asks_component = facing.join(nodes, "component").select("g", "rep", "component").unionAll(outside.select(F.col("largest").alias("g"), "rep", "component")).distinct()
+    members = asks_component.select("g").distinct().join(every.unionAll(alone(asks_component, "g")).distinct().withColumn("g", F.col("component")), "g").select("g", "rep", "component")
+    failed = apart.where("taken > 0").select(F.col("leader").alias("g"), F.col("b").alias("rep")).distinct()
+    through = pairs.join(failed.select(F.col("g").alias("leader")).distinct(), "leader", "left_semi").select(F.col("leader").alias("g"), F.explode(F.array("a", "b", "leader")).alias("rep")).distinct()
+    own = outside.select(F.col("region").alias("g"), "rep", "component").distinct()
+    out = None
+    for kind, asking, being in ((0, asks_component, members), (1, labelled(failed), labelled(through)), (2, own, own)):
+        for df, asks in ((asking, True), (being, False)):
+            some = df.select(F.lit(kind).alias("kind"), "g", "rep", "component", F.lit(asks).alias("asks"))
+            out = some if out is None else out.unionAll(some)
+    return materialise(out)
+
+
+def _ask(asked: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between those who ask and members of their groups in other components, on the full sets: one for each
+    who asks, block of members and component. A group's members are dealt into blocks; each block sees all who ask."""
+    parts = asked.where("NOT asks").groupBy("kind", "g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    there = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    told = asked.join(texts.hint("merge"), "rep").join(parts, ["kind", "g"]).withColumn("part", F.explode(there))
+    bucket = F.xxhash64("kind", "g", "part")
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(it, "bucket"):
-            gid = t.column("bucket").to_numpy()
-            query, alone, failed, asks, parted = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "alone", "failed", "asks", "split"))
-            component = t.column("component").to_numpy()
-            rep, n, sk = _columns(t)
-            for i in np.flatnonzero(query):
-                lo, hi = np.searchsorted(gid, [gid[i], gid[i] + 1])
-                other = np.arange(lo, hi)
-                go = ~query[other] & (component[other] != component[i]) & (10 * np.minimum(n[other], n[i]) >= 8 * np.maximum(n[other], n[i]))
-                go &= ~alone[other] | (not alone[i]) | failed[other] | failed[i] | parted[i]
-                go &= ~asks[other] | (rep[other] > rep[i])  # of two that ask, one finds the pair
-                other = other[go]
-                other = other[(sk[other] == sk[i]).sum(axis=1) >= DECIDE]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[other]), pa.array(np.full(len(other), rep[i]))], ["a", "b"])
-
-    both = queries.unionByName(others).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return both.mapInArrow(ask, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        now, open_, reps, components, sets = None, True, [], [], []
+        hashes = doc = first = sizes = None
+        for b in batches(it):
+            key, asks = b.column("bucket").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            rep, component = b.column("rep").to_numpy(), b.column("component").to_numpy()
+            out: list[tuple[int, int]] = []
+            for i, s in enumerate(shingle_sets(*text_bytes(b.column("text")), k)):
+                if key[i] != now:
+                    now, open_, reps, components, sets = key[i], True, [], [], []
+                if not asks[i]:
+                    reps.append(rep[i])
+                    components.append(component[i])
+                    sets.append(s)
+                    continue
+                if open_:  # members come first: from here on their shingles are an index
+                    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+                    sizes = np.array([len(x) for x in sets], np.int64)
+                    order = np.argsort(flat, kind="stable")
+                    doc = np.repeat(np.arange(len(sets)), sizes)[order]
+                    hashes, first = np.unique(flat[order], return_index=True)
+                    first = np.append(first, len(flat))
+                    labels, open_, sets = np.array(components), False, []
+                if not len(hashes) or not len(s):
+                    continue
+                at = np.searchsorted(hashes, s)
+                at = at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == s)]
+                n = first[at + 1] - first[at]
+                hits = doc[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                both = np.bincount(hits, minlength=len(sizes))
+                good = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (labels != component[i]))
+                _, one = np.unique(labels[good], return_index=True)
+                out += [(int(reps[j]), int(rep[i])) for j in good[one]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ready = told.select(bucket.alias("bucket"), "asks", "rep", "component", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
+    return ready.mapInArrow(ask, "a long, b long")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
