@@ -35,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of a query that ended are of no more use and are removed at once, not when the driver's memory is cleaned.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgrid_path = path
     return out
