@@ -174,12 +174,3 @@ def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def spread_seed(*values: int) -> int:
-    """A reproducible 63-bit seed from integers."""
-    x = np.array([0x5851F42D4C957F2D], U64)
-    for v in values:
-        x = mix64(x + U64(v & 0xFFFFFFFFFFFFFFFF))
-    return int(x[0] >> U64(1))
-

@@ -47,7 +47,7 @@ SKETCH = 48
 LOOKS, DECIDE, FLAG = 38, 27, 15
 _SMALL = 24
 #: Members of a group that those who ask meet in one place.
-BLOCK = 400
+BLOCK = 1500
 #: Bits of the bitmap that keeps texts nobody asks for from being moved.
 BITMAP = 1 << 23
 
@@ -133,7 +133,10 @@ def _entries(classes: DataFrame, wide: bool, named: bool = False) -> DataFrame:
 
 
 def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (class, class, matches, whether the first took the second, the leader, the second's row) to decide in groups of classes (gid sorted), and which rows led others."""
+    """What is to be decided in groups of classes (gid sorted), and which rows led others.
+
+    Of each pair: class, class, matches, whether the first took the second, the leader, the second's row.
+    """
     m = len(gid)
     free = np.ones(m, bool)
     led = np.zeros(m, bool)
@@ -238,12 +241,11 @@ def _decide(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for b in batches(it):
-            ids = b.column("a").to_numpy()
             good = np.zeros(b.num_rows, bool)
             for i, s in enumerate(shingle_sets(*text_bytes(b.column("text_b")), k)):
-                if last != ids[i]:  # rows come sorted by a; its text is sent with each, its set made once
-                    one = b.column("text_a").slice(i, 1)
-                    last, own = ids[i], next(shingle_sets(*text_bytes(one), k))
+                one = b.column("text_a").slice(i, 1)
+                if one != last:  # rows come sorted by a; its text is sent with each, its set made once
+                    last, own = one, next(shingle_sets(*text_bytes(one), k))
                 both = len(np.intersect1d(own, s, assume_unique=True))
                 good[i] = len(s) > 0 and 100 * both >= percent * (len(own) + len(s) - both)
             yield b.select(["a", "b"]).filter(pa.array(good))
