@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, materialise, mix64, small_batches, text_bytes, word_hashes
+from .common import U64, batches, discard, materialise, mix64, small_batches, text_bytes, word_hashes
 from .language_id import crc_mod
 
 #: Discount and strength of the shared restaurant and of the contexts'.
@@ -229,18 +229,27 @@ def _merged_pairs(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return su[new], sw[new], count, np.split(back, np.cumsum([len(r["c"]) // 6 for r in asked])[:-1])
 
 
+def _ascending(number: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The numbers of some rows, which ascend, as steps; small steps make dense tables."""
+    return np.diff(number[rows[which]], prepend=0)
+
+
 def _merge(shards: int, hot: np.ndarray):
-    """Shard: add up what chunks counted; one table a pair. Tells the words' shards the customers, keeps pairs of two or more."""
+    """Shard: add up what chunks counted; one table a pair. Tells the words' shards the customers, keeps pairs of two or
+    more, and, for each chunk, the counts of all it asked for and which of the kept its words and pairs are."""
 
     def merge(t: pa.Table) -> pa.Table:
         r, mail = t.column("to")[0].as_py(), _mail(t)
         words, at = np.unique(np.concatenate([_unpack(m["a"]) for m in mail["ask_words"]]), return_inverse=True)
         count = np.bincount(at, np.concatenate([_u32(m["d"]) for m in mail["ask_words"]]), len(words)).astype(np.int64)
+        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 6 for m in mail["ask_words"]])[:-1]))]
         words, count = words[count > 0], count[count > 0]
         token = words != START
         totals = np.array([count[token].sum(), token.sum()], "<i8")
         out = [(r, r, "words", _pack(words), None, None, _bytes(count, "<u4")), (r, r, "totals", totals.tobytes())]
-        u, w, c, _ = _merged_pairs(mail["ask_pairs"])
+        u, w, c, back = _merged_pairs(mail["ask_pairs"])
+        replies += [[(r, m["frm"], "reply_pairs"), c[x], _ascending(np.cumsum(c > 1) - 1, x, c[x] > 1)] for m, x in zip(mail["ask_pairs"], back)]
+        out += [(*head, _bytes(n, "<u4"), _bytes(steps, "<u4")) for head, n, steps in replies]
         u, w, c = u[c > 0], w[c > 0], c[c > 0]
         context, at = np.unique(u, return_inverse=True)
         single = np.bincount(at[c == 1], minlength=len(context))
@@ -346,32 +355,29 @@ def _answer(samples: int):
 
     def answer(t: pa.Table) -> pa.Table:
         r, mail = t.column("to")[0].as_py(), _mail(t)
-        words, count = _unpack(mail["words"][0]["a"]), _u32(mail["words"][0]["d"])
+        words = _unpack(mail["words"][0]["a"])
         num = [_f32(m["a"]) for m in mail["word_sample"]]
         context = _unpack(mail["pairs"][0]["a"])
-        tables = [_u32(m["b"]) for m in mail["pair_sample"]]
         seats = [_u32(m["a"]) for m in mail["pair_sample"]]
+        tables = [np.zeros(len(words), np.int64) for _ in seats]
+        at = np.minimum(np.searchsorted(words, context), max(len(words) - 1, 0))
+        own = words[at] == context if len(words) else np.zeros(len(context), bool)  # not those of hot contexts kept elsewhere
+        for t, m in zip(tables, mail["pair_sample"]):
+            t[at[own]] = _u32(m["b"])[own]
         out = []
-
-        def lookup(keys: np.ndarray, table: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-            at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-            there = table[at] == keys if len(table) else np.zeros(len(keys), bool)
-            return [np.where(there, v[at] if len(v) else 0, 0) for v in values]
-
-        for m in mail["ask_words"]:
-            keys = _unpack(m["a"])
-            n, *v = lookup(keys, words, [count, *num])
-            tab = lookup(keys, context, tables)
-            out.append((m["frm"], r, "words", _bytes(n, "<u4"), _bytes(np.concatenate(v), "<f4"), _bytes(np.concatenate(tab), "<u4")))
-        _, _, c, back = _merged_pairs(mail["ask_pairs"])
-        two = c > 1
-        values = []
-        for s in seats:
-            n = np.minimum(c, 1)
-            n[two] = s
-            values.append((c - d * n).astype("<f4"))
-        for m, at in zip(mail["ask_pairs"], back):
-            out.append((m["frm"], r, "pairs", b"".join(v[at].tobytes() for v in values)))
+        for m in mail["reply_words"]:
+            n, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
+            known = n > 0
+            v, tab = np.zeros((samples, len(n))), np.zeros((samples, len(n)), np.int64)
+            for s in range(samples):
+                v[s, known], tab[s, known] = num[s][there], tables[s][there]
+            out.append((m["frm"], r, "words", _bytes(n, "<u4"), _bytes(v, "<f4"), _bytes(tab, "<u4")))
+        for m in mail["reply_pairs"]:
+            c, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
+            v = np.tile(c - d * np.minimum(c, 1), (samples, 1))
+            for s in range(samples):
+                v[s, c > 1] = c[c > 1] - d * seats[s][there]
+            out.append((m["frm"], r, "pairs", _bytes(v, "<f4")))
         return pa.Table.from_batches([_rows(out)])
 
     return answer
@@ -411,8 +417,7 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     def added(rows: DataFrame, kind: str) -> list[int]:
         return np.sum([np.frombuffer(m["a"], "<i8") for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
 
-    asked = _ask(chunks, shards, hot)
-    merged = materialise(by_shard(asked, _merge(shards, hot)))
+    merged = materialise(by_shard(_ask(chunks, shards, hot), _merge(shards, hot)))
     train, known = added(merged, "totals")
     kind = F.col("kind")
     settled = materialise(by_shard(merged.where(kind.isin("words", "customers")), _settle))
@@ -420,18 +425,21 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     pairs_state, seats = merged.where(kind == "pairs"), None
     hot_now, tables, kept = hot_tables(merged), known, []
     sums = []
+    done: list[DataFrame] = []
     for sweep in range(BURN + SAMPLES):
         keep = sweep >= BURN
         up = materialise(by_shard(words_state.unionByName(counts), _seat_words(sweep, seed, tables, known, keep)))
         customers, tables = added(up, "sums")
         down_in = pairs_state.unionByName(up.where(kind == "parent"))
         down = materialise(by_shard(down_in if seats is None else down_in.unionByName(seats), _seat_pairs(sweep, seed, customers, tables, known, hot_now, keep)))
+        discard(*done)
+        done = [] if keep else [up, down]  # the next sweep reads them, none after it
         counts, seats, hot_now = down.where(kind == "count"), down.where(kind == "seats"), hot_tables(down)
         if keep:
             kept += [up.where(kind == "word_sample"), down.where(kind == "pair_sample")]
             sums.append((customers, tables, hot_now))
-    told = asked
-    for x in [merged.where(kind.isin("words", "pairs")), *kept]:
+    told = merged.where(kind.isin("words", "pairs", "reply_words", "reply_pairs"))
+    for x in kept:
         told = told.unionByName(x)
     answers = by_shard(told, _answer(SAMPLES)).withColumnRenamed("to", "chunk")
     d, theta = CONTEXTS
