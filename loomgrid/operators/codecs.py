@@ -68,7 +68,27 @@ class _Bytes:
         return out
 
 
-class Dense:
+class _Encoded:
+    """What all formats share: their size, equality of representation, products with vectors."""
+
+    __hash__ = None
+
+    def size(self) -> int:
+        return len(self.write())
+
+    def __eq__(self, other: object) -> bool:
+        return type(self) is type(other) and self.write() == other.write()
+
+    def times_vector(self, v: np.ndarray) -> np.ndarray:
+        """M v."""
+        return self.times(np.asarray(v, float)[:, None])[:, 0]
+
+    def vector_times(self, v: np.ndarray) -> np.ndarray:
+        """v M."""
+        return self.transposed_times(np.asarray(v, float)[:, None])[:, 0]
+
+
+class Dense(_Encoded):
     """`mat`: all cells."""
 
     def __init__(self, x: np.ndarray):
@@ -150,7 +170,7 @@ class DenseDictionary(Dense):
         return float(np.bincount(self.ids.reshape(-1), minlength=len(self.values)) @ self.values)
 
 
-class Sparse:
+class Sparse(_Encoded):
     """`csr`: sizes of rows, columns and values of their cells."""
 
     def __init__(self, cols: int, sizes: np.ndarray, at: np.ndarray, values: np.ndarray):
@@ -238,7 +258,7 @@ class SparseDictionary(Sparse):
         return float(np.bincount(self.ids, minlength=len(self.stored)) @ self.stored)
 
 
-class Logical:
+class Logical(_Encoded):
     """`logicalfoc`: initial pairs and LZW codes."""
 
     def __init__(self, cols: int, pair_cols: np.ndarray, pair_values: np.ndarray, sizes: np.ndarray, codes: np.ndarray, nodes: int):

@@ -120,7 +120,7 @@ def on_encoded(batches: DataFrame, name: str, size: int, apply: Callable[[object
 
 def encoded_matvec(batches: DataFrame, name: str, size: int, vector: np.ndarray) -> DataFrame:
     def apply(m, first):
-        return {"row_id": first + np.arange(m.rows), "y": m.times(vector[:, None])[:, 0]}
+        return {"row_id": first + np.arange(m.rows), "y": m.times_vector(vector)}
 
     return on_encoded(batches, name, size, apply, "row_id long, y double")
 
@@ -130,7 +130,7 @@ def encoded_vecmat(batches: DataFrame, name: str, size: int, vector: Callable[[n
 
     def apply(m, first):
         v = vector(first + np.arange(m.rows))
-        return {"col": np.arange(m.cols, dtype=np.int32), "y": m.transposed_times(v[:, None])[:, 0]}
+        return {"col": np.arange(m.cols, dtype=np.int32), "y": m.vector_times(v)}
 
     return on_encoded(batches, name, size, apply, "col int, y double").groupBy("col").agg(F.sum("y").alias("y"))
 

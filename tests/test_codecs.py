@@ -62,7 +62,9 @@ def test_every_format_agrees(case):
     for name, cls in FORMATS.items():
         data = encode(name, rows, cols)
         m = cls.read(data)
-        assert m.write() == data
+        assert m.write() == data and m.size() == len(data)
+        assert m == cls.read(data) and (not rows or not cols or m != cls.of([*rows, [(0, 9.5)]], cols))
+        assert np.allclose(m.times_vector(b[:, 0]), x @ b[:, 0]) and np.allclose(m.vector_times(left[:, 1]), left[:, 1] @ x)
         assert np.allclose(m.times(b), x @ b) and np.allclose(m.transposed_times(left), x.T @ left)
         assert m.total() == pytest.approx(x.sum())
         r, c, v = m.cells()
