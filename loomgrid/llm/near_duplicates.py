@@ -40,7 +40,7 @@ from .components import connected_components
 
 TREES, LEVELS, DEPTH = 20, 6, 4
 #: Classes of a region that are compared in one place; larger regions are split.
-REGION = 1000
+REGION = 200
 #: Bytes of the sketch that estimates similarity, one byte a minimum.
 SKETCH = 48
 #: Matching bytes from which a pair looks linked, is to be decided, or is near: 0.8, and 0.8 and 0.6 less four standard deviations.
@@ -132,10 +132,11 @@ def _entries(classes: DataFrame, wide: bool, named: bool = False) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(spread, kind)
 
 
-def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What is to be decided in groups of classes (gid sorted), and which rows led others.
 
-    Of each pair: class, class, matches, whether the first took the second, the leader, the second's row.
+    Of each pair: class, class, matches, whether the first took the second, the leader, the second's row. In regions that
+    were split (rows in `split`) only what leaders take is told, as there everyone else asks.
     """
     m = len(gid)
     free = np.ones(m, bool)
@@ -154,11 +155,12 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tu
         same = (sk[rows] == sk[pivot]).sum(axis=1)
         decide = (same >= DECIDE) & sizes_allow(rows, pivot, 8) & (rows != pivot)
         taken = decide & (same >= LOOKS)
+        decide &= taken | ~split[rows]
         out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64), rep[pivot[decide]], rows[decide]]))
         free[rows[taken]] = False
         free[pivot] = False
         led[pivot[decide]] = True
-        near = (same >= FLAG) & ~taken & sizes_allow(rows, pivot, 6) & (rows != pivot) & np.isin(pivot, pivot[taken])
+        near = (same >= FLAG) & ~taken & sizes_allow(rows, pivot, 6) & (rows != pivot) & ~split[rows] & np.isin(pivot, pivot[taken])
         for p in np.unique(pivot[near]):  # what is near a leader but not taken may be linked to one that it took
             mine, others = rows[taken & (pivot == p)], rows[near & (pivot == p)]
             for i in range(0, len(others), 64):
@@ -219,7 +221,7 @@ def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
                 continue
             t = t.take(pa.array(at))
             rep, n, sk = _columns(t)
-            (a, b, same, taken, leader, row), led = _lead(gid[at], rep, n, sk)
+            (a, b, same, taken, leader, row), led = _lead(gid[at], rep, n, sk, split[at])
             whole = ~split[at][row]
             lead = t.take(pa.array(np.flatnonzero(led & split[at]))).combine_chunks()
             k, m = lead.num_rows, len(a)
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     columns = ["a", "b", "same", "taken", "leader", "whole"]
     pairs = found.where(F.col("b").isNotNull()).select(*columns)
     leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
-    again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(False)}), parts)
+    again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(True)}), parts).where(F.col("b").isNotNull())
     pairs = pairs.unionByName(again.select(*columns)).where("a <> b")
     pairs = materialise(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
 
