@@ -68,9 +68,22 @@ def _bytes(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def _dense(blob: bytes | None) -> bytes | None:
+    """A part of a message as it is sent: its length and its compressed bytes."""
+    return None if blob is None else len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _open(blob: bytes | None) -> bytes | None:
+    return None if blob is None else pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _opened(row: dict) -> dict:
+    return row | {c: _open(row[c]) for c in "abcd" if c in row}
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     """Messages (to, frm, kind, a, b, c, d); missing parts are null."""
-    full = [(*r, *[None] * (7 - len(r))) for r in rows]
+    full = [(*r[:3], *map(_dense, r[3:]), *[None] * (7 - len(r))) for r in rows]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, t in enumerate(kinds)], ["to", "frm", "kind", "a", "b", "c", "d"])
 
@@ -78,7 +91,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _mail(t: pa.Table) -> dict[str, list[dict]]:
     """Messages by kind, in the order of their senders."""
     out: dict[str, list[dict]] = {}
-    for r in sorted(t.to_pylist(), key=lambda r: r["frm"]):
+    for r in sorted(map(_opened, t.to_pylist()), key=lambda r: r["frm"]):
         out.setdefault(r["kind"], []).append(r)
     return out
 
@@ -132,7 +145,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             at = at[:-2]
             n = np.bincount(at, minlength=len(words))
             big = np.flatnonzero(n * 256 >= len(at))
-            row = [[number], [ids[:]], [held[:]], [lens[:]], [_pack(words)], [_bytes(at, "<u4")], [_pack(words[big]) + _bytes(n[big], "<u8")]]
+            row = [[number], [ids[:]], [held[:]], [lens[:]], [_pack(words)], [_dense(_bytes(at, "<u4"))], [_pack(words[big]) + _bytes(n[big], "<u8")]]
             number, count = number + 1, 0
             for x in (ids, held, lens, toks):
                 x.clear()
@@ -162,7 +175,7 @@ class _Chunk:
 
     def __init__(self, row: dict, shards: int, hot: np.ndarray):
         self.words = _unpack(row["words"])
-        self.toks = np.frombuffer(row["toks"], "<u4").astype(np.int64)
+        self.toks = _u32(_open(row["toks"]))
         self.lens, self.held = np.array(row["lens"], np.int64), np.array(row["held"], bool)
         self.first = np.cumsum(self.lens) - self.lens
         before = np.empty_like(self.toks)
@@ -410,20 +423,22 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
         out: dict[int, int] = {}
         if len(hot):
             for m in rows.where(F.col("kind") == "hot").select("a", "b").collect():  # 2 shards words at most, from each shard
-                for w, n in zip(_unpack(m["a"]).tolist(), _u32(m["b"]).tolist()):
+                for w, n in zip(_unpack(_open(m["a"])).tolist(), _u32(_open(m["b"])).tolist()):
                     out[w] = out.get(w, 0) + n
         return out
 
     def added(rows: DataFrame, kind: str) -> list[int]:
-        return np.sum([np.frombuffer(m["a"], "<i8") for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
+        return np.sum([np.frombuffer(_open(m["a"]), "<i8") for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
 
     merged = materialise(by_shard(_ask(chunks, shards, hot), _merge(shards, hot)))
     train, known = added(merged, "totals")
     kind = F.col("kind")
     settled = materialise(by_shard(merged.where(kind.isin("words", "customers")), _settle))
     words_state, counts = settled.where(kind == "known"), settled.where(kind == "count")
-    pairs_state, seats = merged.where(kind == "pairs"), None
     hot_now, tables, kept = hot_tables(merged), known, []
+    lasting = materialise(merged.where(kind.isin("words", "pairs", "reply_words", "reply_pairs")))
+    discard(merged)
+    pairs_state, seats = lasting.where(kind == "pairs"), None
     sums = []
     done: list[DataFrame] = []
     for sweep in range(BURN + SAMPLES):
@@ -438,7 +453,8 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
         if keep:
             kept += [up.where(kind == "word_sample"), down.where(kind == "pair_sample")]
             sums.append((customers, tables, hot_now))
-    told = merged.where(kind.isin("words", "pairs", "reply_words", "reply_pairs"))
+    discard(settled)
+    told = lasting
     for x in kept:
         told = told.unionByName(x)
     answers = by_shard(told, _answer(SAMPLES)).withColumnRenamed("to", "chunk")
@@ -447,7 +463,7 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     def score(key: object, own: pa.Table, mail: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
         x = _Chunk(row, shards, hot)
-        got = {(m["frm"], m["kind"]): m for m in mail.to_pylist()}
+        got = {(m["frm"], m["kind"]): _opened(m) for m in mail.to_pylist()}
         n_w, n_p = len(x.words), len(x.u)
         count, num, tab, val = np.zeros(n_w, np.int64), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_p))
         for r in range(shards):
