@@ -37,7 +37,7 @@ WORDS, CONTEXTS = (0.6, 1.0), (0.85, 1.0)
 BURN, SAMPLES = 1, 2
 EXACT = 64
 #: Tokens of a chunk and of a shard, about.
-CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
+CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 2_200_000
 _M48 = U64((1 << 48) - 1)
 END, START = U64(0x0E4D), U64(0x57A7)
 
