@@ -51,5 +51,7 @@ def scale_sparse(cells: Column, factor: float) -> Column:
     return F.transform(cells, lambda c: F.struct(c["col"].alias("col"), scaled(c["val"], factor).alias("val"))) if factor else cells
 
 
-def shard_range(rows: DataFrame, start: int, end: int) -> DataFrame:
-    return rows.where((F.col("shard_id") >= start) & (F.col("shard_id") < end))
+def shard_range(rows: DataFrame, start: int, end: int | None) -> DataFrame:
+    """Rows of the shards start..end; without an end, of all from start."""
+    out = rows.where(F.col("shard_id") >= start)
+    return out if end is None else out.where(F.col("shard_id") < end)

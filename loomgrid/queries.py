@@ -231,7 +231,7 @@ def s7_accessors(spark, sf_dir):
 
 
 def _generated(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return jobs.generate(e_rows(spark, sf_dir), jobs.GenerateConfig(format=name, batch_size=SIZE, batches_per_shard=1, scale=0.0, num_cols=COLS, check=True))
+    return jobs.generate(e_rows(spark, sf_dir), jobs.GenerateConfig(format=name, batch_size=SIZE, batches_per_shard=1, end_shard=None, scale=0.0, num_cols=COLS, check=True))
 
 
 @query(f"WITH {E_SQL} SELECT row_id, col::INT AS col, val FROM cells WHERE row_id >= {SIZE}")

@@ -7,6 +7,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid import queries
 
@@ -40,6 +41,24 @@ def test_rows_only_queries(spark):
     assert 0 < sizes["size_toc"] < sizes["size_logical"]
 
 
+@pytest.fixture(scope="module")
+def many_shards(spark, tmp_path_factory):
+    """Embeddings of 122 shards, the last one short."""
+    path = str(tmp_path_factory.mktemp("many"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("id") * 7 + i * 3) % 11 - 5).cast("float"))
+    spark.range(121 * 250 + 40).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), v.alias("embedding")).write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+def test_jobs_cover_tables_of_many_shards(spark, many_shards):
+    n = 121 * 250 + 40
+    made = queries.QUERIES["j7_generate"](spark, many_shards).toPandas()
+    assert sorted(made.shard_id) == list(range(122)) and made.num_rows.sum() == n
+    for name, first in (("s8_shard_table", 250), ("s9_shard_files", 0)):
+        r = queries.QUERIES[name](spark, many_shards).agg(F.min("row_id"), F.max("row_id"), F.countDistinct("row_id")).first()
+        assert tuple(r) == (first, n - 1, n - first)
+
+
 def test_entry_without_llm(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{here}/loomgrid", tmp_path / "loomgrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
