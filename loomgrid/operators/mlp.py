@@ -111,6 +111,27 @@ def gradients(batches: DataFrame, name: str, model: Mlp) -> tuple[list[np.ndarra
     return dw, db, rows
 
 
+def evaluate(batches: DataFrame, name: str, models: list[Mlp]) -> list[tuple[float, float]]:
+    """Loss and accuracy of each model over all rows of the batches; partial sums are made where the batches are."""
+    sent = batches.sparkSession.sparkContext.broadcast(models)
+    cls = codec(name)
+
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, right, rows = np.zeros(len(sent.value)), np.zeros(len(sent.value), np.int64), 0
+        for b in it:
+            for payload, labels in zip(b.column("payload").to_pylist(), b.column("labels").to_pylist()):
+                x, y = cls.read(payload), np.array(labels)
+                if len(y):
+                    loss += [m.loss(x, y) * len(y) for m in sent.value]
+                    right += [round(m.accuracy(x, y) * len(y)) for m in sent.value]
+                    rows += len(y)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss))), pa.array(loss), pa.array(right), pa.array(np.full(len(loss), rows))], ["i", "loss", "right", "n"])
+
+    sums = batches.select("payload", "labels").mapInArrow(part, "i long, loss double, right long, n long").groupBy("i").agg((F.sum("loss") / F.sum("n")).alias("loss"), (F.sum("right") / F.sum("n")).alias("accuracy"))
+    return [(r["loss"], r["accuracy"]) for r in sums.orderBy("i").collect()]  # a row for each model
+
+
 def layer(cells: DataFrame, rows: DataFrame, weights: DataFrame, offsets: DataFrame, width: int) -> DataFrame:
     """row_id, k, z: a layer's inputs to its units. weights: col, k, b; offsets: k, o."""
     z = matmul(cells, rows, weights, width).join(F.broadcast(offsets), "k")
@@ -137,24 +158,25 @@ def output_errors(outputs: DataFrame, labels: DataFrame, single: bool = False) -
     return outputs.join(labels, "row_id").select("row_id", "k", (F.col("out") - target).alias("err"))
 
 
-def weight_gradient(left: DataFrame, errors: DataFrame) -> DataFrame:
-    """col, k, g: the sums of left outputs times errors. left: row_id, col, val."""
-    return left.join(errors, "row_id").groupBy("col", "k").agg(F.sum(F.col("val") * F.col("err")).alias("g"))
+def weight_gradient(left: DataFrame, errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """col, k, g: the sums of left outputs times errors, for each group of the errors. left: row_id, col, val."""
+    return left.join(errors, "row_id").groupBy(*by, "col", "k").agg(F.sum(F.col("val") * F.col("err")).alias("g"))
 
 
-def offset_gradient(errors: DataFrame) -> DataFrame:
-    return errors.groupBy("k").agg(F.sum("err").alias("g"))
+def offset_gradient(errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return errors.groupBy(*by, "k").agg(F.sum("err").alias("g"))
 
 
-def updated(weights: DataFrame, gradient: DataFrame, keys: list[str], value: str, rate: float, rows: int) -> DataFrame:
-    new = F.col(value) - F.coalesce("g", F.lit(0.0)) * F.lit(rate / rows)
+def updated(weights: DataFrame, gradient: DataFrame, keys: list[str], value: str, rate: float, rows: int | Column) -> DataFrame:
+    """rows: their number, or a column of the weights."""
+    new = F.col(value) - F.coalesce("g", F.lit(0.0)) * (F.lit(rate) / rows)
     return weights.join(gradient, keys, "left").select(*keys, new.alias(value))
 
 
-def back(errors: DataFrame, weights: DataFrame, left: DataFrame) -> DataFrame:
-    """row_id, k, err of the layer before: errors through the weights, times out (1 - out). left: row_id, k, out."""
-    passed = errors.join(weights, "k").groupBy("row_id", F.col("col").alias("k")).agg(F.sum(F.col("err") * F.col("b")).alias("e"))
-    return passed.join(left, ["row_id", "k"]).select("row_id", "k", (F.col("e") * F.col("out") * (1 - F.col("out"))).alias("err"))
+def back(errors: DataFrame, weights: DataFrame, left: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, k, err of the layer before: errors through the weights, of their group, times out (1 - out). left: row_id, k, out."""
+    passed = errors.join(weights, [*by, "k"]).groupBy(*by, "row_id", F.col("col").alias("k")).agg(F.sum(F.col("err") * F.col("b")).alias("e"))
+    return passed.join(left, ["row_id", "k"]).select(*by, "row_id", "k", (F.col("e") * F.col("out") * (1 - F.col("out"))).alias("err"))
 
 
 def loss(errors: DataFrame, rows: int | Column, outputs: int) -> DataFrame:

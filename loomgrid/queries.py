@@ -544,6 +544,87 @@ def n9_step_encoded(spark, sf_dir):
     return rounded(spark.createDataFrame(out, "layer int, col int, k int, w double"), "w")
 
 
+# The same for every batch of the table, each from the closed weights.
+
+_EACH = f""",
+ids AS (SELECT vec_id AS row_id, vec_id // {SIZE} AS batch_id FROM embeddings),
+errb AS (SELECT * FROM err JOIN ids USING (row_id)),
+nb AS (SELECT batch_id, count(*) AS n FROM ids GROUP BY batch_id),
+g2b AS (SELECT batch_id, h.k AS i, errb.k, sum(h.out * errb.err) AS g FROM h JOIN errb USING (row_id) GROUP BY batch_id, h.k, errb.k),
+w2b AS (SELECT batch_id, i, k, {_W2.format(i='i', k='k')} - g * ({RATE} / n) AS w FROM g2b JOIN nb USING (batch_id)),
+bpb AS (SELECT errb.batch_id, errb.row_id, w2b.i AS k, sum(errb.err * w2b.w) AS e FROM errb JOIN w2b ON w2b.batch_id = errb.batch_id AND w2b.k = errb.k GROUP BY errb.batch_id, errb.row_id, w2b.i),
+ehb AS (SELECT bpb.batch_id, bpb.row_id, bpb.k, e * out * (1 - out) AS err FROM bpb JOIN h ON h.row_id = bpb.row_id AND h.k = bpb.k),
+g1b AS (SELECT batch_id, col AS i, ehb.k, sum(val * err) AS g FROM cells JOIN ehb USING (row_id) GROUP BY batch_id, col, ehb.k)
+"""
+_BY = ("batch_id",)
+
+
+def _each_batch(net: _Net) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Errors with their batch; updated weights of the last layer, errors that pass through them, updated weights of the first, by batch."""
+    err = net.err.withColumn("batch_id", F.floor(F.col("row_id") / SIZE))
+    sizes = batching.contiguous(net.ids, SIZE).groupBy("batch_id").agg(F.count("*").alias("n"))
+
+    def step(weights: DataFrame, gradient: DataFrame) -> DataFrame:
+        return mlp.updated(sizes.crossJoin(weights), gradient, ["batch_id", "col", "k"], "b", RATE, F.col("n"))
+
+    w2 = step(net.w2, mlp.weight_gradient(mlp.as_cells(net.hidden), err, _BY))
+    eh = mlp.back(err, w2, net.hidden, _BY)
+    return err, w2, eh, step(net.w1, mlp.weight_gradient(net.cells, eh, _BY))
+
+
+@query(MLP_SQL + _EACH + "SELECT batch_id, i::INT AS col, k::INT AS k, round(g, 6) AS g FROM g2b")
+def n7_grad_w_batches(spark, sf_dir):
+    net = _Net(spark, sf_dir)
+    return rounded(mlp.weight_gradient(mlp.as_cells(net.hidden), _each_batch(net)[0], _BY), "g")
+
+
+@query(MLP_SQL + _EACH + "SELECT batch_id, k::INT AS k, round(sum(err), 6) AS g FROM errb GROUP BY batch_id, k")
+def n7_grad_b_batches(spark, sf_dir):
+    return rounded(mlp.offset_gradient(_each_batch(_Net(spark, sf_dir))[0], _BY), "g")
+
+
+@query(MLP_SQL + _EACH + "SELECT batch_id, row_id, k::INT AS k, round(err, 6) AS err FROM ehb")
+def n8_backprop_batches(spark, sf_dir):
+    return rounded(_each_batch(_Net(spark, sf_dir))[2], "err")
+
+
+_N9_EACH = (
+    MLP_SQL
+    + _EACH
+    + f"""SELECT nb.batch_id, 1 AS layer, c.i::INT AS col, t.k::INT AS k, round({_W1.format(i='c.i', k='t.k')} - coalesce(g, 0) * ({RATE} / n), 6) AS w
+FROM nb CROSS JOIN range({COLS}) c(i) CROSS JOIN range({HIDDEN}) t(k) LEFT JOIN g1b ON g1b.batch_id = nb.batch_id AND g1b.i = c.i AND g1b.k = t.k
+UNION ALL SELECT batch_id, 2, i::INT, k::INT, round(w, 6) FROM w2b"""
+)
+
+
+@query(_N9_EACH)
+def n9_step_batches(spark, sf_dir):
+    _, w2, _, w1 = _each_batch(_Net(spark, sf_dir))
+    both = w1.select("batch_id", F.lit(1).alias("layer"), "col", "k", F.col("b").alias("w")).unionAll(w2.select("batch_id", F.lit(2), "col", "k", "b"))
+    return rounded(both, "w")
+
+
+@query(_N9_EACH)
+def n9_step_encoded_batches(spark, sf_dir):
+    """The same steps by the trainer, on every batch as stored."""
+    import pyarrow as pa
+
+    model, cls = _closed_model(), codec("toc")
+
+    def run(it):
+        for b in it:
+            for batch_id, payload, labels in zip(*(b.column(c).to_pylist() for c in ("batch_id", "payload", "labels"))):
+                own = mlp.Mlp([COLS, HIDDEN, OUTPUTS], RATE)
+                own.weights, own.offsets = list(model.weights), list(model.offsets)
+                own.step(cls.read(payload), np.array(labels))
+                for n, w in enumerate(own.weights):
+                    i, k = np.divmod(np.arange(w.size, dtype=np.int32), np.int32(w.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([batch_id] * w.size, pa.int64()), pa.array([n + 1] * w.size, pa.int32()), pa.array(i), pa.array(k), pa.array(w.reshape(-1))], ["batch_id", "layer", "col", "k", "w"])
+
+    made = e_batches(spark, sf_dir, "toc").select("batch_id", "payload", "labels")
+    return rounded(made.mapInArrow(run, "batch_id long, layer int, col int, k int, w double"), "w")
+
+
 @query(MLP_SQL + f"SELECT round(sum(0.5 * err * err) / (SELECT count(*) FROM embeddings) / {OUTPUTS}, 6) AS loss FROM err")
 def n10_loss(spark, sf_dir):
     net = _Net(spark, sf_dir)
@@ -567,13 +648,12 @@ def j7_generate(spark, sf_dir):
 
 @query()
 def train_epochs(spark, sf_dir):
-    """epoch, shard, batches, loss, accuracy of a short training on stored shards, tested on the last 250 rows."""
+    """epoch, shard, batches, loss, accuracy of a short training on stored shards, tested on all rows after each shard."""
     path = scratch_path(spark)
     shards.write_shards(_generated(spark, sf_dir, "toc"), path, "toc")
-    last = e_rows(spark, sf_dir).orderBy(F.desc("row_id")).limit(SIZE).select("dense", "label").toPandas()  # a fixed number of rows
-    test = np.stack(last["dense"].to_numpy()), last["label"].to_numpy()
+    made = shards.read_shards(spark, path, "toc")
     config = jobs.TrainConfig(format="toc", hidden=(20,), num_cols=COLS, epochs=3, rate=0.5)
-    _, log = jobs.train(shards.read_shards(spark, path, "toc"), config, test=test)
+    _, log = jobs.train(made, config, test=made)
     return spark.createDataFrame([(t.epoch, int(t.shard), t.batches, round(t.loss, 9), t.accuracy) for t in log], "epoch int, shard int, batches int, loss double, accuracy double")
 
 

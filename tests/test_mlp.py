@@ -71,6 +71,15 @@ def test_gradients_over_many_batches(spark):
     assert n == 200 and np.allclose(dw[1], out[0].T @ err) and np.allclose(dw[0], x.T @ hid) and np.allclose(db[0], hid.sum(0))
 
 
+def test_testing_on_encoded_batches(spark, monkeypatch):
+    rows, x, y = data(spark)
+    made = jobs.generate(rows, jobs.GenerateConfig(format="toc", batch_size=30, batches_per_shard=3, scale=0.0, num_cols=6)).cache()
+    monkeypatch.setattr(jobs, "EVALUATED", 4)
+    config = jobs.TrainConfig(format="toc", hidden=(4,), outputs=2, num_cols=6, epochs=2, rate=2.0, seed=3)
+    (_, log), (_, plain) = (jobs.train(made, config, test=t) for t in (made, (x, y)))
+    assert len(log) == 6 and np.allclose([t.loss for t in log], [t.loss for t in plain]) and np.allclose([t.accuracy for t in log], [t.accuracy for t in plain])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows, x, y = data(spark)
     made = jobs.generate(rows, jobs.GenerateConfig(format="toc", batch_size=50, scale=0.0, num_cols=6)).coalesce(1)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid import queries
+from loomgrid.plans import jobs
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "embeddings")
@@ -59,6 +60,18 @@ def test_jobs_cover_tables_of_many_shards(spark, many_shards):
         assert tuple(r) == (first, n - 1, n - first)
 
 
+def test_steps_of_every_batch(spark, many_shards):
+    for name in ("n7_grad_w_batches", "n7_grad_b_batches", "n9_step_encoded_batches"):
+        assert queries.QUERIES[name](spark, many_shards).select("batch_id").distinct().count() == 122
+
+
+def test_training_is_tested_on_all_rows(spark, monkeypatch):
+    seen, train = [], jobs.train
+    monkeypatch.setattr(jobs, "train", lambda made, config, test: (seen.append(test.agg(F.sum("num_rows")).first()[0]), train(made, config, test=test))[1])
+    queries.QUERIES["train_epochs"](spark, SF)
+    assert seen == [spark.read.parquet(f"{SF}/embeddings.parquet").count()]
+
+
 def test_entry_without_llm(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{here}/loomgrid", tmp_path / "loomgrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
