@@ -4,8 +4,8 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers: the protec
 an entity if knowing the term leaves little doubt about the entity: over all documents, the pointwise mutual
 information ln(N * n(t, e) / (n(t) * n(e))) is at least `alpha` times the entity's information ln(N / n(e)).
 Counts are of documents. Pairs need evidence from at least `support` different texts, so that an entity of one
-text, however often copied, discloses nothing. In documents that hold the entity its disclosing terms
-are spans too; sanitising replaces every span by its kind.
+text, however often copied, discloses nothing. Disclosing terms are spans too, in every document that has them,
+whether it holds the entity or not; sanitising replaces every span by its kind.
 
 Terms are words `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, that overlap no pattern. They are counted by 64-bit hashes.
 Counting all words would move much that is never asked for: only words whose hash falls on a bit of a fixed
@@ -135,8 +135,34 @@ def find_patterns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(find, _FOUND)
 
 
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """The bits of the hashes in column term, packed."""
+    bits = np.zeros(BITMAP, bool)
+    bits[terms.select(F.pmod("term", F.lit(BITMAP)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()] = True  # BITMAP rows at most
+    return np.packbits(bits)
+
+
+def texts_with(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """key and those of the terms told (distinct) that the text has, for the texts that have some: a bitmap, then an exact join."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(told))
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for b in batches(it):
+            h, first = word_hashes(*text_bytes(b.column("text")))
+            h = h.astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(first))
+            some = bits[h & (BITMAP - 1)]
+            doc, h = np.unique(np.stack([doc[some], h[some]]), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), pa.array(h)], ["key", "term"])
+
+    may = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(ask, "key long, term long").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
+    asked = told.select("term", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))  # a term may be in many texts
+    return may.join(asked, ["term", "salt"]).groupBy("key").agg(F.collect_set("term").alias("terms"))  # terms of one text
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame | None:
-    """key and the hashes of disclosing terms of the texts that have some; None if no entity is in enough texts."""
+    """key and the hashes of disclosing terms of all texts that have some, of whatever entity; None if nothing discloses."""
     total = found.count()
     held = found.where(F.size("entities") > 0)
     per_text = held.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("private_text").alias("text"))
@@ -157,9 +183,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     near = materialise(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key long, copies long, term long"))
     both = near.join(asked, "key").select("key", "copies", "term", F.explode("entities").alias("entity"))
     pairs = materialise(both.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
-    bits = np.zeros(BITMAP, bool)
-    bits[pairs.select(F.pmod("term", F.lit(BITMAP)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()] = True  # BITMAP rows at most
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sent.value).astype(bool)
@@ -185,8 +209,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     told = pairs.join(entities, "entity").join(n_t, "term")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    told = told.where((known > 0) & (pmi >= alpha * known)).select("entity", "term")
-    return materialise(both.join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms")))  # terms of one text
+    told = materialise(told.where((known > 0) & (pmi >= alpha * known)).select("term").distinct())
+    return None if told.isEmpty() else materialise(texts_with(docs, told))
 
 
 def all_spans(text: str, terms: list[int] | None) -> list[tuple[str, int, int]]:
@@ -205,15 +229,17 @@ def private_data(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA)
     terms = disclosing_terms(docs, found, support, alpha)
     if terms is None:
         return found.select(*names, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
-    plain = found.where(F.size("entities") == 0).select(*names, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+    plain = found.join(terms, "key", "left_anti").select(*names, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
 
     def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            every = [all_spans(t, x) for t, x in zip(b.column("private_text").to_pylist(), b.column("terms").to_pylist())]
-            made = [pa.array([joined(x) for x in every], pa.string()), pa.array([sum(s[0] == "term" for s in x) for x in every], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, "spans", "n_term"])
+            every = [all_spans(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("terms").to_pylist())]
+            base = [[s for s in x if s[0] != "term"] for x in every]
+            counts = [pa.array([sum(s[0] == k for s in x) for x in every], pa.int64()) for k in (*KINDS, "term")]
+            sha = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts[:-1], pa.array(sha, pa.string()), pa.array([joined(x) for x in every], pa.string()), counts[-1]], [*names, "spans", "n_term"])
 
-    held = found.where(F.size("entities") > 0).join(terms, "key", "left").select(*names, "private_text", "terms")
+    held = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).join(terms, "key").select("doc_id", "text", "terms")
     return plain.unionByName(held.mapInArrow(spans, plain.schema))
 
 

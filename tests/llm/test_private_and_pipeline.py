@@ -76,6 +76,20 @@ def test_sanitising_keeps_columns_and_clean_texts(spark):
     assert private.replaced("abcdef", [("x", 1, 3), ("y", 2, 4)]) == "a<X>ef"
 
 
+def test_terms_are_found_without_their_entity(spark):
+    """A disclosing term also counts in a text without any pattern and in one with another entity only."""
+    texts = [*corpus(), "only Zorbulon here, zorbulon", "zorbulon calls +1 (974) 555-3436"]
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in private.private_data(docs).collect()}
+    a, b = len(texts) - 2, len(texts) - 1
+    assert len(got) == len(texts) and (got[a].spans, got[a].n_term) == ("term:5:13,term:20:28", 2)
+    assert (got[b].spans, got[b].n_term, got[b].n_phone) == ("phone:15:32,term:0:8", 1, 1)
+    assert got[b].base_sha256 == hashlib.sha256(b"phone:15:32").hexdigest()
+    clean = {r.doc_id: r.text for r in private.sanitise(docs).collect()}
+    assert clean[a] == "only <TERM> here, <TERM>" and clean[b] == "<TERM> calls <PHONE>"
+    assert not any("zorbulon" in (t or "").lower() for t in clean.values())
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     """Each stage acts on all that the one before kept, and its decisions take effect."""
     sf = "/root/testdata/sf0.001"
