@@ -4,20 +4,21 @@ Centroids are fitted on a bounded sample by k-means that splits what grows too l
 the list of its nearest centroid and, if it lies near a boundary, in further lists: those whose centroid is at
 most (1 + SPREAD) times as far, REPLICAS at most. Centroids are searched by best-first walks on an in-memory graph
 that joins each centroid to its nearest others. A query reads the lists whose centroid is at most `ratio` times
-as far as its nearest one; the ratio is fitted on the sample, so that queries find a share REACH of their neighbours.
+as far as its nearest one; the ratio is fitted on the sample, so that queries find a share REACH of their neighbours. Queries
+that so find fewer than k read every list.
 
 Equal vectors are one class with its smallest `k + 1` ids, so that a vector held by a third of all rows is
 compared once. Long lists are cut into parts that different tasks compare.
 
 Cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; nor do those of
 another length than the most frequent (of equally frequent ones the shortest). Rows of one vec_id and
-vector count once. A query with fewer candidates than k gets them all, if the lists it reads hold them. No valid
+vector count once. A query with fewer candidates than k gets them all. No valid
 vector, no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,19 +236,22 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
             row, at = sent.value.entries(_vectors(b.column("v"), dim))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c).take(pa.array(row)) for c in ("rep", "v"))], ["list", "rep", "v"])
 
-    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            v = _vectors(b.column("v"), dim)
-            row, at = sent.value.probes(v)
-            bound = sent.value.bounds(v, k + 1)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c).take(pa.array(row)) for c in ("q", "v")), pa.array(bound)], ["list", "q", "v", "bound"])
+    def probe(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The lists that queries read, by the ratio or all."""
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches(it):
+                v, n = _vectors(b.column("v"), dim), len(sent.value.c)
+                row, at = np.divmod(np.arange(len(v) * n), n) if every else sent.value.probes(v)
+                bound = sent.value.bounds(v, k + 1)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(c).take(pa.array(row)) for c in ("q", "v")), pa.array(bound)], ["list", "q", "v", "bound"])
+
+        return run
 
     postings = materialise(classes.select("rep", "v").mapInArrow(enter, "list int, rep long, v binary"))
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row a list
     entered = postings.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "v")
     asking = once.where("asks").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("rep").alias("q"), "v")
-    probing = asking.mapInArrow(probe, "list int, q long, v binary, bound double").join(F.broadcast(parts), "list")
-    probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "v", "bound")
 
     def compare(key: object, left: pa.Table, right: pa.Table) -> pa.Table:
         own, asked = [], []
@@ -264,14 +268,25 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
         rep, d = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"q": pa.array(asked, pa.int64()), "rep": pa.array(rep), "score": pa.array(d)})
 
-    hits = entered.groupBy("list", "part").cogroup(probing.groupBy("list", "part")).applyInArrow(compare, "q long, rep long, score double")
-    top = F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))
-    hits = hits.groupBy("q", "rep").agg(F.min("score").alias("score")).withColumn("r", top).where(F.col("r") <= k + 1).drop("r")
     # back from classes to rows: q and rep are the smallest ids of their classes; ids may repeat, so classes are joined by hash
     ids = classes.select("k1", "k2", F.col("rep"))
-    found = hits.join(ids, "rep").join(members.drop("r"), ["k1", "k2"]).select("q", "score", "vec_id")
+    top = F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))
     best = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
-    found = found.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", best).where(F.col("r") <= k + 1)
+
+    def found_in(queries: DataFrame, every: bool) -> DataFrame:
+        """q, score, vec_id of the k + 1 nearest rows in the lists read."""
+        probing = queries.mapInArrow(probe(every), "list int, q long, v binary, bound double").join(F.broadcast(parts), "list")
+        probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "v", "bound")
+        hits = entered.groupBy("list", "part").cogroup(probing.groupBy("list", "part")).applyInArrow(compare, "q long, rep long, score double")
+        hits = hits.groupBy("q", "rep").agg(F.min("score").alias("score")).withColumn("r", top).where(F.col("r") <= k + 1).drop("r")
+        rows = hits.join(ids, "rep").join(members.drop("r"), ["k1", "k2"]).select("q", "score", "vec_id")
+        return rows.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
+
+    found = materialise(found_in(asking, False))
+    full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k)  # one of the k + 1 is the query itself
+    lacking = materialise(asking.join(full.select("q"), "q", "left_anti"))
+    if not lacking.isEmpty():
+        found = found.join(lacking.select("q"), "q", "left_anti").unionByName(found_in(lacking, True))  # MOST_LISTS probes a query at most
     answers = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 a query
     answers = answers.join(ids.withColumnRenamed("rep", "q"), "q").select("k1", "k2", "near", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     asks = once.where("asks").select("k1", "k2", F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("salt"))

@@ -68,6 +68,17 @@ def test_recall_over_many_lists(spark):
     check(spark, rows, 100, 0.9)
 
 
+def test_remote_queries_get_all_answers(spark):
+    """Four vectors far from the others, and one alone."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 8)) * 20
+    rows = [(i, (centres[i % 20] + rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(1, 2001)]
+    rows += [(10_000 * i, (np.full(8, 500.0) + rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(1, 5)]
+    rows += [(50_000, np.full(8, -900.0, np.float32).tolist())]
+    got = check(spark, rows, 10_000, 1.0)
+    assert len(got) == 5 and all(len(x) == 10 for x in got.values())
+
+
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(3)
     c = rng.standard_normal((700, 12))
