@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed at a time; bounds the memory of `word_hashes`.
 BLOCK_BYTES = 1 << 20
-#: Bytes of an Arrow batch sent to Python, about; texts may be long.
+#: Bytes of a batch that Python works on, about; texts may be long.
 BATCH_BYTES = 4 << 20
 
 U64 = np.uint64
+_LOCAL: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +27,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if all runs
+    on this machine (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='loomgrid-')}")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Shuffle files of a query that ended are of no more use and are removed at once, not when the driver's memory is cleaned.
-    """
+    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid/{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgrid_path = path
@@ -57,11 +56,6 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Keep Arrow batches small, so that a Python worker holds few long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even if body uses it inside higher-order functions."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -162,11 +156,17 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     return h, np.searchsorted(s, off)
 
 
-def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows."""
+def batches(it: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows, cut until they hold about `size` bytes or one row, so that few long texts are worked on at a time."""
     for b in it:
-        if b.num_rows:
-            yield b
+        waiting = [b] if b.num_rows else []
+        while waiting:
+            b = waiting.pop()
+            if b.num_rows > 1 and b.nbytes > size:
+                half = b.num_rows // 2
+                waiting += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
 
 
 def public_tokenizer(name: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, mix64, small_batches, text_bytes
+from .common import U64, batches, mix64, text_bytes
 
 #: log2 of the number of trigram buckets.
 BITS = 12
@@ -154,7 +154,6 @@ def crc_mod(key: Column, m: int) -> Column:
 
 def fit_language_id(docs: DataFrame, per_lang: int = PER_LANG) -> EcocModel:
     """A model of the labelled rows of docs (columns doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
@@ -189,7 +188,6 @@ def fit_language_id(docs: DataFrame, per_lang: int = PER_LANG) -> EcocModel:
 def predict_language(docs: DataFrame, model: EcocModel, keep: list[str]) -> DataFrame:
     """Columns keep of docs, then lang_pred, score and ambiguous."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # a few classifiers of 2**BITS weights
     ready = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("_text"))
 

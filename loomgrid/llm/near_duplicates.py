@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, materialise, mix64, small_batches, text_bytes, word_hashes
+from .common import U64, batches, materialise, mix64, text_bytes, word_hashes
 from .components import connected_components
 
 TREES, LEVELS, DEPTH = 20, 6, 4
@@ -88,7 +88,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (size of the set), two 64-bit fingerprints of the set, signature."""
-    small_batches(docs.sparkSession)
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):

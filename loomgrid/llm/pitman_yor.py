@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, discard, materialise, mix64, small_batches, text_bytes, word_hashes
+from .common import U64, batches, discard, materialise, mix64, text_bytes, word_hashes
 from .language_id import crc_mod
 
 #: Discount and strength of the shared restaurant and of the contexts'.
@@ -402,7 +402,6 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = crc_mod(F.col("doc_id"), 7) == 2 if held is None else held
     chunks = materialise(_chunks(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))))
     tokens, n_chunks = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("*")).first()

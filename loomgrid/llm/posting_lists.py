@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, batches, materialise, mix64, small_batches, text_bytes
+from .common import U64, batches, materialise, mix64, text_bytes
 
 #: Vectors of a list that centroids are made for, and the most centroids: these and their graph are broadcast.
 LIST, MOST_LISTS = 100, 8192
@@ -197,7 +197,6 @@ _SEARCH = "query_id long, rank int, vec_id long, score double"
 def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row of table (vec_id, embedding) that `query` selects."""
     spark = table.sparkSession
-    small_batches(spark)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("e"), query.alias("asks")).where(_valid(F.col("e")) & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, small_batches, text_bytes, word_hashes
+from .common import batches, materialise, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
@@ -116,7 +116,6 @@ _FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 
 def find_patterns(docs: DataFrame) -> DataFrame:
     """A row for each document: its patterns, its entities, and, if it has any, its text."""
-    small_batches(docs.sparkSession)
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):

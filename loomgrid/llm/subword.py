@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, public_tokenizer, small_batches
+from .common import batches, materialise, public_tokenizer
 
 BLANK = "▁"
 #: Code points of a chunk; longer documents are giant.
@@ -230,7 +230,6 @@ def _answer(lattice: PieceLattice, ids: list[list[int]], crc: list[int | None])
 def subword_ids(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids, n_ids, decoded_crc32 and restored (decoding gives the text back) of every document."""
     model = model or public_tokenizer("piece_bpe_32k.model")
-    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
     answer = "ids array<int>, n_ids long, decoded_crc32 long, restored boolean"
