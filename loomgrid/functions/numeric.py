@@ -15,7 +15,7 @@ def draw(x: Column) -> Column:
 
 
 def draw_wide(x: Column) -> Column:
-    """30 bits, for tables of more than 32768 rows."""
+    """30 bits of the same."""
     return draw(x) * 32768 + draw(x + 7919)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import EPS, draw, draw_wide, scaled
+from ..functions.numeric import EPS, draw_wide, scaled
 
 
 def contiguous(rows: DataFrame, size: int) -> DataFrame:
@@ -15,9 +15,8 @@ def contiguous(rows: DataFrame, size: int) -> DataFrame:
 
 def draws(spark, size: int, batches: int, num_rows: int) -> DataFrame:
     """batch_id, row_in_batch, row_id of batches drawn with replacement from num_rows rows."""
-    pick = draw if num_rows <= 32768 else draw_wide
     ids = spark.range(size * batches)
-    return ids.select(F.floor(F.col("id") / size).cast("long").alias("batch_id"), (F.col("id") % size).alias("row_in_batch"), (pick(F.col("id")) % num_rows).alias("row_id"))
+    return ids.select(F.floor(F.col("id") / size).cast("long").alias("batch_id"), (F.col("id") % size).alias("row_in_batch"), (draw_wide(F.col("id")) % num_rows).alias("row_id"))
 
 
 def with_replacement(rows: DataFrame, size: int, batches: int, num_rows: int) -> DataFrame:

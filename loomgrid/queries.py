@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import EPS, byte_width, draw, sigmoid
 from .operators import batching, dictionaries, linalg, lzw, mlp
 from .operators.codecs import FORMATS, codec
+from .operators.codecs import byte_width as byte_width_of
 from .plans import jobs
 from .sources import shards, text
 from .tables import number_by_order, read_table, scratch_path
@@ -70,7 +71,7 @@ def e_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = number_by_order(read_table(spark, sf_dir, "lineitem"), _L_ORDER)
+    rows = number_by_order(read_table(spark, sf_dir, "lineitem"), _L_ORDER, keep=list(L_COLUMNS))
     return rows.select("row_id", F.array(*[F.col(c).cast("double") for c in L_COLUMNS]).alias("dense")).withColumn("cells", batching.nonzero(F.col("dense")))
 
 
@@ -217,6 +218,7 @@ def s4_libsvm_scan(spark, sf_dir):
 
 
 _DRAW = "(floor(((({x}) * 1103515245 + 12345) % 2147483648) / 65536))"
+_DRAW_WIDE = f"({_DRAW} * 32768 + {_DRAW.replace('{x}', '{x} + 7919')})"
 
 
 @query(f"SELECT vec_id AS row_id, ({_DRAW.format(x='vec_id')} % 2)::INT AS label FROM embeddings")
@@ -243,15 +245,17 @@ def s8_shard_table(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT row_id, col::INT AS col, val FROM cells")
 def s9_shard_files(spark, sf_dir):
-    files = shards.shard_files(_generated(spark, sf_dir, "toc"))
-    back = shards.batches_of_files(files).withColumn("batch_id", F.col("shard_id").cast("long") + F.col("batch_id"))
+    """Shards written as files of the length-prefixed layout, `file-<i>.toc`, and read back."""
+    path = scratch_path(spark)
+    shards.save_shard_files(_generated(spark, sf_dir, "toc"), path, "toc")
+    back = shards.read_shard_files(spark, f"{path}/file-*.toc").withColumn("batch_id", F.col("shard_id").cast("long") + F.col("batch_id"))
     return linalg.decoded_cells(back, "toc", SIZE)
 
 
 # Batching.
 
 
-@query(f"SELECT x // {SIZE} AS batch_id, x % {SIZE} AS row_in_batch, ({_DRAW.format(x='x')} % (SELECT count(*) FROM embeddings))::BIGINT AS row_id FROM range({4 * SIZE}) t(x)")
+@query(f"SELECT x // {SIZE} AS batch_id, x % {SIZE} AS row_in_batch, ({_DRAW_WIDE.format(x='x')} % (SELECT count(*) FROM embeddings))::BIGINT AS row_id FROM range({4 * SIZE}) t(x)")
 def b1_sample(spark, sf_dir):
     ids = e_ids(spark, sf_dir)
     return batching.with_replacement(ids, SIZE, 4, ids.count()).select("batch_id", "row_in_batch", "row_id")
@@ -384,22 +388,129 @@ def _encoded_sizes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 for _name, _sql in _SIZES.items():
     _add(f"size_{_name}", lambda s, d, n=_name: _sizes(s, d, n), _size_sql(_sql))
     _add(f"bytes_{_name}", lambda s, d, n=_name: _encoded_sizes(s, d, n), _size_sql(_sql))
-for _name, _short in (("logicalfoc", "logical"), ("toc", "toc"), ("gzip", "gzip"), ("snappy", "snappy")):
-    _add(f"size_{_short}", lambda s, d, n=_name: _encoded_sizes(s, d, n))
 
 
-@query()
-def lzw_codes(spark, sf_dir):
-    """batch_id, row_in_batch, codes of L's batches."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, schema: str, figures: Callable[[bytes], tuple]) -> DataFrame:
+    """batch_id and figures of each batch of L as stored."""
+    import pyarrow as pa
+
+    names = ["batch_id", *(f.split()[0] for f in schema.split(", "))]
+
+    def run(it):
+        for b in it:
+            got = [figures(x) for x in b.column("payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("batch_id"), *(pa.array(x) for x in zip(*got))], names) if got else b.select([])
+
+    rows = batching.contiguous(l_rows(spark, sf_dir).withColumn("label", F.lit(0)), SIZE)
+    return linalg.encode_batches(rows, name, 5).select("batch_id", "payload").mapInArrow(run, f"batch_id long, {schema}")
+
+
+_CODED_SQL = _size_sql("0").replace("(0)::BIGINT AS bytes", "{}").replace("), d AS", "), pr AS (SELECT batch_id, count(*) AS p FROM (SELECT DISTINCT row_id // {0} AS batch_id, col, val FROM l_cells) GROUP BY 1), d AS".format(SIZE)) + " JOIN pr USING (batch_id)"
+
+
+@query(_CODED_SQL.format("(16 + 12 * p + 4 * r)::BIGINT AS bytes, p AS made"))
+def size_logical(spark, sf_dir):
+    """Bytes of each batch without its codes, and the nodes that its codes do not account for: every code but a row's last
+    makes one, so these are the initial pairs."""
+
+    def figures(data: bytes) -> tuple:
+        m = codec("logicalfoc").read(data)
+        return len(data) - 4 * len(m.codes), int(m.num_nodes - len(m.codes) + (m.sizes > 0).sum())
+
+    return _stored(spark, sf_dir, "logicalfoc", "bytes long, made long", figures)
+
+
+@query(_CODED_SQL.format(f"(24 + p + ({_WIDTH.format(n='v')}) * p + 8 * v + r)::BIGINT AS bytes, p AS made"))
+def size_toc(spark, sf_dir):
+    """The same for packed batches, whose codes have the width of the largest."""
+
+    def figures(data: bytes) -> tuple:
+        m = codec("toc").read(data)
+        return len(data) - byte_width_of(int(m.codes.max(initial=0))) * len(m.codes), int(m.num_nodes - len(m.codes) + (m.sizes > 0).sum())
+
+    return _stored(spark, sf_dir, "toc", "bytes long, made long", figures)
+
+
+def _inflated_sql(total: str) -> str:
+    return _size_sql("0").replace("(0)::BIGINT AS bytes", "(8 + 8 * r * 5)::BIGINT AS bytes, round(total, 4) AS total, true AS smaller").replace("AS r, count(DISTINCT val) AS vd", f"AS r, {total} AS total, count(DISTINCT val) AS vd")
+
+
+@query(_inflated_sql("sum(val)"))
+def size_gzip(spark, sf_dir):
+    """Bytes of each batch when inflated, the sum of its cells, and whether it is stored in fewer bytes."""
+    import zlib
+
+    def figures(data: bytes) -> tuple:
+        raw = zlib.decompress(data, 31)
+        return len(raw), round(float(codec("mat").read(raw).total()), 4), len(data) < len(raw)
+
+    return _stored(spark, sf_dir, "gzip", "bytes long, total double, smaller boolean", figures)
+
+
+@query(_inflated_sql("sum(val)"))
+def size_snappy(spark, sf_dir):
+    def figures(data: bytes) -> tuple:
+        m = codec("snappy").read(data)
+        raw = 8 + 8 * m.rows * m.cols
+        return raw, round(float(m.total()), 4), len(data) < raw
+
+    return _stored(spark, sf_dir, "snappy", "bytes long, total double, smaller boolean", figures)
+
+
+def _lzw_batches(spark: SparkSession, sf_dir: str, schema: str, of) -> DataFrame:
+    """of(pairs, codes, nodes), a table, for each batch of L."""
     import pyarrow as pa
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("row_in_batch")
-        _, codes, _ = lzw.encode([[(c["col"], c["val"]) for c in r] for r in t.column("cells").to_pylist()])
-        return pa.table({"batch_id": t.column("batch_id"), "row_in_batch": t.column("row_in_batch"), "codes": pa.array(codes, pa.list_(pa.int32()))})
+        made = of(*lzw.encode([[(c["col"], c["val"]) for c in r] for r in t.column("cells").to_pylist()]))
+        made["batch_id"] = pa.array([t.column("batch_id")[0].as_py()] * len(next(iter(made.values()))), pa.int64())
+        return pa.table({c.split()[0]: made[c.split()[0]] for c in schema.split(", ")})
 
     rows = batching.contiguous(l_rows(spark, sf_dir), SIZE).select("batch_id", "row_in_batch", "cells")
-    return rows.groupBy("batch_id").applyInArrow(run, "batch_id long, row_in_batch long, codes array<int>")
+    return rows.groupBy("batch_id").applyInArrow(run, schema)
+
+
+@query(f"WITH {L_SQL} SELECT row_id // {SIZE} AS batch_id, row_id % {SIZE} AS row_in_batch, col::INT AS col, val FROM l_cells")
+def lzw_codes(spark, sf_dir):
+    """The cells that codes and initial pairs of each batch of L stand for."""
+    import pyarrow as pa
+
+    def of(pairs, codes, nodes):
+        rows = lzw.decode(pairs, codes)
+        flat = [x for r in rows for x in r]
+        return {"row_in_batch": pa.array([i for i, r in enumerate(rows) for _ in r], pa.int64()), "col": pa.array([c for c, _ in flat], pa.int32()), "val": pa.array([v for _, v in flat], pa.float64())}
+
+    return _lzw_batches(spark, sf_dir, "batch_id long, row_in_batch long, col int, val double", of)
+
+
+@query(f"""WITH {L_SQL}, c AS (SELECT row_id // {SIZE} AS batch_id, count(*) AS cells, count(DISTINCT row_id) AS rows_ FROM l_cells GROUP BY 1)
+SELECT batch_id, (SELECT count(*) FROM (SELECT DISTINCT col, val FROM l_cells x WHERE x.row_id // {SIZE} = c.batch_id)) AS initial, cells, rows_ AS used_rows, 0::BIGINT AS repeated, true AS greedy FROM c""")
+def lzw_outputs(spark, sf_dir):
+    """What the coder gives for each batch of L: initial pairs, cells that its codes unfold to, rows with codes, nodes that
+    repeat another's pairs (none), and whether every code but a row's last is a longest match: with the pair after it, it
+    is no node made before."""
+    import pyarrow as pa
+
+    def of(pairs, codes, nodes):
+        initial = len(pairs)
+        paths = [(i,) for i in range(initial)]
+        known, greedy, cells = set(paths), True, 0
+        for row in codes:
+            if row and row[0] >= len(paths):
+                greedy = False
+                break
+            for code, after in zip(row, row[1:]):
+                grown = (*paths[code], paths[after][0] if after < len(paths) else paths[code][0])
+                greedy &= grown not in known
+                paths.append(grown)
+                known.add(grown)
+            cells += sum(len(paths[c]) for c in row)
+        greedy &= len(paths) == nodes
+        figures = {"initial": initial, "cells": cells, "used_rows": sum(bool(r) for r in codes), "repeated": len(paths) - len(set(paths))}
+        return {k: pa.array([v], pa.int64()) for k, v in figures.items()} | {"greedy": pa.array([greedy])}
+
+    return _lzw_batches(spark, sf_dir, "batch_id long, initial long, cells long, used_rows long, repeated long, greedy boolean", of)
 
 
 # The perceptron, with closed weights.
@@ -408,19 +519,13 @@ _W1 = "((({i}) * 7 + ({k}) * 3) % 11 - 5) / 10.0::DOUBLE"
 _B1 = "(({k}) * 5 % 7 - 3) / 10.0::DOUBLE"
 _W2 = "((({i}) * 5 + ({k}) * 7) % 13 - 6) / 10.0::DOUBLE"
 _B2 = "(({k}) * 3 % 5 - 2) / 10.0::DOUBLE"
-_FIRST = f"row_id < {SIZE}"
 MLP_SQL = f"""WITH {E_SQL},
 z1 AS (SELECT row_id, k, sum(val * {_W1.format(i='col', k='k')}) + {_B1.format(k='k')} AS z FROM cells, range({HIDDEN}) t(k) GROUP BY row_id, k),
 h AS (SELECT row_id, k, 1 / (1 + exp(-z)) AS out FROM z1),
 z2 AS (SELECT row_id, t.k AS k, sum(out * {_W2.format(i='h.k', k='t.k')}) + {_B2.format(k='t.k')} AS z FROM h, range({OUTPUTS}) t(k) GROUP BY row_id, t.k),
 x AS (SELECT row_id, k, exp(z - max(z) OVER (PARTITION BY row_id)) AS e FROM z2),
 p AS (SELECT row_id, k, e / sum(e) OVER (PARTITION BY row_id) AS out FROM x),
-err AS (SELECT p.row_id, p.k, p.out - (e.label = p.k)::INT AS err FROM p JOIN embeddings e ON e.vec_id = p.row_id),
-g2 AS (SELECT h.k AS i, err.k, sum(h.out * err.err) AS g FROM h JOIN err USING (row_id) WHERE {_FIRST} GROUP BY h.k, err.k),
-w2 AS (SELECT i, k, {_W2.format(i='i', k='k')} - g * ({RATE} / {SIZE}) AS w FROM g2),
-bp AS (SELECT err.row_id, w2.i AS k, sum(err.err * w2.w) AS e FROM err JOIN w2 ON w2.k = err.k WHERE {_FIRST} GROUP BY err.row_id, w2.i),
-eh AS (SELECT bp.row_id, bp.k, e * out * (1 - out) AS err FROM bp JOIN h ON h.row_id = bp.row_id AND h.k = bp.k),
-g1 AS (SELECT col AS i, eh.k, sum(val * err) AS g FROM cells JOIN eh USING (row_id) GROUP BY col, eh.k)
+err AS (SELECT p.row_id, p.k, p.out - (e.label = p.k)::INT AS err FROM p JOIN embeddings e ON e.vec_id = p.row_id)
 """
 
 
@@ -442,10 +547,9 @@ def _closed(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataF
 class _Net:
     """The forward pass and errors of the closed network over rows of E, as relations."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, first: bool = False):
-        some = lambda df: df.where(F.col("row_id") < SIZE) if first else df
-        self.cells, self.ids = some(e_cells(spark, sf_dir)), some(e_ids(spark, sf_dir))
-        self.labels = some(e_rows(spark, sf_dir)).select("row_id", "label")
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.cells, self.ids = e_cells(spark, sf_dir), e_ids(spark, sf_dir)
+        self.labels = e_rows(spark, sf_dir).select("row_id", "label")
         self.w1, self.b1, self.w2, self.b2 = _closed(spark)
         self.hidden = mlp.hidden(mlp.layer(self.cells, self.ids, self.w1, self.b1, HIDDEN))
         self.out = mlp.softmax(mlp.layer(mlp.as_cells(self.hidden), self.ids, self.w2, self.b2, OUTPUTS))
@@ -494,57 +598,7 @@ def n6_error(spark, sf_dir):
     return rounded(_Net(spark, sf_dir).err, "err")
 
 
-@query(MLP_SQL + "SELECT i::INT AS col, k::INT AS k, round(g, 6) AS g FROM g2")
-def n7_grad_w(spark, sf_dir):
-    net = _Net(spark, sf_dir, first=True)
-    return rounded(mlp.weight_gradient(mlp.as_cells(net.hidden), net.err), "g")
-
-
-@query(MLP_SQL + f"SELECT k::INT AS k, round(sum(err), 6) AS g FROM err WHERE {_FIRST} GROUP BY k")
-def n7_grad_b(spark, sf_dir):
-    return rounded(mlp.offset_gradient(_Net(spark, sf_dir, first=True).err), "g")
-
-
-def _step(net: _Net) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Updated weights of the last layer, the errors that pass through them, updated weights of the first layer."""
-    g2 = mlp.weight_gradient(mlp.as_cells(net.hidden), net.err)
-    w2 = mlp.updated(net.w2, g2, ["col", "k"], "b", RATE, SIZE)
-    eh = mlp.back(net.err, w2, net.hidden)
-    w1 = mlp.updated(net.w1, mlp.weight_gradient(net.cells, eh), ["col", "k"], "b", RATE, SIZE)
-    return w2, eh, w1
-
-
-@query(MLP_SQL + "SELECT row_id, k::INT AS k, round(err, 6) AS err FROM eh")
-def n8_backprop(spark, sf_dir):
-    return rounded(_step(_Net(spark, sf_dir, first=True))[1], "err")
-
-
-_N9 = (
-    MLP_SQL
-    + f"""SELECT 1 AS layer, c.i::INT AS col, t.k::INT AS k, round({_W1.format(i='c.i', k='t.k')} - coalesce(g, 0) * ({RATE} / {SIZE}), 6) AS w
-FROM range({COLS}) c(i) CROSS JOIN range({HIDDEN}) t(k) LEFT JOIN g1 ON g1.i = c.i AND g1.k = t.k
-UNION ALL SELECT 2, i::INT, k::INT, round(w, 6) FROM w2"""
-)
-
-
-@query(_N9)
-def n9_step(spark, sf_dir):
-    w2, _, w1 = _step(_Net(spark, sf_dir, first=True))
-    both = w1.select(F.lit(1).alias("layer"), "col", "k", F.col("b").alias("w")).unionAll(w2.select(F.lit(2), "col", "k", "b"))
-    return rounded(both, "w")
-
-
-@query(_N9)
-def n9_step_encoded(spark, sf_dir):
-    """The same step by the trainer, on the first batch as stored."""
-    model = _closed_model()
-    row = e_batches(spark, sf_dir, "toc").where("batch_id = 0").select("payload", "labels").first()
-    model.step(codec("toc").read(bytes(row["payload"])), np.array(row["labels"]))
-    out = [(n + 1, i, k, float(w[i, k])) for n, w in enumerate(model.weights) for i in range(w.shape[0]) for k in range(w.shape[1])]
-    return rounded(spark.createDataFrame(out, "layer int, col int, k int, w double"), "w")
-
-
-# The same for every batch of the table, each from the closed weights.
+# Steps of every batch of the table, each from the closed weights.
 
 _EACH = f""",
 ids AS (SELECT vec_id AS row_id, vec_id // {SIZE} AS batch_id FROM embeddings),
@@ -573,18 +627,18 @@ def _each_batch(net: _Net) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 
 @query(MLP_SQL + _EACH + "SELECT batch_id, i::INT AS col, k::INT AS k, round(g, 6) AS g FROM g2b")
-def n7_grad_w_batches(spark, sf_dir):
+def n7_grad_w(spark, sf_dir):
     net = _Net(spark, sf_dir)
     return rounded(mlp.weight_gradient(mlp.as_cells(net.hidden), _each_batch(net)[0], _BY), "g")
 
 
 @query(MLP_SQL + _EACH + "SELECT batch_id, k::INT AS k, round(sum(err), 6) AS g FROM errb GROUP BY batch_id, k")
-def n7_grad_b_batches(spark, sf_dir):
+def n7_grad_b(spark, sf_dir):
     return rounded(mlp.offset_gradient(_each_batch(_Net(spark, sf_dir))[0], _BY), "g")
 
 
 @query(MLP_SQL + _EACH + "SELECT batch_id, row_id, k::INT AS k, round(err, 6) AS err FROM ehb")
-def n8_backprop_batches(spark, sf_dir):
+def n8_backprop(spark, sf_dir):
     return rounded(_each_batch(_Net(spark, sf_dir))[2], "err")
 
 
@@ -598,14 +652,14 @@ UNION ALL SELECT batch_id, 2, i::INT, k::INT, round(w, 6) FROM w2b"""
 
 
 @query(_N9_EACH)
-def n9_step_batches(spark, sf_dir):
+def n9_step(spark, sf_dir):
     _, w2, _, w1 = _each_batch(_Net(spark, sf_dir))
     both = w1.select("batch_id", F.lit(1).alias("layer"), "col", "k", F.col("b").alias("w")).unionAll(w2.select("batch_id", F.lit(2), "col", "k", "b"))
     return rounded(both, "w")
 
 
 @query(_N9_EACH)
-def n9_step_encoded_batches(spark, sf_dir):
+def n9_step_encoded(spark, sf_dir):
     """The same steps by the trainer, on every batch as stored."""
     import pyarrow as pa
 
@@ -646,15 +700,102 @@ def j7_generate(spark, sf_dir):
     return made.select("shard_id", "batch_id", "num_rows", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
 
 
-@query()
+# Training: QUARTERS batches an epoch, two a shard, from the closed weights.
+
+QUARTERS, EPOCHS = 4, 2
+
+
+def _training_sql(epochs: int) -> str:
+    """The steps one after another, each a few tables, and after each shard loss and accuracy over all rows."""
+    cut = f"{E_SQL}, n AS (SELECT greatest(1, (count(*) + {QUARTERS - 1}) // {QUARTERS}) AS n, count(*) AS every FROM embeddings), ids AS (SELECT vec_id AS row_id, label, vec_id // n AS batch FROM embeddings, n)"
+    parts = [
+        f"WITH {cut}",
+        f"w1_0 AS (SELECT i, k, {_W1.format(i='i', k='k')} AS w FROM range({COLS}) a(i), range({HIDDEN}) b(k))",
+        f"b1_0 AS (SELECT k, {_B1.format(k='k')} AS w FROM range({HIDDEN}) b(k))",
+        f"w2_0 AS (SELECT i, k, {_W2.format(i='i', k='k')} AS w FROM range({HIDDEN}) a(i), range({OUTPUTS}) b(k))",
+        f"b2_0 AS (SELECT k, {_B2.format(k='k')} AS w FROM range({OUTPUTS}) b(k))",
+    ]
+
+    def forward(name: str, s: int, rows: str) -> None:
+        parts.extend(
+            [
+                f"h{name} AS MATERIALIZED (SELECT x.row_id, b.k, 1 / (1 + exp(-(coalesce(z, 0) + b.w))) AS out FROM ({rows}) x CROSS JOIN b1_{s} b LEFT JOIN (SELECT c.row_id, w.k, sum(c.val * w.w) AS z FROM cells c JOIN ({rows}) y USING (row_id) JOIN w1_{s} w ON w.i = c.col GROUP BY c.row_id, w.k) m ON m.row_id = x.row_id AND m.k = b.k)",
+                f"z{name} AS (SELECT h.row_id, w.k, sum(h.out * w.w) + any_value(b.w) AS z FROM h{name} h JOIN w2_{s} w ON w.i = h.k JOIN b2_{s} b ON b.k = w.k GROUP BY h.row_id, w.k)",
+                f"p{name} AS (SELECT row_id, k, exp(z - max(z) OVER (PARTITION BY row_id)) AS e FROM z{name})",
+                f"e{name} AS MATERIALIZED (SELECT p.row_id, p.k, e / sum(e) OVER (PARTITION BY p.row_id) AS out, e / sum(e) OVER (PARTITION BY p.row_id) - (label = p.k)::INT AS err FROM p{name} p JOIN ids USING (row_id))",
+            ]
+        )
+
+    answers = []
+    for s in range(epochs * QUARTERS):
+        b = s % QUARTERS
+        rows = f"SELECT row_id FROM ids WHERE batch = {b}"
+        rate = f"({RATE} / greatest(1, (SELECT count(*) FROM ids WHERE batch = {b})))"
+        forward(str(s), s, rows)
+        parts += [
+            f"w2_{s + 1} AS MATERIALIZED (SELECT w.i, w.k, w.w - coalesce(g, 0) * {rate} AS w FROM w2_{s} w LEFT JOIN (SELECT h.k AS i, e.k, sum(h.out * e.err) AS g FROM h{s} h JOIN e{s} e USING (row_id) GROUP BY h.k, e.k) g ON g.i = w.i AND g.k = w.k)",
+            f"b2_{s + 1} AS MATERIALIZED (SELECT w.k, w.w - coalesce(g, 0) * {rate} AS w FROM b2_{s} w LEFT JOIN (SELECT k, sum(err) AS g FROM e{s} GROUP BY k) g USING (k))",
+            f"d{s} AS MATERIALIZED (SELECT h.row_id, h.k, b.e * h.out * (1 - h.out) AS err FROM h{s} h JOIN (SELECT e.row_id, w.i AS k, sum(e.err * w.w) AS e FROM e{s} e JOIN w2_{s + 1} w ON w.k = e.k GROUP BY e.row_id, w.i) b ON b.row_id = h.row_id AND b.k = h.k)",
+            f"w1_{s + 1} AS MATERIALIZED (SELECT w.i, w.k, w.w - coalesce(g, 0) * {rate} AS w FROM w1_{s} w LEFT JOIN (SELECT c.col AS i, d.k, sum(c.val * d.err) AS g FROM cells c JOIN d{s} d USING (row_id) GROUP BY c.col, d.k) g ON g.i = w.i AND g.k = w.k)",
+            f"b1_{s + 1} AS MATERIALIZED (SELECT w.k, w.w - coalesce(g, 0) * {rate} AS w FROM b1_{s} w LEFT JOIN (SELECT k, sum(err) AS g FROM d{s} GROUP BY k) g USING (k))",
+        ]
+        if b % 2 or b == QUARTERS - 1:
+            forward(f"t{s}", s + 1, "SELECT row_id FROM ids")
+            right = f"SELECT avg((b.k = ids.label)::INT) FROM (SELECT row_id, k, row_number() OVER (PARTITION BY row_id ORDER BY out DESC, k) AS r FROM et{s}) b JOIN ids USING (row_id) WHERE r = 1"
+            answers.append(f"SELECT {s // QUARTERS}::INT AS epoch, {b // 2}::INT AS shard, (SELECT count(DISTINCT batch) FROM ids WHERE batch // 2 = {b // 2})::INT AS batches, round(sum(0.5 * err * err) / (SELECT every FROM n) / {OUTPUTS}, 6) AS loss, round(({right}), 6) AS accuracy FROM et{s}")
+    return ",\n".join(parts) + ", answers AS (" + " UNION ALL ".join(answers) + ") "
+
+
+def _quarters(spark: SparkSession, sf_dir: str) -> tuple[jobs.GenerateConfig, jobs.TrainConfig]:
+    size = max(1, -(-e_ids(spark, sf_dir).count() // QUARTERS))
+    return (
+        jobs.GenerateConfig(batch_size=size, batches_per_shard=2, end_shard=None, scale=0.0, num_cols=COLS),
+        jobs.TrainConfig(hidden=(HIDDEN,), outputs=OUTPUTS, num_cols=COLS, epochs=EPOCHS, rate=RATE),
+    )
+
+
+_LOG = "epoch int, shard int, batches int, loss double, accuracy double"
+
+
+def _figures(log: list[jobs.Timing]) -> list[tuple]:
+    return [(t.epoch, int(t.shard), t.batches, round(t.loss, 6), round(t.accuracy, 6)) for t in log]
+
+
+@query(_training_sql(EPOCHS) + "SELECT * FROM answers WHERE batches > 0")
 def train_epochs(spark, sf_dir):
-    """epoch, shard, batches, loss, accuracy of a short training on stored shards, tested on all rows after each shard."""
+    """epoch, shard, batches, loss, accuracy of a training on stored shards, tested on all rows after each shard."""
     path = scratch_path(spark)
-    shards.write_shards(_generated(spark, sf_dir, "toc"), path, "toc")
+    generating, training = _quarters(spark, sf_dir)
+    shards.write_shards(jobs.generate(e_rows(spark, sf_dir), generating), path, "toc")
     made = shards.read_shards(spark, path, "toc")
-    config = jobs.TrainConfig(format="toc", hidden=(20,), num_cols=COLS, epochs=3, rate=0.5)
-    _, log = jobs.train(made, config, test=made)
-    return spark.createDataFrame([(t.epoch, int(t.shard), t.batches, round(t.loss, 9), t.accuracy) for t in log], "epoch int, shard int, batches int, loss double, accuracy double")
+    _, log = jobs.train(made, training, model=_closed_model(), test=made)
+    return spark.createDataFrame(_figures(log), _LOG)
+
+
+@query(_training_sql(1) + "SELECT f.format, answers.* FROM answers, (SELECT unnest([" + ", ".join(f"'{x}'" for x in jobs.TRAINED) + "]) AS format) f WHERE batches > 0")
+def j9_sweep(spark, sf_dir):
+    """The same for one epoch, generated, stored and trained on in every format of the sweep."""
+    generating, training = _quarters(spark, sf_dir)
+    training.epochs = 1
+    logs = jobs.sweep(e_rows(spark, sf_dir), scratch_path(spark), generating, training, model=_closed_model, test=True)
+    return spark.createDataFrame([(name, *x) for name, log in logs.items() for x in _figures(log)], f"format string, {_LOG}")
+
+
+@query("SELECT unnest([1, 2, 3])::INT AS layer, unnest([784, 200, 50])::INT AS inputs, unnest([200, 50, 10])::INT AS outputs, unnest([200, 50, 10])::INT AS offsets, true AS standard")
+def n1_layers(spark, sf_dir):
+    """Shapes of the default model's layers, and whether their weights look drawn from a standard normal distribution."""
+    config = jobs.TrainConfig()
+    m = mlp.Mlp([config.num_cols, *config.hidden, config.outputs], config.rate, config.seed)
+    looks = lambda w: bool(abs(w.mean()) < 5 / np.sqrt(w.size) and abs(w.std() - 1) < 5 / np.sqrt(2 * w.size))
+    return spark.createDataFrame([(i + 1, *w.shape, len(b), looks(w)) for i, (w, b) in enumerate(zip(m.weights, m.offsets))], "layer int, inputs int, outputs int, offsets int, standard boolean")
+
+
+@query(f"WITH {E_SQL} SELECT (row_id // 100)::INT AS shard_id, e.label, col::INT AS col, val FROM cells JOIN embeddings e ON e.vec_id = row_id")
+def s10_libsvm_shards(spark, sf_dir):
+    """Rows written as one LIBSVM file a shard, `file-<i>.libsvm`, and read back with the shard's number from the name."""
+    path = scratch_path(spark)
+    text.write_libsvm_shards(e_rows(spark, sf_dir).withColumn("shard_id", F.floor(F.col("row_id") / 100).cast("int")), path)
+    return text.read_libsvm_shards(spark, f"{path}/file-*.libsvm", COLS).select("shard_id", "label", F.inline("cells"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, materialise
 from .text import shard_number
 
 
@@ -72,6 +73,32 @@ def batches_of_files(files: DataFrame) -> DataFrame:
     return files.select(F.col("shard_id").cast("int"), "content").mapInArrow(run, "shard_id int, batch_id long, payload binary, labels array<int>")
 
 
+def save_shard_files(batches: DataFrame, path: str, name: str) -> None:
+    """Each shard as a file `file-<i>.<name>`: batches are drawn in order and written as they come, one at a time."""
+    spark = batches.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = materialise(batches.select("shard_id", "batch_id", "payload", "labels"))
+    counts = {r["shard_id"]: r["count"] for r in stored.groupBy("shard_id").count().collect()}  # a row a shard
+    out, now, left = None, None, 0
+    for row in stored.orderBy("shard_id", "batch_id").toLocalIterator(prefetchPartitions=True):
+        if row["shard_id"] != now:
+            if left:
+                raise RuntimeError(f"shard {now} lacks {left} batches")
+            if out is not None:
+                out.close()
+            now, left = row["shard_id"], counts[row["shard_id"]]
+            out = files.create(place(f"{path}/file-{now}.{name}"))
+            out.write(struct.pack("<i", left))
+        out.write(shard_bytes([(bytes(row["payload"]), row["labels"])])[4:])
+        left -= 1
+    if out is not None:
+        out.close()
+    if left:
+        raise RuntimeError(f"shard {now} lacks {left} batches")
+    discard(stored)
+
+
 def read_shard_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Batches of foreign shard files `file-<i>.<format>`."""
     files = spark.read.format("binaryFile").load(pattern)

@@ -66,6 +66,20 @@ def shard_number(path: Column) -> Column:
     return F.regexp_extract(path, r"file-(\d+)\.[a-z]+$", 1).cast("int")
 
 
+def write_libsvm_shards(rows: DataFrame, path: str) -> None:
+    """rows (row_id, shard_id, label, cells) as one LIBSVM file a shard, `file-<i>.libsvm`, lines in the order of row_id."""
+    spark = rows.sparkSession
+    pairs = F.transform("cells", lambda c: F.concat(c["col"].cast("string"), F.lit(":"), c["val"].cast("string")))
+    lines = rows.select("shard_id", "row_id", F.concat_ws(" ", F.col("label").cast("string"), F.array_join(pairs, " ")).alias("value"))
+    lines.repartition("shard_id").sortWithinPartitions("shard_id", "row_id").select("shard_id", "value").write.option("maxRecordsPerFile", 0).partitionBy("shard_id").text(f"{path}/parts")
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    files = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(name(f"{path}/parts/shard_id=*/part-*")):  # a name a shard
+        number = part.getPath().getParent().getName().split("=")[1]
+        files.rename(part.getPath(), name(f"{path}/file-{number}.libsvm"))
+    files.delete(name(f"{path}/parts"), True)
+
+
 def read_libsvm_shards(spark: SparkSession, pattern: str, num_columns: int = LIBSVM_COLUMNS) -> DataFrame:
     """shard_id, line (in the shard), label, cells of all files of a pattern; a shard is one file."""
     lines = spark.read.text(pattern).withColumns({"shard_id": shard_number(F.col("_metadata.file_path")), "at": F.monotonically_increasing_id()})
