@@ -1,23 +1,28 @@
 """Near-duplicate detection by an LSH forest over MinHash signatures, with links confirmed on the full shingle sets.
 
 A document's set holds its distinct k-word shingles (fewer words: the whole sequence as one). Equal sets are one
-class from the start. Each class has a signature of TREES x LEVELS minima; a tree orders the classes by its own
-LEVELS minima. Classes that agree on the first DEPTH minima of a tree form a region of that order, its
-longest-common-prefix neighbours; a region of more than REGION classes is split into parts, whose leaders meet
-again one level up.
-
-Inside a region a leader (the class nearest to the region's most usual signature) is compared by a small sketch
-with all classes not yet taken; those that look linked are taken, and the next leader is chosen from the rest. So
-a region of g copies yields about g pairs, not g * g. A class near a leader (FLAG) that it does not take is paired
-with the nearest of those it took: by the triangle inequality of the Jaccard distance, whoever is linked to one of
-them is near the leader. Pairs are decided on the full sets, first each class's best one. Then some classes ask: they
-are compared, on the full sets and in blocks, with all members of a group, and only links are told:
+class from the start. Each class has a signature of TREES x LEVELS minima, a byte each. A tree is a sorted order of the
+classes: tree t's label of a class is the signature read from position t x LEVELS on, so labels go on into the minima
+of the next trees where their own do not suffice, and are never too short. All trees' labels are sorted together,
+dealt by range, and each task walks through its part by the longest common prefixes of neighbours. Classes that share
+DEPTH levels are a region of the tree. A region of more than REGION classes is told apart by as many more levels as it
+takes, in each part of it as many as that part needs.
+
+Inside a region a leader (the class nearest to the region's most usual signature) is compared by a sketch, the rest of
+the label, with all classes not yet taken; those that look linked are taken, and the next leader is chosen from the
+rest. So a region of g copies yields about g pairs, not g * g. Leaders of regions that had to be told apart, or that a
+task's edge cuts, meet again at the least depth at which few enough are left. A class near a leader (FLAG) that it does
+not take is paired with the nearest of those it took: by the triangle inequality of the Jaccard distance, whoever is
+linked to one of them is near the leader. Pairs are decided on the full sets, first each class's best one. Then some
+classes ask: they are compared with all members of a group, in blocks, by their whole signatures, and where these leave
+it open on the full sets; only links are told:
 
 - where two components had a pair that was not confirmed, the classes of the smaller ask the larger;
 - a class that a leader took without being linked to it asks all that were paired through that leader;
-- in a region that was split, classes outside its largest component ask that component and one another.
+- in a region of DEPTH that was told apart or cut, classes outside its largest component ask that component and one
+  another.
 
-So no link that the forest's regions hold is lost, but for sketches that are off by four standard deviations.
+So no link that the regions of depth DEPTH hold is lost, but for sketches that are off by four standard deviations.
 
 Two sets of similarity 0.8 share no region with a probability of (1 - 0.8**DEPTH)**TREES, 3e-5.
 
@@ -39,15 +44,19 @@ from .common import U64, batches, materialise, mix64, text_bytes, word_hashes
 from .components import connected_components
 
 TREES, LEVELS, DEPTH = 20, 6, 4
-#: Classes of a region that are compared in one place; larger regions are split.
-REGION = 200
-#: Bytes of the sketch that estimates similarity, one byte a minimum.
-SKETCH = 48
-#: Matching bytes from which a pair looks linked, is to be decided, or is near: 0.8, and 0.8 and 0.6 less four standard deviations.
-LOOKS, DECIDE, FLAG = 38, 27, 15
+#: Levels of a label.
+LABEL = 64
+#: Classes of a region that are compared in one place; larger ones are told apart by more levels.
+REGION = 256
+#: Rows that a task holds at a time; a region of more counts as cut.
+HELD = 50_000
+#: Levels of a label that estimate similarity: those after the first DEPTH, on which all of a region agree.
+SKETCH = LABEL - DEPTH
+#: Matching levels from which a pair looks linked, is to be decided, or is near: 0.8, and 0.8 and 0.6 less four standard deviations.
+LOOKS, DECIDE, FLAG = 47, 35, 20
 _SMALL = 24
-#: Members of a group that those who ask meet in one place.
-BLOCK = 1500
+#: Members of a group that those who ask meet in one place, and matching minima of the signature from which the sets decide (as DECIDE).
+BLOCK, ASKED = 1500, 78
 #: Bits of the bitmap that keeps texts nobody asks for from being moved.
 BITMAP = 1 << 23
 
@@ -78,12 +87,12 @@ _MUL = ((mix64(np.arange(1001, _N + 1001, dtype=U64)) >> U64(32)).astype(np.uint
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of _N hash functions over a set, each reduced to 16 bits."""
+    """Minima of _N hash functions over a set, each reduced to a byte."""
     low = np.full(_N, 0xFFFFFFFF, np.uint32)
     x = (mix64(shingles) >> U64(32)).astype(np.uint32)
     for a in range(0, len(x), 2048):
         np.minimum(low, (((x[None, a : a + 2048] ^ _XOR) * _MUL)).min(axis=1), out=low)
-    return (mix64(low) >> U64(48)).astype("<u2")
+    return (mix64(low) >> U64(56)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -102,40 +111,28 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
-def _keys(sig: np.ndarray) -> np.ndarray:
-    """For each signature and tree, a hash of the first DEPTH minima."""
-    v = sig.reshape(len(sig), TREES, LEVELS).astype(U64)
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=U64), v.shape[:2]) * U64(0x9E3779B97F4A7C15)
-    for d in range(DEPTH):
-        key = mix64(key ^ (v[:, :, d] + U64((d + 1) << 20)))
-    return key.astype(np.int64)
-
-
-def _entries(classes: DataFrame, wide: bool, named: bool = False) -> DataFrame:
-    """A row for each class and tree: region, if named rep, and if wide rep, n and sketch."""
+def _labels(classes: DataFrame) -> DataFrame:
+    """label (tree and LABEL levels), rep and n for each class and tree."""
+    order = (np.arange(TREES)[:, None] * LEVELS + np.arange(LABEL)) % _N
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            sig = np.frombuffer(text_bytes(b.column("sig"))[0].tobytes(), "<u2").reshape(b.num_rows, _N)
-            made = [pa.array(_keys(sig).reshape(-1))]
-            if wide:
-                row = pa.array(np.repeat(np.arange(b.num_rows), TREES))
-                pick = sig.reshape(len(sig), TREES, LEVELS).transpose(0, 2, 1).reshape(len(sig), _N)[:, :SKETCH]
-                sketch = pa.array([x.tobytes() for x in (pick & 0xFF).astype(np.uint8)], pa.binary())
-                made += [b.column("rep").take(row), b.column("n").take(row), sketch.take(row)]
-            elif named:
-                made.append(b.column("rep").take(pa.array(np.repeat(np.arange(b.num_rows), TREES))))
-            yield pa.RecordBatch.from_arrays(made, ["region", "rep", "n", "sketch"][: len(made)])
+            sig = text_bytes(b.column("sig"))[0].reshape(b.num_rows, _N)
+            label = np.empty((b.num_rows, TREES, 1 + LABEL), np.uint8)
+            label[:, :, 0] = np.arange(TREES)
+            label[:, :, 1:] = sig[:, order]
+            row = pa.array(np.repeat(np.arange(b.num_rows), TREES))
+            made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1 + LABEL), b.num_rows * TREES, [None, pa.py_buffer(label.tobytes())])
+            yield pa.RecordBatch.from_arrays([made.cast(pa.binary()), b.column("rep").take(row), b.column("n").take(row)], ["label", "rep", "n"])
 
-    kind = "region long, rep long, n long, sketch binary" if wide else "region long, rep long" if named else "region long"
-    return classes.select("rep", "n", "sig").mapInArrow(spread, kind)
+    return classes.select("rep", "n", "sig").mapInArrow(spread, "label binary, rep long, n long")
 
 
 def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What is to be decided in groups of classes (gid sorted), and which rows led others.
 
     Of each pair: class, class, matches, whether the first took the second, the leader, the second's row. In regions that
-    were split (rows in `split`) only what leaders take is told, as there everyone else asks.
+    were told apart or cut (rows in `split`) only what leaders take is told, as there everyone else asks.
     """
     m = len(gid)
     free = np.ones(m, bool)
@@ -181,59 +178,126 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split
     return np.concatenate(out, axis=1), led
 
 
-def _whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of batches, cut so that no value of key (sorted) is split between two."""
-    held: list[pa.RecordBatch] = []
-    for b in batches(it):
-        k = b.column(key).to_numpy()
-        last = int(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[-1])  # where the batch's last group begins
-        if last == 0 and held and held[-1].column(key)[-1].as_py() == k[0]:
-            held.append(b)
-            continue
-        if held or last:
-            yield pa.Table.from_batches([*held, b.slice(0, last)])
-        held = [b.slice(last)]
-    if held:
-        yield pa.Table.from_batches(held)
+def _prefixes(label: np.ndarray) -> np.ndarray:
+    """The length of the longest common prefix of each row with the one before it."""
+    out = np.zeros(len(label), np.int64)
+    same = label[1:] == label[:-1]
+    out[1:] = np.where(same.all(axis=1), label.shape[1], same.argmin(axis=1))
+    return out
+
 
+def regions(label: np.ndarray, depth: int = DEPTH, most: int = REGION) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted labels: the region of each, of `most` rows at most, and whether it took more than `depth` levels.
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sk = text_bytes(t.column("sketch"))[0].reshape(t.num_rows, SKETCH)
-    return t.column("rep").to_numpy(), t.column("n").to_numpy(), sk
+    A region takes the fewest levels, `depth` at least, at which it is small enough. Equal labels beyond that are dealt
+    into runs.
+    """
+    shared = _prefixes(label)
+    start = shared < 1 + depth
+    if len(start):
+        start[0] = True
+    deeper = np.zeros(len(start), bool)
+    for d in range(depth, label.shape[1]):
+        group = np.cumsum(start) - 1
+        big = np.bincount(group, minlength=1)[group] > most
+        if not big.any():
+            return group, deeper
+        deeper |= big
+        start |= big & (shared < 2 + d)
+    first = np.flatnonzero(start)
+    at = np.arange(len(start)) - first[np.cumsum(start) - 1]
+    return np.cumsum(start | (at % most == 0)) - 1, deeper
+
+
+def _at_depth(label: np.ndarray) -> np.ndarray:
+    """The number of each row's region of depth DEPTH: its tree and first levels."""
+    out = np.zeros(len(label), np.int64)
+    for d in range(1 + DEPTH):
+        out = out << 8 | label[:, d]
+    return out
+
+
+def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool, bool]]:
+    """label, rep, n of sorted rows in pieces of whole regions of DEPTH, about HELD rows, and whether the first or the last
+    region of the piece may go on beyond it."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count, open_first = 0, True
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held))
+
+    for b in batches(it):
+        held.append((text_bytes(b.column("label"))[0].reshape(b.num_rows, 1 + LABEL), b.column("rep").to_numpy(), b.column("n").to_numpy()))
+        count += b.num_rows
+        if count < HELD:
+            continue
+        label, rep, n = joined()
+        own = _at_depth(label)
+        last = int(np.searchsorted(own, own[-1]))
+        if last == 0:  # one region only
+            yield label, rep, n, True, True
+            held, count, open_first = [], 0, True
+        else:
+            yield label[:last], rep[:last], n[:last], open_first, False
+            held, count, open_first = [(label[last:], rep[last:], n[last:])], len(label) - last, False
+    if held and count:
+        yield *joined(), open_first, True
 
 
-_PAIRS = "a long, b long, same long, taken long, leader long, whole boolean, region long, n long, sketch binary"
+_FOUND = "kind int, a long, b long, same long, taken long, leader long, whole boolean, region long, n long, label binary"
+_PAIR, _MEMBER, _LEADER = 0, 1, 2
 
 
-def _find_pairs(entries: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a leads b) of the groups `bucket`, and, with b null, the leaders of regions that were split."""
+def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
+    """Of each region: pairs (a leads b); members (a) of the regions of DEPTH that were told apart or cut; leaders (a) of those cut."""
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(it, "bucket"):
-            gid = t.column("bucket").to_numpy()
-            twice = np.zeros(len(gid), bool)
-            twice[1:] = gid[1:] == gid[:-1]
-            twice[:-1] |= twice[1:]
-            split = t.column("split").to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(twice | split)
+        for label, rep, n, before, after in _parts(it):
+            own = _at_depth(label)
+            group, deeper = regions(label, DEPTH, REGION)
+            cut = np.zeros(len(own), bool)
+            if before:
+                cut |= own == own[0]
+            if after:
+                cut |= own == own[-1]
+            split = np.isin(own, own[deeper]) | cut
+            size = np.bincount(group)[group]
+            at = np.flatnonzero((size > 1) | split)
             if not len(at):
                 continue
-            t = t.take(pa.array(at))
-            rep, n, sk = _columns(t)
-            (a, b, same, taken, leader, row), led = _lead(gid[at], rep, n, sk, split[at])
-            whole = ~split[at][row]
-            lead = t.take(pa.array(np.flatnonzero(led & split[at]))).combine_chunks()
-            k, m = lead.num_rows, len(a)
-            one = lambda c: lead.column(c).combine_chunks()
-            table = {
-                "a": pa.concat_arrays([pa.array(a), one("rep").cast(pa.int64())]) if k else pa.array(a),
-                **{c: pa.array(np.append(x, np.zeros(k, np.int64)), mask=np.arange(m + k) >= m) for c, x in (("b", b), ("same", same), ("taken", taken), ("leader", leader))},
-                "whole": pa.array(np.append(whole, np.zeros(k, bool)), mask=np.arange(m + k) >= m),
-                **{c: pa.concat_arrays([pa.nulls(m, kind), one(c).cast(kind)]) if k else pa.nulls(m, kind) for c, kind in (("region", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()))},
-            }
-            yield pa.RecordBatch.from_pydict(table)
-
-    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find, _PAIRS)
+            pairs, led = [], np.zeros(len(own), bool)
+            now, ask = at, group[at]
+            while len(now):
+                found, leads = _lead(ask, rep[now], n[now], label[now][:, 1 + DEPTH :], split[now])
+                pairs.append(np.concatenate([found[:5], ~split[now][found[5]][None]]))
+                led[now] = leads
+                left = now[leads & split[now]]
+                if len(left) >= len(now):
+                    break
+                now = left if deeper[now].any() else left[:0]
+                if len(now):  # leaders meet where few enough are left
+                    ask, apart = regions(label[now], DEPTH, REGION)
+                    deeper = np.zeros(len(own), bool)
+                    deeper[now] = apart
+            found = np.concatenate(pairs, axis=1)
+            member, lead = np.flatnonzero(split), np.flatnonzero(led & cut)
+            m, k, j = found.shape[1], len(member), len(lead)
+            some = lambda x, *empty: pa.array(np.concatenate([x, *(np.zeros(e, x.dtype) for e in empty)]))
+            label_of = pa.array([None] * (m + k) + [x.tobytes() for x in label[lead]], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([_PAIR, _MEMBER, _LEADER], np.int32), [m, k, j])),
+                    pa.array(np.concatenate([found[0], rep[member], rep[lead]])),
+                    *(some(found[i], k, j) for i in range(1, 5)),
+                    some(found[5].astype(bool), k, j),
+                    pa.array(np.concatenate([np.zeros(m, np.int64), own[member], own[lead]])),
+                    pa.array(np.concatenate([np.zeros(m + k, np.int64), n[lead]])),
+                    label_of,
+                ],
+                [f.split()[0] for f in _FOUND.split(", ")],
+            )
+
+    return labels.repartitionByRange(parts, "label", "rep").sortWithinPartitions("label", "rep").mapInArrow(find, _FOUND)
 
 
 def _decide(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -279,22 +343,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     total = classes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * TREES // 400_000))
 
-    crowded = _entries(classes, False).groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > REGION)
-    crowded = materialise(crowded.withColumn("parts", F.ceil(F.col("m") / REGION).cast("int")).drop("m"))
-    entries = _entries(classes, True).join(crowded, "region", "left")
-    part = F.when(F.col("parts").isNotNull(), F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.col("region"))
-    found = materialise(_find_pairs(entries.withColumns({"bucket": part, "split": F.col("parts").isNotNull()}).drop("parts"), parts))
+    found = materialise(_find_pairs(_labels(classes), parts))
     columns = ["a", "b", "same", "taken", "leader", "whole"]
-    pairs = found.where(F.col("b").isNotNull()).select(*columns)
-    leaders = found.where(F.col("b").isNull()).select("region", F.col("a").alias("rep"), "n", "sketch")
-    again = _find_pairs(leaders.withColumns({"bucket": F.col("region"), "split": F.lit(True)}), parts).where(F.col("b").isNotNull())
-    pairs = pairs.unionByName(again.select(*columns)).where("a <> b")
+    leaders = found.where(F.col("kind") == _LEADER).select("label", F.col("a").alias("rep"), "n")
+    again = _find_pairs(leaders, parts).where(F.col("kind") == _PAIR).withColumn("whole", F.lit(False))
+    pairs = found.where(F.col("kind") == _PAIR).select(*columns).unionByName(again.select(*columns)).where("a <> b")
     pairs = materialise(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
+    in_split = found.where(F.col("kind") == _MEMBER).select("region", F.col("a").alias("rep"))
 
     shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
     clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    in_split = _entries(classes, False, named=True).join(crowded.select("region"), "region", "left_semi")
     ends = pairs.select(F.explode(F.array("a", "b", "leader")).alias("rep")).unionAll(in_split.select("rep")).distinct()
     texts = materialise(_only(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), materialise(ends)))
     best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
@@ -307,7 +366,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = connected_components(links)
     asked = _groups(pairs, labels, in_split)
     if not asked.isEmpty():
-        links = links.unionByName(materialise(_ask(asked, texts, k, percent)))
+        links = links.unionByName(materialise(_ask(_plausible(asked, classes, percent), texts, k, percent)))
         labels = connected_components(links)
     reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "n", "component_id")
@@ -360,13 +419,60 @@ def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFra
     return materialise(out)
 
 
-def _ask(asked: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between those who ask and members of their groups in other components, on the full sets: one for each
-    who asks, block of members and component. A group's members are dealt into blocks; each block sees all who ask."""
+def _plausible(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those who ask and the members they meet, by block, wherever their signatures leave a link open. A group's members are
+    dealt into blocks; each block sees all who ask, as signatures."""
     parts = asked.where("NOT asks").groupBy("kind", "g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     there = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    told = asked.join(texts.hint("merge"), "rep").join(parts, ["kind", "g"]).withColumn("part", F.explode(there))
-    bucket = F.xxhash64("kind", "g", "part")
+    told = asked.join(classes.select("rep", "n", "sig").hint("merge"), "rep").join(parts, ["kind", "g"]).withColumn("part", F.explode(there))
+    least = ASKED * percent // 80
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, wanted = None, [], np.zeros(0, bool)
+        rep = component = n = sig = np.zeros(0, np.int64)
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(wanted)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), now, np.int64)), pa.array(np.zeros(len(at), bool)), pa.array(rep[at]), pa.array(component[at])], ["bucket", "asks", "rep", "component"])
+
+        for b in batches(it):
+            key, asks = b.column("bucket").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            own = b.column("rep").to_numpy(), b.column("component").to_numpy(), b.column("n").to_numpy(), text_bytes(b.column("sig"))[0].reshape(b.num_rows, _N)
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (asks[1:] != asks[:-1])]))
+            for i, j in zip(edges, np.append(edges[1:], len(key))):  # a bucket's members, then those who ask
+                if key[i] != now:
+                    if wanted.any():
+                        yield done()
+                    now, members, wanted = key[i], [], np.zeros(0, bool)
+                if not asks[i]:
+                    members.append(tuple(x[i:j] for x in own))
+                    continue
+                if members and len(wanted) == 0:
+                    rep, component, n, sig = (np.concatenate(x) for x in zip(*members))
+                    wanted = np.zeros(len(rep), bool)
+                good = np.zeros(j - i, bool)
+                for k in range(i, j, 32) if len(wanted) else ():
+                    e = min(j, k + 32)
+                    n_a = own[2][k:e, None]
+                    open_ = (own[1][k:e, None] != component) & (100 * np.minimum(n_a, n) >= percent * np.maximum(n_a, n))
+                    if open_.any():
+                        open_ &= (own[3][k:e, None, :] == sig[None]).sum(axis=2, dtype=np.int16) >= least
+                        good[k - i : e - i] = open_.any(axis=1)
+                        wanted |= open_.any(axis=0)
+                at = i + np.flatnonzero(good)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.ones(len(at), bool)), pa.array(own[0][at]), pa.array(own[1][at])], ["bucket", "asks", "rep", "component"])
+        if wanted.any():
+            yield done()
+
+    ready = told.select(F.xxhash64("kind", "g", "part").alias("bucket"), "asks", "rep", "component", "n", "sig")
+    many = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return materialise(ready.repartition(many, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(meet, "bucket long, asks boolean, rep long, component long"))
+
+
+def _ask(met: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between those who ask and the members they met in other components, on the full sets: one for each who
+    asks, bucket and component."""
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, open_, reps, components, sets = None, True, [], [], []
@@ -404,16 +510,16 @@ def _ask(asked: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ready = told.select(bucket.alias("bucket"), "asks", "rep", "component", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
-    return ready.mapInArrow(ask, "a long, b long")
+    ready = met.join(texts.hint("merge"), "rep").select("bucket", "asks", "rep", "component", "text")
+    many = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return ready.repartition(many, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(ask, "a long, b long")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with its own columns; of rows that repeat a doc_id, one."""
+    """One document of each group of near-duplicates, with its own columns; of rows that repeat doc_id and text, one."""
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    once = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    once = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -90,6 +90,8 @@ def test_keep_first_keeps_columns_and_one_of_each(spark):
     docs = table(spark, [*odd_texts(), (1, "")])
     out = near.keep_first(docs, k=5)
     assert out.columns == docs.columns
+    twice = near.keep_first(table(spark, [(1, "one text here"), (1, "another text here"), (1, "one text here"), (2, "a third text")]))
+    assert sorted((r.doc_id, r.text) for r in twice.collect()) == [(1, "another text here"), (1, "one text here"), (2, "a third text")]
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in near.near_duplicates(docs, 5).where("kept").select("doc_id").distinct().collect())
 
 
@@ -108,15 +110,61 @@ def test_word_hashes_over_blocks(monkeypatch):
     assert len({(a, b) for a, b in zip(flat, whole[0].tolist())}) == len(set(flat)) == len(set(whole[0].tolist()))
 
 
-def test_whole_groups_cut():
+def sorted_labels(seed, n):
+    """Labels that share prefixes of all lengths, some equal."""
+    rng = np.random.default_rng(seed)
+    rows = [rng.integers(0, 256, 1 + near.LABEL) for _ in range(n // 4)]
+    for _ in range(n - len(rows)):
+        base = rows[rng.integers(0, max(1, n // 8))].copy()
+        base[rng.integers(0, 2 + near.LABEL) :] = rng.integers(0, 256)
+        rows.append(base)
+    rows = sorted(x.astype(np.uint8).tobytes() for x in rows)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(n, -1)
+
+
+@pytest.mark.parametrize("most", [1, 3, 20, 1000])
+def test_regions_take_the_fewest_levels(most):
+    label = sorted_labels(most, 400)
+    group, deeper = near.regions(label, 4, most)
+    depth_of = lambda i, j: next((d for d in range(label.shape[1]) if label[i, d] != label[j, d]), label.shape[1])
+    assert np.bincount(group).max() <= most and (np.diff(group) >= 0).all()
+    for i in range(1, len(label)):
+        same = [j for j in range(len(label)) if depth_of(i, j) >= 5]
+        assert deeper[i] == (len(same) > most)
+        if not deeper[i]:
+            assert set(np.flatnonzero(group == group[i])) == set(same)
+    for g in range(group[-1] + 1):  # one level less would be too many
+        at = np.flatnonzero(group == g)
+        depth = depth_of(at[0], at[-1])
+        if deeper[at[0]] and depth < label.shape[1]:
+            out = [j for j in range(len(label)) if depth_of(at[0], j) >= max(5, depth)]
+            assert set(at) <= set(out)
+
+
+def test_parts_hold_whole_regions(monkeypatch):
     import pyarrow as pa
 
-    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
-    for size in range(1, 12):
-        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size])], ["k"]) for i in range(0, len(keys), size)]
-        got = [t.column("k").to_pylist() for t in near._whole_groups(iter(batches), "k")]
-        assert [x for g in got for x in g] == keys
-        assert all(not set(a) & set(b) for i, a in enumerate(got) for b in got[:i])
+    label = sorted_labels(7, 300)
+    own = near._at_depth(label)
+    for held, size in ((1, 7), (40, 13), (1000, 50)):
+        monkeypatch.setattr(near, "HELD", held)
+        made = [pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in label[i : i + size]], pa.binary()), pa.array(np.arange(len(label))[i : i + size]), pa.array(np.ones(len(label[i : i + size]), np.int64))], ["label", "rep", "n"]) for i in range(0, len(label), size)]
+        got = list(near._parts(iter(made)))
+        assert np.concatenate([x[1] for x in got]).tolist() == list(range(len(label)))
+        whole = [own[x[1]] for x in got]
+        for (a, x), (b, y) in zip(zip(whole, got), zip(whole[1:], got[1:])):
+            assert set(a.tolist()).isdisjoint(b.tolist()) or (x[4] and y[3])
+        assert got[0][3] and got[-1][4]
+
+
+def test_cut_and_crowded_regions(spark, monkeypatch):
+    """Tasks that hold few rows cut most regions; leaders meet again and members ask."""
+    texts = families(4, 2, 90, 8, 80) + families(5, 5, 6, 10, 90)
+    monkeypatch.setattr(near, "HELD", 30)
+    monkeypatch.setattr(near, "REGION", 12)
+    monkeypatch.setattr(near, "BLOCK", 25)
+    rows = list(enumerate(texts))
+    assert result(near.near_duplicates(table(spark, rows), 2)) == brute(rows, 2)
 
 
 def test_components(spark):
