@@ -2,20 +2,25 @@
 
 Every context (the word before; a start mark for the first) has a restaurant, and all of them share their parent,
 the restaurant of words without context, whose base is uniform over the V known tokens and one unknown. A dish's
-customers in the parent are its tables in the children. Seating is sampled by Gibbs sweeps: given all else, the
-number of tables of a dish in a restaurant is drawn from its exact conditional distribution (by generalised
-Stirling numbers) up to EXACT customers; further customers are seated in blocks that double, with the chance of a
-new table taken at mid-block. A sweep draws all dishes of a level side by side, against the totals before it. After
-BURN sweeps, SAMPLES are kept; a token's probability is the mean of its predictive probabilities under them.
+customers in the parent are its tables in the children. Seating is sampled by Gibbs sweeps over all restaurants at
+once, made independent by two auxiliary variables. A restaurant of T tables draws a rate from a gamma distribution of
+shape strength / discount + T; given it, the tables of its dishes are independent, those of a dish of c customers and
+parent probability p being t with a probability in proportion to S(c, t) (discount x rate x p)**t, S the generalised
+Stirling numbers. And the parent draws its own measure, a Dirichlet draw of what its tables hold, so that given it
+the children are independent; what is left for new tables is spread by its mean. So dishes and contexts of a sweep are
+drawn side by side, and each draw is from its exact conditional: up to EXACT customers from the table of S, beyond
+that from the table of a model of fewer customers, scaled, which moves their mean by a hundredth at most. After BURN sweeps, SAMPLES are kept; a token's
+probability is the mean of its predictive probabilities under them. Discounts and strengths are parameters.
 
 How it is spread: texts become chunks of word numbers, written once. Contexts, with their dishes, and words belong
 to shards by hash; the dishes of contexts that hold a large share of all tokens are dealt by the pair. Chunks ask
 shards for the pairs they hold, shards tell each other customers and parent probabilities, and shards answer
-chunks. All messages are packed arrays; the driver sees a few numbers a shard. Words are 48-bit hashes.
+chunks. All messages are packed arrays; the driver sees a few numbers a shard and the contexts of a large share. Words
+are 64-bit hashes: among ten million words two collide with a probability of 3e-6.
 
 Cases: null and empty texts have the end token alone. Without training documents, V and N are 0 and every token
-has the base probability of the unknown. Equal rows are scored apart and alike. An empty table gives an empty
-result; other columns are ignored. One document's word hashes are held in memory at a time.
+has the base probability of the unknown. Equal rows are scored apart and alike. A null doc_id has no crc32: it is not
+held out, and trains. An empty table gives an empty result; other columns are ignored. One document's word hashes are held in memory at a time.
 """
 
 from __future__ import annotations
@@ -34,26 +39,26 @@ from .language_id import crc_mod
 
 #: Discount and strength of the shared restaurant and of the contexts'.
 WORDS, CONTEXTS = (0.6, 1.0), (0.85, 1.0)
-BURN, SAMPLES = 1, 2
+BURN, SAMPLES = 3, 3
+#: Customers up to which conditionals are read from a table of Stirling numbers.
 EXACT = 64
+#: Points at which a conditional beyond that is computed; of ranges that are wider, points between are drawn evenly.
+POINTS = 96
 #: Tokens of a chunk and of a shard, about.
 CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 2_200_000
-_M48 = U64((1 << 48) - 1)
 END, START = U64(0x0E4D), U64(0x57A7)
 
 _MESSAGE = "to long, frm long, kind string, a binary, b binary, c binary, d binary"
-_CHUNK = "chunk long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, toks binary, heavy binary"
+_CHUNK = "chunk long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, toks binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """48-bit numbers as six bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Word numbers."""
+    return x.astype("<u8").tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+    return np.frombuffer(blob, "<u8").astype(U64)
 
 
 def _u32(blob: bytes | None) -> np.ndarray:
@@ -107,33 +112,93 @@ def _stirling(d: float) -> list[np.ndarray]:
     return out
 
 
-def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """For dishes of c customers, `others` tables of other dishes in the restaurant and parent probability p: tables."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of numbers from 1 on, by Stirling's series seven steps up."""
+    z = x + 7
+    low = sum(np.log(x + i) for i in range(7))
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - low
+
+
+#: Customers whose Stirling numbers are kept as a model of the more numerous: from EXACT on, four in each doubling.
+MODELS = [round(EXACT * 2 ** (k / 4)) for k in range(21)]
+_SUMS: dict[float, list[np.ndarray]] = {}
+
+
+def _log_sums(d: float) -> list[np.ndarray]:
+    """For each c of MODELS, by t from 0: log of P(c, t) / t, up to a constant, where S(c, t) = c! / (t! d**t) P(c, t) and P is
+    the probability that t table sizes, drawn alone, add up to c."""
+    if d not in _SUMS:
+        out, row = [], np.zeros(1)
+        for c in range(1, MODELS[-1] + 1):
+            if c in MODELS:
+                t = np.arange(1, c + 1.0)
+                h = row + _log_gamma(t + 1) + t * np.log(d) - np.log(t)
+                out.append(np.concatenate([[2 * h[0] - h[1]], h]))
+            t = np.arange(1, c + 1)
+            row = np.logaddexp(np.append(row + np.log(c - t * d), -np.inf), np.append(-np.inf, row))
+        _SUMS[d] = out
+    return _SUMS[d]
+
+
+def _log_weights(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) up to a constant for each row of t, for many customers c. Table sizes have a tail of index d, so P(c, t)
+    depends on t / c**d alone as c grows, and a model of fewer customers tells it."""
+    which = np.searchsorted(MODELS, c, side="right") - 1
+    out = np.log(t) - _log_gamma(t + 1.0) - t * np.log(d)
+    for k in np.unique(which):
+        at = which == k
+        out[at] += np.interp(t[at] / ((c[at] / MODELS[k]) ** d)[:, None], np.arange(MODELS[k] + 1.0), _log_sums(d)[k])
+    return out
+
+
+def draw_tables(c: np.ndarray, rate: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """For dishes of c customers, tables t with a probability in proportion to S(c, t) rate**t."""
     t = np.minimum(c, 1).astype(np.int64)
     table = _stirling(d)
-    small = np.minimum(c, EXACT)
-    for n in np.unique(small[small >= 2]):
-        at = np.flatnonzero(small == n)
+    log_rate = np.log(rate)
+    for n in np.unique(c[(c >= 2) & (c <= EXACT)]):
+        at = np.flatnonzero(c == n)
         for i in range(0, len(at), 1 << 15):
             some = at[i : i + (1 << 15)]
-            new = np.log(theta + d * (others[some][:, None] + np.arange(n))) + np.log(p[some])[:, None]
-            w = np.cumsum(new, axis=1) + table[n]
+            w = table[n] + log_rate[some][:, None] * np.arange(1, n + 1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             t[some] = 1 + (w < rng.random(len(some))[:, None] * w[:, -1:]).sum(axis=1)
     many = np.flatnonzero(c > EXACT)
-    seated = np.full(len(many), EXACT)
-    while len(many):
-        n = np.minimum(seated, c[many] - seated)
-        new = (theta + d * (others[many] + t[many])) * p[many]
-        t[many] += rng.binomial(n, np.clip(new / (new + np.maximum(seated + n / 2 - d * t[many], 1e-9)), 0, 1))
-        seated = seated + n
-        go = seated < c[many]
-        many, seated = many[go], seated[go]
+    for i in range(0, len(many), 1 << 12):
+        some = many[i : i + (1 << 12)]
+        t[some] = _draw_many(c[some].astype(float), log_rate[some], d, rng)
     return t
 
 
+def _draw_many(c: np.ndarray, log_rate: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """The same for many customers: points over the whole range find where the weight lies, points there give the draw."""
+    weight = lambda t: _log_weights(c, t, d) + log_rate[:, None] * t
+    steps = np.linspace(0, 1, POINTS)
+    low, high = np.ones(len(c)), c.copy()
+    for geometric in (True, False):
+        t = low[:, None] * (high / low)[:, None] ** steps if geometric else low[:, None] + (high - low)[:, None] * steps
+        w = weight(t)
+        here = w > w.max(axis=1, keepdims=True) - 30  # log-concave: one run
+        first, last = here.argmax(axis=1), POINTS - 1 - here[:, ::-1].argmax(axis=1)
+        row = np.arange(len(c))
+        low, high = np.floor(t[row, np.maximum(first - 1, 0)]), np.ceil(t[row, np.minimum(last + 1, POINTS - 1)])
+        low, high = np.maximum(low, 1), np.minimum(high, c)
+    step = np.maximum(1, np.ceil((high - low + 1) / POINTS))
+    t = np.minimum(low[:, None] + step[:, None] * np.arange(POINTS), c[:, None])
+    w = weight(t)
+    w[low[:, None] + step[:, None] * np.arange(POINTS) > high[:, None]] = -np.inf
+    w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+    k = (w < rng.random(len(c))[:, None] * w[:, -1:]).sum(axis=1)
+    return np.clip(t[np.arange(len(c)), k] + np.floor(rng.random(len(c)) * step) - np.floor((step - 1) / 2 + rng.random(len(c))), 1, c).astype(np.int64)
+
+
+def draw_rates(tables: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """discount x the auxiliary rate of restaurants of so many tables."""
+    return d * rng.gamma(theta / d + tables)
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of documents as word numbers; words are sorted hashes. heavy: words of a large share, with counts."""
+    """Chunks of documents as word numbers; words are sorted hashes."""
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, lens, toks, count = [], [], [], [], 0
@@ -143,18 +208,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
             nonlocal number, count
             words, at = np.unique(np.concatenate([*toks, [END, START]]), return_inverse=True)
             at = at[:-2]
-            n = np.bincount(at, minlength=len(words))
-            big = np.flatnonzero(n * 256 >= len(at))
-            row = [[number], [ids[:]], [held[:]], [lens[:]], [_pack(words)], [_dense(_bytes(at, "<u4"))], [_pack(words[big]) + _bytes(n[big], "<u8")]]
+            row = [[number], [ids[:]], [held[:]], [lens[:]], [_pack(words)], [_dense(_bytes(at, "<u4"))]]
             number, count = number + 1, 0
             for x in (ids, held, lens, toks):
                 x.clear()
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["chunk", "doc_id", "held", "lens", "words", "toks", "heavy"])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["chunk", "doc_id", "held", "lens", "words", "toks"])
 
         for b in batches(it):
             h, first = word_hashes(*text_bytes(b.column("text")))
-            h = (h & _M48) | U64(1 << 20)  # no word is END or START
+            h |= U64(1 << 20)  # no word is END or START
             with_end = np.insert(h, first[1:], END)
             n = np.diff(first) + 1
             ids += b.column("doc_id").to_pylist()
@@ -170,6 +233,20 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, _CHUNK)
 
 
+def _heavy(chunks: DataFrame, least: int) -> DataFrame:
+    """Words and their counts in chunks of which they are a share of 1 / least or more."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            for blob, toks in zip(b.column("words").to_pylist(), b.column("toks").to_pylist()):
+                words, at = _unpack(blob), _u32(_open(toks))
+                n = np.bincount(at, minlength=len(words))
+                big = np.flatnonzero(n * least >= len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(words[big].astype(np.int64)), pa.array(n[big].astype(np.int64))], ["word", "n"])
+
+    return chunks.select("words", "toks").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 class _Chunk:
     """A chunk's tokens, the word before each, and its distinct pairs."""
 
@@ -207,7 +284,8 @@ def _deal(shard: np.ndarray, shards: int) -> list[np.ndarray]:
 
 
 def _ask(chunks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """What chunks ask of shards: words (a, counts d), and pairs (contexts a, run lengths b, words c, counts d)."""
+    """What chunks ask of shards: words (a, counts d), and pairs (contexts a, run lengths b, words c, counts d), and the
+    numbers of the pairs' words among c (in `a` of a third)."""
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -216,20 +294,22 @@ def _ask(chunks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
                 for r in range(shards):
                     w, p = x.word_cut[r], x.pair_cut[r]
                     u, n = np.unique(x.u[p], return_counts=True)
+                    dish, of = np.unique(x.w[p], return_inverse=True)
                     yield _rows(
                         [
                             (r, row["chunk"], "ask_words", _pack(x.words[w]), None, None, _bytes(x.word_count[w], "<u4")),
-                            (r, row["chunk"], "ask_pairs", _pack(x.words[u]), _bytes(n, "<u4"), _pack(x.words[x.w[p]]), _bytes(x.pair_count[p], "<u4")),
+                            (r, row["chunk"], "ask_pairs", _pack(x.words[u]), _bytes(n, "<u4"), _pack(x.words[dish]), _bytes(x.pair_count[p], "<u4")),
+                            (r, row["chunk"], "ask_which", _bytes(of, "<u4")),
                         ]
                     )
 
     return chunks.mapInArrow(ask, _MESSAGE)
 
 
-def _merged_pairs(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _merged_pairs(asked: list[dict], which: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """All pairs that chunks ask for: contexts, words, counts, and each chunk's rows among them."""
     u = np.concatenate([np.repeat(_unpack(r["a"]), _u32(r["b"])) for r in asked])
-    w = np.concatenate([_unpack(r["c"]) for r in asked])
+    w = np.concatenate([_unpack(r["c"])[_u32(x["a"])] for r, x in zip(asked, which)])
     n = np.concatenate([_u32(r["d"]) for r in asked])
     order = np.lexsort((w, u))
     su, sw = u[order], w[order]
@@ -239,7 +319,7 @@ def _merged_pairs(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     back = np.empty(len(u), np.int64)
     back[order] = group
     count = np.bincount(group, n[order]).astype(np.int64)
-    return su[new], sw[new], count, np.split(back, np.cumsum([len(r["c"]) // 6 for r in asked])[:-1])
+    return su[new], sw[new], count, np.split(back, np.cumsum([len(r["d"]) // 4 for r in asked])[:-1])
 
 
 def _ascending(number: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -255,12 +335,12 @@ def _merge(shards: int, hot: np.ndarray):
         r, mail = t.column("to")[0].as_py(), _mail(t)
         words, at = np.unique(np.concatenate([_unpack(m["a"]) for m in mail["ask_words"]]), return_inverse=True)
         count = np.bincount(at, np.concatenate([_u32(m["d"]) for m in mail["ask_words"]]), len(words)).astype(np.int64)
-        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 6 for m in mail["ask_words"]])[:-1]))]
+        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 8 for m in mail["ask_words"]])[:-1]))]
         words, count = words[count > 0], count[count > 0]
         token = words != START
         totals = np.array([count[token].sum(), token.sum()], "<i8")
         out = [(r, r, "words", _pack(words), None, None, _bytes(count, "<u4")), (r, r, "totals", totals.tobytes())]
-        u, w, c, back = _merged_pairs(mail["ask_pairs"])
+        u, w, c, back = _merged_pairs(mail["ask_pairs"], mail["ask_which"])
         replies += [[(r, m["frm"], "reply_pairs"), c[x], _ascending(np.cumsum(c > 1) - 1, x, c[x] > 1)] for m, x in zip(mail["ask_pairs"], back)]
         out += [(*head, _bytes(n, "<u4"), _bytes(steps, "<u4")) for head, n, steps in replies]
         u, w, c = u[c > 0], w[c > 0], c[c > 0]
@@ -302,8 +382,10 @@ def _settle(t: pa.Table) -> pa.Table:
 
 
 def _seat_words(sweep: int, seed: int, tables: int, known: int, keep: bool):
-    """Shard: seat its words' customers in the shared restaurant; tells each sender of pairs its words' c - d t."""
+    """Shard: seat its words' customers in the shared restaurant; tells each sender of pairs its words' share of a draw of
+    the restaurant's measure, times the `sums` of all."""
     d, theta = WORDS
+    rate = float(draw_rates(np.array(tables), d, theta, np.random.default_rng([seed, sweep, 3])))
 
     def seat(t: pa.Table) -> pa.Table:
         r, mail = t.column("to")[0].as_py(), _mail(t)
@@ -315,21 +397,21 @@ def _seat_words(sweep: int, seed: int, tables: int, known: int, keep: bool):
         for (frm, _), at in zip(sizes, parts):
             c[at] += counts[frm]
         rng = np.random.default_rng([seed, sweep, r, 1])
-        others = np.maximum(tables - (c > 0), 0)
-        n = draw_tables(c, others, np.full(len(c), 1.0 / (known + 1)), d, theta, rng)
-        num = c - d * n
-        out = [(frm, r, "parent", _bytes(num[at], "<f4")) for (frm, _), at in zip(sizes.tolist(), parts)]
-        out.append((r, r, "sums", np.array([c.sum(), n.sum()], "<i8").tobytes()))
+        n = draw_tables(c, np.full(len(c), rate / (known + 1)), d, rng)
+        held = rng.gamma(np.maximum(c - d * n, 0))
+        out = [(frm, r, "parent", _bytes(held[at], "<f4")) for (frm, _), at in zip(sizes.tolist(), parts)]
+        out.append((r, r, "sums", np.array([c.sum(), n.sum(), held.sum()], "<f8").tobytes()))
         if keep:
-            out.append((r, sweep, "word_sample", _bytes(num, "<f4")))
+            out.append((r, sweep, "word_sample", _bytes(c - d * n, "<f4")))
         return pa.Table.from_batches([_rows(out)])
 
     return seat
 
 
-def _seat_pairs(sweep: int, seed: int, customers: int, tables: int, known: int, hot: dict[int, int], keep: bool):
+def _seat_pairs(sweep: int, seed: int, tables: int, held: float, known: int, hot: dict[int, int], keep: bool):
     """Shard: seat the customers of its pairs of two or more; tells the words' shards their tables."""
     d, theta = CONTEXTS
+    rest = np.random.default_rng([seed, sweep, 4]).gamma(WORDS[1] + WORDS[0] * tables)
 
     def seat(t: pa.Table) -> pa.Table:
         r, mail = t.column("to")[0].as_py(), _mail(t)
@@ -338,13 +420,16 @@ def _seat_pairs(sweep: int, seed: int, customers: int, tables: int, known: int,
         at, dish, c = np.split(_u32(state["c"]), 3)
         to = _u32(state["d"])
         num = np.concatenate([_f32(m["a"]) for m in mail.get("parent", [])] or [np.zeros(0)])
-        p = _parent(num, customers, tables, known)
+        p = (num + rest / (known + 1)) / (held + rest)
         old = _u32(mail["seats"][0]["a"]) if "seats" in mail else np.ones(len(c), np.int64)
         total = single + np.bincount(at, old, len(context)).astype(np.int64)
-        is_hot = np.array([int(x) in hot for x in context], bool) if hot else np.zeros(len(context), bool)
-        total[is_hot] = [hot[int(x)] for x in context[is_hot]]
         rng = np.random.default_rng([seed, sweep, r, 2])
-        n = draw_tables(c, total[at] - old, p[dish], d, theta, rng)
+        rate = draw_rates(total, d, theta, rng)
+        is_hot = np.array([int(x) in hot for x in context], bool) if hot else np.zeros(len(context), bool)
+        for i in np.flatnonzero(is_hot):  # the same draw wherever a context's dishes are
+            u = int(context[i])
+            rate[i] = draw_rates(np.array(hot[u]), d, theta, np.random.default_rng([seed, sweep, u, 5]))
+        n = draw_tables(c, rate[at] * p[dish], d, rng)
         told = np.bincount(dish, n, len(num)).astype(np.int64)
         after = single + np.bincount(at, n, len(context)).astype(np.int64)
         out = [(s, r, "count", None, None, None, _bytes(x, "<u4")) for s, x in enumerate(np.split(told, np.cumsum(to)[:-1]))]
@@ -358,6 +443,7 @@ def _seat_pairs(sweep: int, seed: int, customers: int, tables: int, known: int,
 
 
 def _parent(num: np.ndarray, customers: int, tables: int, known: int) -> np.ndarray:
+    """The predictive probability of words without context."""
     d, theta = WORDS
     return (num + (theta + d * tables) / (known + 1)) / (theta + customers)
 
@@ -402,35 +488,37 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    held = crc_mod(F.col("doc_id"), 7) == 2 if held is None else held
+    held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2 if held is None else held, F.lit(False))
     chunks = materialise(_chunks(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))))
     tokens, n_chunks = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("*")).first()
     if not n_chunks:
         return spark.createDataFrame([], _SCORES).withColumn("train_tokens", F.lit(0).cast("long"))
     shards = max(8, math.ceil(tokens / SHARD_TOKENS))
-    heavy: dict[int, int] = {}
-    for (blob,) in chunks.select("heavy").toLocalIterator():  # at most 256 words a chunk
-        k = len(blob) // 14
-        for w, n in zip(_unpack(blob[: 6 * k]).tolist(), np.frombuffer(blob[6 * k :], "<u8").tolist()):
-            heavy[w] = heavy.get(w, 0) + n
-    hot = np.array(sorted(w for w, n in heavy.items() if 2 * n * shards > tokens), U64)
+    # a word of a share of 1 / (2 shards) is listed by chunks with half of its tokens at least; such lists hold 4 shards words at most
+    hot = np.array(sorted(r["word"] for r in _heavy(chunks, 4 * shards).where(F.col("n") * (4 * shards) >= tokens).collect()), np.int64).astype(U64)
 
     def by_shard(rows: DataFrame, f) -> DataFrame:
         return rows.repartition(shards, "to").groupBy("to").applyInArrow(f, _MESSAGE)
 
     def hot_tables(rows: DataFrame) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if len(hot):
-            for m in rows.where(F.col("kind") == "hot").select("a", "b").collect():  # 2 shards words at most, from each shard
-                for w, n in zip(_unpack(_open(m["a"])).tolist(), _u32(_open(m["b"])).tolist()):
-                    out[w] = out.get(w, 0) + n
-        return out
+        """Tables of the contexts dealt by the pair, added up over shards: 4 shards numbers at most."""
+
+        def opened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches(it):
+                for a, n in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(_unpack(_open(a)).astype(np.int64)), pa.array(_u32(_open(n)))], ["word", "n"])
+
+        if not len(hot):
+            return {}
+        sums = rows.where(F.col("kind") == "hot").select("a", "b").mapInArrow(opened, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return {r["word"] % (1 << 64): r["n"] for r in sums.collect()}
 
-    def added(rows: DataFrame, kind: str) -> list[int]:
-        return np.sum([np.frombuffer(_open(m["a"]), "<i8") for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
+    def added(rows: DataFrame, kind: str, numbers: str) -> list:
+        """Sums of a few numbers a shard."""
+        return np.sum([np.frombuffer(_open(m["a"]), numbers) for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
 
     merged = materialise(by_shard(_ask(chunks, shards, hot), _merge(shards, hot)))
-    train, known = added(merged, "totals")
+    train, known = added(merged, "totals", "<i8")
     kind = F.col("kind")
     settled = materialise(by_shard(merged.where(kind.isin("words", "customers")), _settle))
     words_state, counts = settled.where(kind == "known"), settled.where(kind == "count")
@@ -443,10 +531,12 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     for sweep in range(BURN + SAMPLES):
         keep = sweep >= BURN
         up = materialise(by_shard(words_state.unionByName(counts), _seat_words(sweep, seed, tables, known, keep)))
-        customers, tables = added(up, "sums")
+        customers, tables, drawn = added(up, "sums", "<f8")
+        customers, tables = round(customers), round(tables)
         down_in = pairs_state.unionByName(up.where(kind == "parent"))
-        down = materialise(by_shard(down_in if seats is None else down_in.unionByName(seats), _seat_pairs(sweep, seed, customers, tables, known, hot_now, keep)))
+        down = materialise(by_shard(down_in if seats is None else down_in.unionByName(seats), _seat_pairs(sweep, seed, tables, drawn, known, hot_now, keep)))
         discard(*done)
+        spark._jvm.System.gc()  # shuffle files go when nothing refers to them any more and the driver notices
         done = [] if keep else [up, down]  # the next sweep reads them, none after it
         counts, seats, hot_now = down.where(kind == "count"), down.where(kind == "seats"), hot_tables(down)
         if keep:

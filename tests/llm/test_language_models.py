@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.llm import language_id, pitman_yor, subword
 from loomgrid.llm.common import public_tokenizer
@@ -75,41 +76,117 @@ def test_scores_of_the_plain_model(spark):
 
 
 def test_distribution_sums_to_one(spark):
-    """Scores of one-word texts and the empty text over the whole vocabulary, after the start mark."""
+    """The probabilities of all texts over the vocabulary and one unknown word, of whatever length, sum to one.
+
+    With s, M and e the probabilities to begin with a word, to go on with one and to end, s e and s M e are scores of
+    texts of one and two words; e follows from these as every word goes on or ends.
+    """
     rng = random.Random(4)
     train = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6))) for _ in range(80)]
     ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][:80]
     held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    asked = ["", *"abcdef", "unseen"]
-    rows = list(zip(ids, train)) + [(held[k], t) for k, t in enumerate(asked)] + [(held[20 + k], f"{t} {t}") for k, t in enumerate(asked[1:])]
-    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(table(spark, rows)).collect()}
-    first = {}
-    for k, t in enumerate(asked[1:]):
-        # P(t t end) / P(t end) = P(t | t) as P(end | t) is in both
-        first[t] = 10 ** (got[held[20 + k]] - got[held[1 + k]])
-    assert all(0 < p < 1 for p in first.values())
-    end = 10 ** got[held[0]]
-    total = end
-    model_end = {}
-    for t in asked[1:]:
-        model_end[t] = 10 ** got[held[asked.index(t)]]
-    assert 0 < total + sum(model_end.values()) <= 1.0 + 1e-6
-
-
-def test_draws_follow_the_exact_conditional():
-    rng = np.random.default_rng(1)
-    d, theta, p, others = 0.7, 1.0, 0.3, 4
-    got = pitman_yor.draw_tables(np.full(40_000, 3), np.full(40_000, others), np.full(40_000, p), d, theta, rng)
-    new = [(theta + d * (others + j)) * p for j in range(3)]
-    weight = np.array([(1 - d) * (2 - d) * new[0], 3 * (1 - d) * new[0] * new[1], new[0] * new[1] * new[2]])
-    share = np.bincount(got, minlength=4)[1:] / 40_000
-    assert np.abs(share - weight / weight.sum()).max() < 0.01
-    many = pitman_yor.draw_tables(np.array([1, 2, 500, 100_000]), np.zeros(4), np.full(4, 0.2), d, theta, rng)
-    assert many[0] == 1 and 1 <= many[1] <= 2 and 1 <= many[2] <= 500 and many[3] < 100_000
-
-
-def test_pack_of_48_bits():
-    x = np.array([0, 1, (1 << 48) - 1, 123456789012], np.uint64)
+    kinds = [*"abcdef", "unseen"]
+    asked = ["", *kinds, *(f"{x} {y}" for x in kinds for y in kinds)]
+    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(table(spark, [*zip(ids, train), *zip(held, asked)])).collect()}
+    p = np.array([10 ** got[held[i]] for i in range(len(asked))])
+    one, two = p[1:8], p[8:].reshape(7, 7)
+    f = np.linalg.solve(np.eye(7) - two / one[:, None], np.ones(7))  # 1 / e
+    assert (f > 1).all() and p[0] + (one * f).sum() == pytest.approx(1.0, rel=1e-5)
+
+
+def seated(texts, d0, theta0, d1, theta1, sweeps, burn, rng):
+    """The mean of predictive probabilities under a sampler that moves one customer at a time."""
+    pairs = [(u, w) for t in texts for u, w in zip([0, *t], [*t, 1])]
+    known = len({w for _, w in pairs})
+    root, rest = {}, {}
+
+    def prob(tables, w, d, theta, parent):
+        c, t = sum(map(sum, tables.values())), sum(map(len, tables.values()))
+        return (sum(tables.get(w, [])) - d * len(tables.get(w, [])) + (theta + d * t) * parent) / (theta + c)
+
+    def sit(tables, w, d, theta, parent):
+        mine = tables.setdefault(w, [])
+        weights = [n - d for n in mine] + [(theta + d * sum(map(len, tables.values()))) * parent]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k < len(mine):
+            mine[k] += 1
+        else:
+            mine.append(1)
+        return k == len(weights) - 1
+
+    def leave(tables, w):
+        k = rng.choices(range(len(tables[w])), tables[w])[0]
+        tables[w][k] -= 1
+        if not tables[w][k]:
+            del tables[w][k]
+            return True
+        return False
+
+    def word(w):
+        return prob(root, w, d0, theta0, 1 / (known + 1))
+
+    mean = Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if sweep and leave(rest[u], w):
+                leave(root, w)
+            if sit(rest.setdefault(u, {}), w, d1, theta1, word(w)):
+                sit(root, w, d0, theta0, 1 / (known + 1))
+        if sweep >= burn:
+            for pair in set(pairs):
+                mean[pair] += prob(rest[pair[0]], pair[1], d1, theta1, word(pair[1])) / (sweeps - burn)
+    return [sum(math.log10(mean[x]) for x in zip([0, *t], [*t, 1])) for t in texts]
+
+
+def test_scores_are_those_of_a_plain_sampler(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [[rng.randint(2, 4) * rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    want = seated(texts, *pitman_yor.WORDS, *pitman_yor.CONTEXTS, 400, 50, rng)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 20)
+    docs = table(spark, [" ".join(f"w{x}" for x in t) for t in texts])
+    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(docs, held=F.lit(False)).collect()}
+    off = np.array([(got[i] - w) / (len(texts[i]) + 1) for i, w in enumerate(want)])
+    assert abs(off.mean()) < 0.006 and np.abs(off).max() < 0.04
+
+
+def stirling(c, d):
+    """log of the generalised Stirling numbers of c customers, by t - 1."""
+    out = np.zeros(1)
+    for n in range(1, c):
+        t = np.arange(1, n + 1)
+        out = np.logaddexp(np.append(out + np.log(n - t * d), -np.inf), np.append(-np.inf, out))
+    return out
+
+
+@pytest.mark.parametrize("c, d, rate", [(3, 0.7, 0.9), (40, 0.85, 5.0), (64, 0.6, 0.2), (65, 0.6, 12.0), (300, 0.85, 40.0), (2000, 0.6, 3.0), (3000, 0.85, 0.4), (3000, 0.6, 200.0)])
+def test_draws_follow_the_exact_conditional(c, d, rate):
+    t = np.arange(1, c + 1)
+    weight = stirling(c, d) + np.log(rate) * t
+    weight = np.exp(weight - weight.max())
+    weight /= weight.sum()
+    mean = (weight * t).sum()
+    spread = math.sqrt((weight * (t - mean) ** 2).sum())
+    got = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, rate), d, np.random.default_rng(1))
+    assert abs(got.mean() - mean) < 4 * spread / math.sqrt(20_000) + 0.004 * mean and abs(got.std() - spread) < 0.05 * spread + 0.01
+    share = np.bincount(got, minlength=c + 1)[1:] / 20_000
+    assert c > 64 or np.abs(share - weight).max() < 0.015
+
+
+def test_draws_of_any_size():
+    rng = np.random.default_rng(2)
+    c = np.array([0, 1, 2, 100, 10**5, 10**9])
+    for rate in (1e-9, 0.5, 1e3, 1e8):
+        t = pitman_yor.draw_tables(c, np.full(6, rate), 0.85, rng)
+        assert t[0] == 0 and t[1] == 1 and (t[1:] >= 1).all() and (t <= c).all()
+
+
+def test_null_ids_train(spark):
+    got = pitman_yor.pitman_yor_scores(table(spark, [(None, "a b a"), (1, "a b")])).collect()
+    assert {r.doc_id: (r.held_out, r.train_tokens) for r in got} == {None: (False, 7), 1: (False, 7)}
+
+
+def test_pack_of_words():
+    x = np.array([0, 1, (1 << 64) - 1, 123456789012], np.uint64)
     assert pitman_yor._unpack(pitman_yor._pack(x)).tolist() == x.tolist()
 
 
