@@ -27,6 +27,8 @@ from .common import U64, batches, mix64, text_bytes
 
 #: log2 of the number of trigram buckets.
 BITS = 12
+#: The most languages that are learned, the most frequent, and the most rows that are sampled for all of them together.
+MOST_LANGS, MOST_ROWS = 1024, 16_384
 #: Rows of each language that the classifiers are fitted on, about.
 PER_LANG = 1000
 #: Least score of an answer that is not ambiguous.
@@ -155,10 +157,12 @@ def crc_mod(key: Column, m: int) -> Column:
 def fit_language_id(docs: DataFrame, per_lang: int = PER_LANG) -> EcocModel:
     """A model of the labelled rows of docs (columns doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    per_lang = max(1, min(per_lang, MOST_ROWS // max(1, len(counts))))
     share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1 << 30, math.ceil((1 << 30) * per_lang / n))).otherwise(share)
+    if counts:
+        table = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, math.ceil((1 << 30) * per_lang / r["n"])))])
+        share = F.coalesce(F.try_element_at(table, F.col("lang")), F.lit(0))
     few = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) < share).limit(2 * per_lang * max(1, len(counts)))
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ as far as its nearest one; the ratio is fitted on the sample, so that queries fi
 that so find fewer than k read every list.
 
 Equal vectors are one class with its smallest `k + 1` ids, so that a vector held by a third of all rows is
-compared once. Long lists are cut into parts that different tasks compare.
+compared once. Long lists, and the queries of a list that many ask, are cut into parts that different tasks compare.
+Beyond LIST * MOST_LISTS vectors lists grow with the table, and a query's work with them; what is broadcast does not.
 
 Cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; nor do those of
 another length than the most frequent (of equally frequent ones the shortest). Rows of one vec_id and
@@ -33,12 +34,12 @@ LIST, MOST_LISTS = 100, 8192
 SAMPLE = 16
 SPREAD, REPLICAS = 0.05, 3
 #: Queries of the sample that the pruning ratio is fitted with, and the share of their neighbours in the sample that it must reach.
-TRIALS, REACH = 256, 0.97
+TRIALS, REACH = 512, 0.93
 LINKS = 24
 #: Vectors of the sample that bound, for each query, how far its answers can be.
 BOUND = 8192
-#: Entries of a list that one task compares.
-PART = 4096
+#: Entries of a list, and queries of a list, that one task compares.
+PART, ASKING = 4096, 2048
 _ROUNDS = 8
 
 
@@ -249,23 +250,28 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
 
     postings = materialise(classes.select("rep", "v").mapInArrow(enter, "list int, rep long, v binary"))
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row a list
-    entered = postings.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "v")
     asking = once.where("asks").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("rep").alias("q"), "v")
 
     def compare(key: object, left: pa.Table, right: pa.Table) -> pa.Table:
         own, asked = [], []
         if left.num_rows and right.num_rows:
-            rep = left.column("rep").to_numpy()
+            rep, names, bounds = left.column("rep").to_numpy(), right.column("q").to_numpy(), right.column("bound").to_numpy()
             v, q = (_vectors(t.column("v").combine_chunks(), dim) for t in (left, right))
-            for name, x, bound in zip(right.column("q").to_pylist(), q, right.column("bound").to_pylist()):
-                diff = v - x
+            for i in range(0, len(q), 256):
+                reach = bounds[i : i + 256, None] ** 2
+                rough = _squares(q[i : i + 256], v)  # of a rounding error far below the margin
+                margin = 1e-9 * ((q[i : i + 256] ** 2).sum(1)[:, None] + (v * v).sum(1)[None])
+                row, at = np.nonzero(rough <= reach + margin)
+                diff = v[at] - q[i + row]
                 d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                close = np.flatnonzero(d <= bound)
-                top = close[np.lexsort((rep[close], d[close]))[: k + 1]]
-                own.append((rep[top], d[top]))
-                asked += [name] * len(top)
+                order = np.lexsort((rep[at], d, row))
+                row, at, d = row[order], at[order], d[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                top = (place <= k) & (d <= bounds[i + row])
+                own.append((rep[at[top]], d[top]))
+                asked.append(names[i + row[top]])
         rep, d = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"q": pa.array(asked, pa.int64()), "rep": pa.array(rep), "score": pa.array(d)})
+        return pa.table({"q": pa.array(np.concatenate(asked) if asked else np.zeros(0, np.int64)), "rep": pa.array(rep), "score": pa.array(d)})
 
     # back from classes to rows: q and rep are the smallest ids of their classes; ids may repeat, so classes are joined by hash
     ids = classes.select("k1", "k2", F.col("rep"))
@@ -274,9 +280,15 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
 
     def found_in(queries: DataFrame, every: bool) -> DataFrame:
         """q, score, vec_id of the k + 1 nearest rows in the lists read."""
-        probing = queries.mapInArrow(probe(every), "list int, q long, v binary, bound double").join(F.broadcast(parts), "list")
-        probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q", "v", "bound")
-        hits = entered.groupBy("list", "part").cogroup(probing.groupBy("list", "part")).applyInArrow(compare, "q long, rep long, score double")
+        probing = materialise(queries.mapInArrow(probe(every), "list int, q long, v binary, bound double"))
+        asks = probing.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("asking"))  # a row a list
+        cut = F.broadcast(parts.join(asks, "list"))  # MOST_LISTS rows at most
+        both = lambda n, mine: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(mine)
+        dealt = lambda key, n, mine: F.pmod(F.xxhash64(key), F.col(n)).cast("int").alias(mine)
+        entered = postings.join(cut, "list").select("list", dealt("rep", "parts", "part"), both("asking", "ask"), "rep", "v")
+        probing = probing.join(cut, "list").select("list", both("parts", "part"), dealt("q", "asking", "ask"), "q", "v", "bound")
+        keys = ["list", "part", "ask"]
+        hits = entered.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(compare, "q long, rep long, score double")
         hits = hits.groupBy("q", "rep").agg(F.min("score").alias("score")).withColumn("r", top).where(F.col("r") <= k + 1).drop("r")
         rows = hits.join(ids, "rep").join(members.drop("r"), ["k1", "k2"]).select("q", "score", "vec_id")
         return rows.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", best).where(F.col("r") <= k + 1).drop("r")

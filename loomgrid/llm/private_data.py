@@ -9,7 +9,7 @@ whether it holds the entity or not; sanitising replaces every span by its kind.
 
 Terms are words `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, that overlap no pattern. They are counted by 64-bit hashes.
 Counting all words would move much that is never asked for: only words whose hash falls on a bit of a fixed
-bitmap, set by the words next to entities, are counted.
+bitmap, set by the words next to entities, are counted. Texts are told apart by their SHA-256.
 
 Cases: null text is empty, for sanitising it stays null. Equal rows get equal results and each counts as a
 document. An empty table gives an empty result. Other columns are ignored or, when sanitising, kept.
@@ -111,7 +111,7 @@ def terms_of(text: str, taken: list[tuple[str, int, int]]) -> tuple[np.ndarray,
     return h[free].astype(np.int64), [places[i] for i in free]
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, key long, entities array<long>, private_text string"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, key string, entities array<long>, private_text string"
 
 
 def find_patterns(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def find_patterns(docs: DataFrame) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "key", "entities", "private_text"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(find, _FOUND)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.sha2("text", 256).alias("key")).mapInArrow(find, _FOUND)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -155,7 +155,7 @@ def texts_with(docs: DataFrame, told: DataFrame) -> DataFrame:
             doc, h = np.unique(np.stack([doc[some], h[some]]), axis=1)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), pa.array(h)], ["key", "term"])
 
-    may = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(ask, "key long, term long").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
+    may = docs.select("text", F.sha2("text", 256).alias("key")).mapInArrow(ask, "key string, term long").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
     asked = told.select("term", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))  # a term may be in many texts
     return may.join(asked, ["term", "salt"]).groupBy("key").agg(F.collect_set("term").alias("terms"))  # terms of one text
 
@@ -179,7 +179,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
             row = pa.array(np.repeat(np.arange(len(terms)), size))
             yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("copies").take(row), pa.array(np.concatenate(terms) if len(terms) else np.zeros(0, np.int64))], ["key", "copies", "term"])
 
-    near = materialise(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key long, copies long, term long"))
+    near = materialise(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key string, copies long, term long"))
     both = near.join(asked, "key").select("key", "copies", "term", F.explode("entities").alias("entity"))
     pairs = materialise(both.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
@@ -238,7 +238,7 @@ def private_data(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA)
             sha = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts[:-1], pa.array(sha, pa.string()), pa.array([joined(x) for x in every], pa.string()), counts[-1]], [*names, "spans", "n_term"])
 
-    held = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).join(terms, "key").select("doc_id", "text", "terms")
+    held = docs.select(F.col("doc_id").cast("long"), "text", F.sha2("text", 256).alias("key")).join(terms, "key").select("doc_id", "text", "terms")
     return plain.unionByName(held.mapInArrow(spans, plain.schema))
 
 
@@ -257,7 +257,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> D
     names = docs.columns
     found = materialise(find_patterns(docs).select("key", "entities", "private_text"))
     terms = disclosing_terms(docs, found, support, alpha)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.xxhash64("text").alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.sha2("text", 256).alias("key"))
     rows = rows.withColumn("terms", F.lit(None).cast("array<long>")) if terms is None else rows.join(terms, "key", "left")
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

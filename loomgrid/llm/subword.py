@@ -4,8 +4,8 @@ The model file is of the BPE kind. Its encoding of a text is the one path throug
 every two neighbours are `compatible`, that is, encode to themselves when put together. With weight 0 for
 compatible neighbours and minus infinity for others it is the best path, and max-plus algebra applies. A giant
 document is cut into chunks. The state at a cut is the piece that ends at it or crosses it. Each chunk yields the
-matrix of weights from the states at its left cut to those at its right cut. A document's matrices are combined
-associatively into the best state at every cut, and then each chunk traces its own pieces back from its two states.
+matrix of weights from the states at its left cut to those at its right cut. A document's matrices are multiplied
+up a tree, which gives the best state at every cut, and then each chunk traces its own pieces back from its two states.
 
 No piece goes from another character to a blank mark, so before a word the state is always the same. Inside a
 chunk, what lies between its first and last such place is encoded by the library; lattices are searched at the
@@ -198,17 +198,39 @@ class PieceLattice:
         return out
 
 
-def combine(matrices: list[list[tuple]]) -> list[tuple]:
-    """The best state at every cut: prefix products of the matrices from the left, then a choice from the right."""
-    ways = [{(0, 0)}]
-    for m in matrices:
-        ways.append({r for x, r in m if x in ways[-1]})
-    if (0, 0) not in ways[-1]:
+Matrix = list[tuple[tuple[int, int], tuple[int, int]]]
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product of two matrices of weights 0 and minus infinity, as their finite entries. It is associative."""
+    onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for y, r in b:
+        onward.setdefault(y, []).append(r)
+    return sorted({(x, r) for x, y in a for r in onward.get(y, ())})
+
+
+def combine(matrices: list[Matrix]) -> list[tuple[int, int]]:
+    """The best state at every cut, between the text's two ends.
+
+    Products go up a tree, two neighbours at a time. Then states come down: each node knows the states at its two ends and
+    tells its halves the state between them. All nodes of a level are independent of each other.
+    """
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([product(*below[i : i + 2]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
+    if ((0, 0), (0, 0)) not in levels[-1][0]:
         raise ValueError("no path through the lattice")
-    states = [(0, 0)]
-    for m, into in zip(matrices[::-1], ways[-2::-1]):
-        states.append(next(x for x, r in m if r == states[-1] and x in into))
-    return states[::-1]
+    states = [(0, 0), (0, 0)]
+    for below in levels[-2::-1]:
+        down = []
+        for k, (x, r) in enumerate(zip(states, states[1:])):
+            down.append(x)
+            if 2 * k + 1 < len(below):
+                into = {y for y, end in below[2 * k + 1] if end == r}
+                down.append(next(y for start, y in below[2 * k] if start == x and y in into))
+        states = [*down, states[-1]]
+    return states
 
 
 def _lattice(path: str) -> PieceLattice:
@@ -249,7 +271,7 @@ def subword_ids(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -
                 s = BLANK + text.replace(" ", BLANK)
                 at = lattice.cuts(s, chunk)
                 made = [(key, i, s[max(0, p - margin) : q + margin], min(p, margin), min(p, margin) + q - p) for i, (p, q) in enumerate(zip(at, at[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["key", "i", "s", "p", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["key", "i", "s", "p", "q"])
 
     def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model)
@@ -262,7 +284,7 @@ def subword_ids(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -
             for key, run in zip(b.column("key").to_pylist(), b.column("run").to_pylist()):
                 states = combine([[(tuple(x), tuple(r)) for x, r in json.loads(m["matrix"])] for m in run])
                 pairs = [json.dumps([x, r]) for x, r in zip(states, states[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.int64()), pa.array(range(len(run)), pa.int32()), pa.array(pairs, pa.string())], ["key", "i", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.string()), pa.array(range(len(run)), pa.int32()), pa.array(pairs, pa.string())], ["key", "i", "ends"])
 
     def trace(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model)
@@ -281,13 +303,13 @@ def subword_ids(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -
 
     giant = F.length("text") > chunk
     small = rows.where(~giant).mapInArrow(whole, f"doc_id long, {answer}")
-    keyed = rows.where(giant).withColumn("key", F.xxhash64("text"))
+    keyed = rows.where(giant).withColumn("key", F.sha2("text", 256))
     texts = keyed.dropDuplicates(["key"]).select("key", "text")
-    chunks = materialise(texts.mapInArrow(cut, "key long, i int, s string, p int, q int").repartition("key", "i"))
-    found = chunks.select("key", "i", "s", "p", "q").mapInArrow(matrices, "key long, i int, matrix string")
+    chunks = materialise(texts.mapInArrow(cut, "key string, i int, s string, p int, q int").repartition("key", "i"))
+    found = chunks.select("key", "i", "s", "p", "q").mapInArrow(matrices, "key string, i int, matrix string")
     runs = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "matrix"))).alias("run"))  # small matrices of one document
-    states = runs.mapInArrow(scan, "key long, i int, ends string")
-    traced = chunks.join(states, ["key", "i"]).select("key", "i", "s", "p", "q", "ends").mapInArrow(trace, "key long, i int, ids array<int>")
+    states = runs.mapInArrow(scan, "key string, i int, ends string")
+    traced = chunks.join(states, ["key", "i"]).select("key", "i", "s", "p", "q", "ends").mapInArrow(trace, "key string, i int, ids array<int>")
     ids = traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
     big = keyed.select("doc_id", "crc", "key").join(ids, "key").select("doc_id", "crc", "ids").mapInArrow(back, small.schema)
     return small.unionByName(big)

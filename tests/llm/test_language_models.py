@@ -215,6 +215,56 @@ def test_matrices_combine_associatively():
     s = subword.BLANK + "thequickbrownfoxjumpsover" * 12
     at = lattice.cuts(s, 50)
     m = [lattice.transfer(s, p, q) for p, q in zip(at, at[1:])]
-    times = lambda a, b: sorted({(x, r) for x, y in a for z, r in b if y == z})
-    assert len(m) > 3 and times(times(m[0], m[1]), m[2]) == times(m[0], times(m[1], m[2]))
+    assert len(m) > 3 and subword.product(subword.product(m[0], m[1]), m[2]) == subword.product(m[0], subword.product(m[1], m[2]))
     assert max(len({x for x, _ in a}) for a in m[1:]) > 1
+    for n in range(1, len(m) + 1):  # trees of any number of leaves: one path, which steps through all matrices
+        some = [*m[:-1][: n - 1], m[-1]] if n == len(m) else None
+        if some:
+            states = subword.combine(some)
+            assert len(states) == n + 1 and all(pair in x for pair, x in zip(zip(states, states[1:]), some))
+    rng = random.Random(1)
+    for n in (1, 2, 3, 5, 8, 13):
+        states = [(0, 0), *((rng.randint(1, 3), 0) for _ in range(n - 1)), (0, 0)]
+        noise = [[((rng.randint(1, 3), 0), (rng.randint(1, 3), 0)) for _ in range(4)] for _ in range(n)]
+        given = [sorted({*x, pair}) for x, pair in zip(noise, zip(states, states[1:]))]
+        found = subword.combine(given)
+        assert found[0] == found[-1] == (0, 0) and all(pair in x for pair, x in zip(zip(found, found[1:]), given))
+    with pytest.raises(ValueError, match="no path"):
+        subword.combine([[((0, 0), (1, 0))], [((2, 0), (0, 0))]])
+
+
+def test_repeated_ids_keep_their_own_ids(spark):
+    long = "the quick brown fox " * 40
+    rows = [(1, "one"), (1, "two words"), (1, long), (1, long + "x"), (None, long)]
+    got = sorted((str(r.doc_id), tuple(r.ids)) for r in subword.subword_ids(table(spark, rows), chunk=64).collect())
+    lattice = subword.PieceLattice(public_tokenizer("piece_bpe_32k.model"))
+    assert got == sorted((str(i), tuple(lattice.library.encode(t))) for i, t in rows)
+
+
+def test_loss_weighted_decoding_and_ambiguity():
+    """Each bit's loss is weighed by its margin; the nearest codeword wins, of equals the first, and a narrow lead is ambiguous."""
+    rng = np.random.default_rng(8)
+    code = language_id.codewords(9)
+    trust = rng.uniform(0.1, 1, code.shape[1])
+    model = language_id.EcocModel([str(i) for i in range(9)], code, np.zeros((code.shape[1], 1 << language_id.BITS), np.float32), np.zeros(code.shape[1]), trust)
+    out = rng.normal(0, 1.5, (code.shape[1], 200))
+    near, share = model.decode(out)
+    for n in range(200):
+        loss = [sum(t * math.exp(-min(4, max(-4, c * o))) for t, c, o in zip(trust, word, out[:, n])) for word in code]
+        assert near[n] == min(range(9), key=lambda i: (loss[i], i))
+        assert share[n] == pytest.approx(1 / sum(math.exp(-2 * (x - min(loss))) for x in loss))
+    near, share = model.decode(np.zeros((code.shape[1], 1)))
+    assert near[0] == 0 and share[0] == pytest.approx(1 / 9) and share[0] < language_id.CLEAR
+
+
+def test_many_labels_are_bounded(spark, monkeypatch):
+    """A dirty label column: the most frequent languages are learned, from a bounded sample."""
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    monkeypatch.setattr(language_id, "MOST_ROWS", 30)
+    rng = random.Random(3)
+    langs = [x for x in SYLLABLES for _ in range(40)] + [f"junk{i}" for i in range(30)]
+    docs = table(spark, [prose(x if x in SYLLABLES else rng.choice(list(SYLLABLES)), rng) for x in langs], langs)
+    model = language_id.fit_language_id(docs)
+    assert model.langs == sorted(SYLLABLES)
+    again = language_id.fit_language_id(docs.repartition(5))
+    assert np.array_equal(model.weights, again.weights)

@@ -130,6 +130,35 @@ def test_islands_meet_over_epochs(spark):
 def test_crossover_keeps_each_piece_once():
     g = packing.Groups(np.array([5, 4, 3, 3, 2, 2, 1, 7, 6, 5]), 10, 1)
     a, b = g.fresh(0.0), g.fresh(0.9)
-    for child in (g.cross(a, b), g.mutate(a), g.evolve([a, b], 5, 6)):
+    for child in (g.cross(a, b), g.mutate(a), g.evolve([a, b], 5, 6), g.evolve([a, b], 5, 6, 2)):
         assert sorted(i for x in child for i in x) == list(range(10)) and all(sum(g.sizes[i] for i in x) <= 10 for x in child)
     assert len(g.evolve([], 5, 10)) == 4
+
+
+def test_evolution_beats_best_fit():
+    """Triplets that fill bins exactly, where best fit in falling order misses the fewest bins, alone and among full bins."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(20):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        g = packing.Groups(np.array(sizes), 1000, 3)
+        plain, evolved = g.fresh(0.0), g.evolve([], packing.POPULATION, packing.GENERATIONS)
+        assert g.bound == 20 and len(evolved) < len(plain)
+        wide = packing.Groups(np.array(sizes + [1000] * 300), 1000, 3)
+        evolved = wide.evolve([], packing.POPULATION, packing.GENERATIONS, 40)
+        assert len(evolved) < len(wide.fresh(0.0)) and sorted(i for x in evolved for i in x) == list(range(360))
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i % 90, 0, 0, rng.randint(1, 2000), 7) for i in range(300)] + [(5, 0, 0, 300, 1)] * 60
+
+    def shared(parts):
+        pieces = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, piece int, start long, length long, ids_crc32 long, spread long").repartition(parts)
+        got = packing.pack_islands(pieces.withColumn("spread", F.monotonically_increasing_id()), block=120)
+        return sorted(sorted((r.doc_id, r.length) for r in x.near) for x in got.groupBy("sequence_id").agg(F.collect_list(F.struct("doc_id", "length")).alias("near")).collect())
+
+    assert shared(1) == shared(5)
