@@ -57,6 +57,8 @@ LOOKS, DECIDE, FLAG = 47, 35, 20
 _SMALL = 24
 #: Members of a group that those who ask meet in one place, and matching minima of the signature from which the sets decide (as DECIDE).
 BLOCK, ASKED = 1500, 78
+#: Tasks over which rows of one group are joined.
+SALTS = 32
 #: Bits of the bitmap that keeps texts nobody asks for from being moved.
 BITMAP = 1 << 23
 
@@ -359,11 +361,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
     links = materialise(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
     labels = connected_components(links)
-    apart = _with_sizes(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), labels)
-    more = materialise(apart.where("whole AND s_a = 1 AND s_b = 1").select("a", "b").distinct())
-    if not more.isEmpty():
-        links = links.unionByName(materialise(_decide(more, texts, k, percent)))
-        labels = connected_components(links)
     asked = _groups(pairs, labels, in_split)
     if not asked.isEmpty():
         links = links.unionByName(materialise(_ask(_plausible(asked, classes, percent), texts, k, percent)))
@@ -396,7 +393,7 @@ def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFra
     apart = materialise(_with_sizes(_apart(pairs, labels), labels).select("b", "taken", "leader", "c_a", "c_b", "s_a", "s_b"))
     first_smaller = F.col("s_a") <= F.col("s_b")
     smaller, larger = F.when(first_smaller, F.col("c_a")).otherwise(F.col("c_b")), F.when(first_smaller, F.col("c_b")).otherwise(F.col("c_a"))
-    facing = apart.where((F.col("s_a") > 1) | (F.col("s_b") > 1)).select(smaller.alias("component"), larger.alias("g")).distinct()
+    facing = apart.select(smaller.alias("component"), larger.alias("g")).distinct()
     every = labels.select(F.col("node").alias("rep"), "component")
     alone = lambda df, c: df.select(F.col(c).alias("rep"), F.col(c).alias("component"))  # noqa: E731  a class without links is its own component
     labelled = lambda df: df.join(every, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -423,8 +420,10 @@ def _plausible(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those who ask and the members they meet, by block, wherever their signatures leave a link open. A group's members are
     dealt into blocks; each block sees all who ask, as signatures."""
     parts = asked.where("NOT asks").groupBy("kind", "g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group may have very many rows
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     there = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    told = asked.join(classes.select("rep", "n", "sig").hint("merge"), "rep").join(parts, ["kind", "g"]).withColumn("part", F.explode(there))
+    told = asked.join(classes.select("rep", "n", "sig").hint("merge"), "rep").join(parts, ["kind", "g", "salt"]).withColumn("part", F.explode(there))
     least = ASKED * percent // 80
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule says which documents it rejects. On a bounded sample every rule's cost (seconds over the sample)
-and selectivity (share it rejects) are estimated; rules are then tried in the order of rejections per cost,
-and a document is given up at the first rule that rejects it. The order changes the work, not the verdict.
+Each rule says which documents it rejects, from figures that are computed where a rule asks for them and not before. On
+a bounded sample every rule's cost (time a row, over many rows and without the time of a run that does nothing) and
+selectivity (share it rejects) are estimated; rules are then tried in the order of rejections per cost, and a document
+is given up at the first rule that rejects it. Costs count in powers of two, so that noise seldom changes the order.
+The order changes the work, not the verdict.
 
 Cases: null or empty text has no words and fails the base rule. Equal rows get equal verdicts. An empty table
 gives an empty result. Columns are read by name: doc_id and text; others, whatever their names, are kept by
@@ -11,7 +13,9 @@ gives an empty result. Columns are read by name: doc_id and text; others, whatev
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,8 @@ from .common import discard, let, materialise
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 500
+#: How often each row of the sample is taken to tell costs.
+REPEATS = 8
 #: The sample is taken from this share of rows, dealt by hash, in thousandths; all rows are used where it finds none.
 SAMPLE_PER_MILLE = 20
 
@@ -62,18 +68,49 @@ def text_stats(text: Column) -> Column:
     return F.struct(let(words_of(text), by_words).alias("w"), let(lines, by_lines).alias("l"), F.regexp_count(safe, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
 
 
-def default_rules() -> dict[str, Column]:
-    """The rules of the cascade, by name: true where a document is rejected. They see text and the columns of the statistics."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+Figure = Callable[[str], Column]
+Rule = Callable[[Figure], Column]
+
+
+def _matches(pattern: str) -> Rule:
+    return lambda f: F.regexp_count(f("text"), F.lit(pattern))
+
+
+def default_rules() -> dict[str, Rule]:
+    """The rules of the cascade, by name: true where a document is rejected, from its figures."""
     return {
-        "symbols": F.col("n_symbols") > F.col("n_words"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")),
-        "dup_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
-        "shouting": 3 * F.regexp_count(text, F.lit("!!")) > F.col("n_words"),
-        "letters": 2 * F.regexp_count(text, F.lit(r"\p{L}")) < F.col("word_chars"),
+        "symbols": lambda f: f("n_symbols") > f("n_words"),
+        "word_length": lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 25 * f("n_words")),
+        "dup_lines": lambda f: 2 * f("n_dup_lines") > f("n_lines"),
+        "shouting": lambda f: 3 * _matches("!!")(f) > f("n_words"),
+        "letters": lambda f: 2 * _matches(r"\p{L}")(f) < f("word_chars"),
     }
 
 
+#: The two parts of the base rule.
+BASE: dict[str, Rule] = {"few_words": lambda f: f("n_words") < 50, "repeated_words": lambda f: 100 * f("n_repeat_words") > 50 * f("n_words")}
+
+
+def known_figures() -> Figure:
+    """Figures that are columns."""
+    return lambda name: F.coalesce(F.col("text"), F.lit("")) if name == "text" else F.col(name)
+
+
+def asked_figures(text: Column, words: Column) -> Figure:
+    """Figures computed where they are asked for, from a text and its words."""
+    safe = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(safe, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return {
+        "text": safe,
+        "n_words": F.size(words),
+        "word_chars": F.length(F.concat_ws("", words)),
+        "n_symbols": F.regexp_count(safe, F.lit("[#*$%&|<>]")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": _repeated(words, F.size(words)),
+    }.__getitem__
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
     """docs with the base figures and base_failed."""
     out = docs.withColumn("_stats", text_stats(F.col("text")))
@@ -84,43 +121,55 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def order_rules(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of rules by rejections per second, estimated on a sample of at most sample_rows rows."""
+def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of rules by rejections per cost, estimated on a sample of at most sample_rows rows, each taken REPEATS times."""
     few = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1000)) < SAMPLE_PER_MILLE).limit(sample_rows)
-    sample = materialise(with_stats(few.unionByName(docs.select("text").limit(20))))
-    rejects = sample.agg(*[F.avg(F.coalesce(r, F.lit(False)).cast("double")).alias(k) for k, r in rules.items()]).first()
-    rate = {}
-    for k, r in rules.items():
+    sample = materialise(few.unionByName(docs.select("text").limit(20)))
+    many = sample.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).repartition(2)
+    many = materialise(many.select("text"))
+
+    def rejected(rule: Rule) -> Column:
+        return let(words_of(F.col("text")), lambda w: F.coalesce(rule(asked_figures(F.col("text"), w)), F.lit(False)))
+
+    def taken(each: Column) -> tuple[float, float]:
         began = time.perf_counter()
-        sample.agg(F.sum(r.cast("int"))).first()
-        rate[k] = (rejects[k] or 0.0) / (time.perf_counter() - began)
-    discard(sample)
+        share = many.agg(F.avg(each.cast("double"))).first()[0]
+        return share or 0.0, time.perf_counter() - began
+
+    nothing = let(words_of(F.col("text")), lambda w: F.size(w) < 0)
+    taken(nothing)  # code is compiled and files are read
+    idle = min(taken(nothing)[1] for _ in range(2))
+    rate = {}
+    for k, rule in rules.items():
+        share, seconds = taken(rejected(rule))
+        rate[k] = share / 2.0 ** round(math.log2(max(seconds - idle, 0.002)))
+    discard(sample, many)
     return sorted(rules, key=lambda k: (-rate[k], k))
 
 
-def cascade(rules: dict[str, Column], order: list[str]) -> Column:
+def cascade(rules: dict[str, Rule], order: list[str], figure: Figure) -> Column:
     """The first rule that rejects, null if none does; CASE stops at the first hit, so later rules are not computed."""
-    out = F.when(F.col("base_failed"), "base")
+    out = None
     for k in order:
-        out = out.when(rules[k], k)
-    return out
+        out = F.when(rules[k](figure), k) if out is None else out.when(rules[k](figure), k)
+    return out if out is not None else F.lit(None).cast("string")
 
 
-def quality_rules(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: dict[str, Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base figures, base_failed, kept and the rejecting rule of every document."""
     rules = rules or default_rules()
     order = order_rules(docs, rules, sample_rows)
-    out = with_stats(docs.select(F.col("doc_id"), "text")).withColumn("rule", cascade(rules, order))
+    rule = F.when(F.col("base_failed"), "base").otherwise(cascade(rules, order, known_figures()))
+    out = with_stats(docs.select(F.col("doc_id"), "text")).withColumn("rule", rule)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rule").isNull().alias("kept"), "rule")
 
 
-def filter_quality(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    rules = rules or default_rules()
+def filter_quality(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """The documents that no rule rejects, with their own columns. The base rule's two parts are rules of the cascade too, and
+    a document that a cheap rule rejects costs no more than that rule."""
+    rules = BASE | (rules or default_rules())
     order = order_rules(docs, rules)
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    return with_stats(whole).where(cascade(rules, order).isNull()).select("_row.*")
+    return docs.where(let(words_of(F.col("text")), lambda w: cascade(rules, order, asked_figures(F.col("text"), w)).isNull()))
 
 
 ORACLE = r"""

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.llm import entry, license_scan, quality_rules, shuffle_shards
 from loomgrid.llm.shuffle_shards import FeistelShuffle
@@ -68,9 +69,11 @@ def test_order_changes_work_not_verdicts(spark):
     stated = quality_rules.with_stats(docs.select("doc_id", "text"))
     verdicts = []
     for order in (list(rules), list(rules)[::-1]):
-        out = stated.select("doc_id", quality_rules.cascade(rules, order).isNull().alias("k"))
+        out = stated.select("doc_id", quality_rules.cascade(rules, order, quality_rules.known_figures()).isNull().alias("k"))
         verdicts.append(sorted((r.doc_id, r.k) for r in out.collect()))
-    assert verdicts[0] == verdicts[1]
+        asked = quality_rules.let(quality_rules.words_of(F.col("text")), lambda w: quality_rules.cascade(rules, order, quality_rules.asked_figures(F.col("text"), w)).isNull())
+        verdicts.append(sorted((r.doc_id, r.k) for r in docs.select("doc_id", asked.alias("k")).collect()))
+    assert all(v == verdicts[0] for v in verdicts)
     assert sorted(quality_rules.order_rules(docs, rules)) == sorted(rules)
 
 
