@@ -12,11 +12,11 @@ drawn side by side, and each draw is from its exact conditional: up to EXACT cus
 that from the table of a model of fewer customers, scaled, which moves their mean by a hundredth at most. After BURN sweeps, SAMPLES are kept; a token's
 probability is the mean of its predictive probabilities under them. Discounts and strengths are parameters.
 
-How it is spread: texts become chunks of word numbers, written once. Contexts, with their dishes, and words belong
+How it is spread: words are numbered by shards from their hashes, and texts become chunks of word numbers. Contexts, with their dishes, and words belong
 to shards by hash; the dishes of contexts that hold a large share of all tokens are dealt by the pair. Chunks ask
 shards for the pairs they hold, shards tell each other customers and parent probabilities, and shards answer
 chunks. All messages are packed arrays; the driver sees a few numbers a shard and the contexts of a large share. Words
-are 64-bit hashes: among ten million words two collide with a probability of 3e-6.
+are told apart by 64-bit hashes: among ten million words two collide with a probability of 3e-6.
 
 Cases: null and empty texts have the end token alone. Without training documents, V and N are 0 and every token
 has the base probability of the unknown. Equal rows are scored apart and alike. A null doc_id has no crc32: it is not
@@ -39,7 +39,7 @@ from .language_id import crc_mod
 
 #: Discount and strength of the shared restaurant and of the contexts'.
 WORDS, CONTEXTS = (0.6, 1.0), (0.85, 1.0)
-BURN, SAMPLES = 3, 3
+BURN, SAMPLES = 3, 4
 #: Customers up to which conditionals are read from a table of Stirling numbers.
 EXACT = 64
 #: Points at which a conditional beyond that is computed; of ranges that are wider, points between are drawn evenly.
@@ -53,12 +53,12 @@ _CHUNK = "chunk long, doc_id array<long>, held array<boolean>, lens array<int>,
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Word numbers."""
-    return x.astype("<u8").tobytes()
+    """Word numbers, in ascending runs, as steps."""
+    return np.diff(x.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u8").astype(U64)
+    return np.cumsum(np.frombuffer(blob, "<u4"), dtype=np.uint32).astype(U64)
 
 
 def _u32(blob: bytes | None) -> np.ndarray:
@@ -74,12 +74,18 @@ def _bytes(x: np.ndarray, kind: str) -> bytes:
 
 
 def _dense(blob: bytes | None) -> bytes | None:
-    """A part of a message as it is sent: its length and its compressed bytes."""
-    return None if blob is None else len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+    """A part of a message as it is sent: its length and its compressed bytes, those of equal place in 32-bit numbers together."""
+    if blob is None:
+        return None
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, 4).T.tobytes()
+    return len(blob).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _open(blob: bytes | None) -> bytes | None:
-    return None if blob is None else pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    if blob is None:
+        return None
+    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes()
 
 
 def _opened(row: dict) -> dict:
@@ -198,7 +204,7 @@ def draw_rates(tables: np.ndarray, d: float, theta: float, rng: np.random.Genera
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of documents as word numbers; words are sorted hashes."""
+    """Chunks of documents: sorted hashes of their words, and which of them the tokens are."""
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, lens, toks, count = [], [], [], [], 0
@@ -208,7 +214,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             nonlocal number, count
             words, at = np.unique(np.concatenate([*toks, [END, START]]), return_inverse=True)
             at = at[:-2]
-            row = [[number], [ids[:]], [held[:]], [lens[:]], [_pack(words)], [_dense(_bytes(at, "<u4"))]]
+            row = [[number], [ids[:]], [held[:]], [lens[:]], [words.tobytes()], [_dense(_bytes(at, "<u4"))]]
             number, count = number + 1, 0
             for x in (ids, held, lens, toks):
                 x.clear()
@@ -233,13 +239,54 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, _CHUNK)
 
 
+def _hashes(chunks: DataFrame, shards: int) -> DataFrame:
+    """The hashes of chunks' words, to their shards."""
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist()):
+                h = np.frombuffer(blob, "<u8")
+                yield _rows([(r, chunk, "hashes", h[x].tobytes()) for r, x in enumerate(_deal((h % U64(shards)).astype(np.int64), shards))])
+
+    return chunks.select("chunk", "words").mapInArrow(send, _MESSAGE)
+
+
+def _number(t: pa.Table) -> pa.Table:
+    """Shard: number its words; tells chunks, and the driver how many there are and which is the start mark."""
+    r, mail = t.column("to")[0].as_py(), _mail(t)["hashes"]
+    own = [np.frombuffer(m["a"], "<u8") for m in mail]
+    words, at = np.unique(np.concatenate(own), return_inverse=True)
+    start = np.flatnonzero(words == START)
+    out = [(m["frm"], r, "numbers", _bytes(x, "<u4")) for m, x in zip(mail, np.split(at, np.cumsum([len(x) for x in own])[:-1]))]
+    return pa.Table.from_batches([_rows([*out, (r, r, "size", np.array([len(words), start[0] if len(start) else -1], "<i8").tobytes())])])
+
+
+def _numbered(chunks: DataFrame, numbers: DataFrame, shards: int, before: np.ndarray) -> DataFrame:
+    """Chunks with numbers, ascending, instead of hashes. before: the number of words of the shards before each."""
+
+    def renumber(key: object, own: pa.Table, mail: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        h = np.frombuffer(row["words"], "<u8")
+        number = np.zeros(len(h), np.int64)
+        cut = _deal((h % U64(shards)).astype(np.int64), shards)
+        for m in map(_opened, mail.to_pylist()):
+            number[cut[m["frm"]]] = before[m["frm"]] + _u32(m["a"])
+        order = np.argsort(number)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        made = {"words": _dense(_pack(number[order])), "toks": _dense(_bytes(rank[_u32(_open(row["toks"]))], "<u4"))}
+        return pa.table([pa.array([made[c]], pa.binary()) if c in made else own.column(c) for c in own.column_names], names=own.column_names)
+
+    return chunks.groupBy("chunk").cogroup(numbers.withColumnRenamed("to", "chunk").groupBy("chunk")).applyInArrow(renumber, _CHUNK)
+
+
 def _heavy(chunks: DataFrame, least: int) -> DataFrame:
     """Words and their counts in chunks of which they are a share of 1 / least or more."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             for blob, toks in zip(b.column("words").to_pylist(), b.column("toks").to_pylist()):
-                words, at = _unpack(blob), _u32(_open(toks))
+                words, at = _unpack(_open(blob)), _u32(_open(toks))
                 n = np.bincount(at, minlength=len(words))
                 big = np.flatnonzero(n * least >= len(at))
                 yield pa.RecordBatch.from_arrays([pa.array(words[big].astype(np.int64)), pa.array(n[big].astype(np.int64))], ["word", "n"])
@@ -250,21 +297,21 @@ def _heavy(chunks: DataFrame, least: int) -> DataFrame:
 class _Chunk:
     """A chunk's tokens, the word before each, and its distinct pairs."""
 
-    def __init__(self, row: dict, shards: int, hot: np.ndarray):
-        self.words = _unpack(row["words"])
+    def __init__(self, row: dict, shards: int, hot: np.ndarray, start: int):
+        self.words = _unpack(_open(row["words"]))
         self.toks = _u32(_open(row["toks"]))
         self.lens, self.held = np.array(row["lens"], np.int64), np.array(row["held"], bool)
         self.first = np.cumsum(self.lens) - self.lens
         before = np.empty_like(self.toks)
         before[1:] = self.toks[:-1]
-        before[self.first] = np.searchsorted(self.words, START)
+        before[self.first] = np.searchsorted(self.words, U64(start))
         self.before = before
         train = np.repeat(~self.held, self.lens)
         key, self.pair = np.unique((before << 32) | self.toks, return_inverse=True)
         self.u, self.w = key >> 32, key & 0xFFFFFFFF
         self.pair_count = np.bincount(self.pair[train], minlength=len(key))
         self.word_count = np.bincount(self.toks[train], minlength=len(self.words))
-        self.word_count[np.searchsorted(self.words, START)] = (~self.held).sum()
+        self.word_count[np.searchsorted(self.words, U64(start))] = (~self.held).sum()
         word_shard = (self.words % U64(shards)).astype(np.int64)
         pair_shard = _pair_shard(self.words[self.u], self.words[self.w], shards, hot)
         self.word_cut, self.pair_cut = _deal(word_shard, shards), _deal(pair_shard, shards)
@@ -283,33 +330,30 @@ def _deal(shard: np.ndarray, shards: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
 
 
-def _ask(chunks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """What chunks ask of shards: words (a, counts d), and pairs (contexts a, run lengths b, words c, counts d), and the
-    numbers of the pairs' words among c (in `a` of a third)."""
+def _ask(chunks: DataFrame, shards: int, hot: np.ndarray, start: int) -> DataFrame:
+    """What chunks ask of shards: words (a, counts d), and pairs (contexts a, run lengths b, words c, counts d)."""
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             for row in b.to_pylist():
-                x = _Chunk(row, shards, hot)
+                x = _Chunk(row, shards, hot, start)
                 for r in range(shards):
                     w, p = x.word_cut[r], x.pair_cut[r]
                     u, n = np.unique(x.u[p], return_counts=True)
-                    dish, of = np.unique(x.w[p], return_inverse=True)
                     yield _rows(
                         [
                             (r, row["chunk"], "ask_words", _pack(x.words[w]), None, None, _bytes(x.word_count[w], "<u4")),
-                            (r, row["chunk"], "ask_pairs", _pack(x.words[u]), _bytes(n, "<u4"), _pack(x.words[dish]), _bytes(x.pair_count[p], "<u4")),
-                            (r, row["chunk"], "ask_which", _bytes(of, "<u4")),
+                            (r, row["chunk"], "ask_pairs", _pack(x.words[u]), _bytes(n, "<u4"), _pack(x.words[x.w[p]]), _bytes(x.pair_count[p], "<u4")),
                         ]
                     )
 
     return chunks.mapInArrow(ask, _MESSAGE)
 
 
-def _merged_pairs(asked: list[dict], which: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _merged_pairs(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """All pairs that chunks ask for: contexts, words, counts, and each chunk's rows among them."""
     u = np.concatenate([np.repeat(_unpack(r["a"]), _u32(r["b"])) for r in asked])
-    w = np.concatenate([_unpack(r["c"])[_u32(x["a"])] for r, x in zip(asked, which)])
+    w = np.concatenate([_unpack(r["c"]) for r in asked])
     n = np.concatenate([_u32(r["d"]) for r in asked])
     order = np.lexsort((w, u))
     su, sw = u[order], w[order]
@@ -327,7 +371,7 @@ def _ascending(number: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.nd
     return np.diff(number[rows[which]], prepend=0)
 
 
-def _merge(shards: int, hot: np.ndarray):
+def _merge(shards: int, hot: np.ndarray, start: int):
     """Shard: add up what chunks counted; one table a pair. Tells the words' shards the customers, keeps pairs of two or
     more, and, for each chunk, the counts of all it asked for and which of the kept its words and pairs are."""
 
@@ -335,12 +379,12 @@ def _merge(shards: int, hot: np.ndarray):
         r, mail = t.column("to")[0].as_py(), _mail(t)
         words, at = np.unique(np.concatenate([_unpack(m["a"]) for m in mail["ask_words"]]), return_inverse=True)
         count = np.bincount(at, np.concatenate([_u32(m["d"]) for m in mail["ask_words"]]), len(words)).astype(np.int64)
-        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 8 for m in mail["ask_words"]])[:-1]))]
+        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 4 for m in mail["ask_words"]])[:-1]))]
         words, count = words[count > 0], count[count > 0]
-        token = words != START
+        token = words != U64(start)
         totals = np.array([count[token].sum(), token.sum()], "<i8")
         out = [(r, r, "words", _pack(words), None, None, _bytes(count, "<u4")), (r, r, "totals", totals.tobytes())]
-        u, w, c, back = _merged_pairs(mail["ask_pairs"], mail["ask_which"])
+        u, w, c, back = _merged_pairs(mail["ask_pairs"])
         replies += [[(r, m["frm"], "reply_pairs"), c[x], _ascending(np.cumsum(c > 1) - 1, x, c[x] > 1)] for m, x in zip(mail["ask_pairs"], back)]
         out += [(*head, _bytes(n, "<u4"), _bytes(steps, "<u4")) for head, n, steps in replies]
         u, w, c = u[c > 0], w[c > 0], c[c > 0]
@@ -449,7 +493,7 @@ def _parent(num: np.ndarray, customers: int, tables: int, known: int) -> np.ndar
 
 
 def _answer(samples: int):
-    """Shard: tells chunks, for their words, counts, c - d t and tables as contexts, and for their pairs c - d t."""
+    """Shard: tells chunks, for their words, counts, c - d t and tables as contexts, and for their pairs the mean of c - d t."""
     d = CONTEXTS[0]
 
     def answer(t: pa.Table) -> pa.Table:
@@ -458,6 +502,7 @@ def _answer(samples: int):
         num = [_f32(m["a"]) for m in mail["word_sample"]]
         context = _unpack(mail["pairs"][0]["a"])
         seats = [_u32(m["a"]) for m in mail["pair_sample"]]
+        mean = sum(seats) / len(seats)
         tables = [np.zeros(len(words), np.int64) for _ in seats]
         at = np.minimum(np.searchsorted(words, context), max(len(words) - 1, 0))
         own = words[at] == context if len(words) else np.zeros(len(context), bool)  # not those of hot contexts kept elsewhere
@@ -473,9 +518,8 @@ def _answer(samples: int):
             out.append((m["frm"], r, "words", _bytes(n, "<u4"), _bytes(v, "<f4"), _bytes(tab, "<u4")))
         for m in mail["reply_pairs"]:
             c, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
-            v = np.tile(c - d * np.minimum(c, 1), (samples, 1))
-            for s in range(samples):
-                v[s, c > 1] = c[c > 1] - d * seats[s][there]
+            v = c - d * np.minimum(c, 1)
+            v[c > 1] = c[c > 1] - d * mean[there]
             out.append((m["frm"], r, "pairs", _bytes(v, "<f4")))
         return pa.Table.from_batches([_rows(out)])
 
@@ -494,12 +538,22 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     if not n_chunks:
         return spark.createDataFrame([], _SCORES).withColumn("train_tokens", F.lit(0).cast("long"))
     shards = max(8, math.ceil(tokens / SHARD_TOKENS))
-    # a word of a share of 1 / (2 shards) is listed by chunks with half of its tokens at least; such lists hold 4 shards words at most
-    hot = np.array(sorted(r["word"] for r in _heavy(chunks, 4 * shards).where(F.col("n") * (4 * shards) >= tokens).collect()), np.int64).astype(U64)
-
     def by_shard(rows: DataFrame, f) -> DataFrame:
         return rows.repartition(shards, "to").groupBy("to").applyInArrow(f, _MESSAGE)
 
+    numbers = materialise(by_shard(_hashes(chunks, shards), _number))
+    sizes = np.zeros((shards, 2), np.int64)
+    for m in numbers.where(F.col("kind") == "size").select("to", "a").collect():  # two numbers a shard
+        sizes[m["to"]] = np.frombuffer(_open(m["a"]), "<i8")
+    before = np.cumsum(sizes[:, 0]) - sizes[:, 0]
+    if sizes[:, 0].sum() >= 1 << 32:
+        raise ValueError("more than 2**32 words")
+    start = int(before[int(START) % shards] + sizes[int(START) % shards, 1])
+    hashed, chunks = chunks, materialise(_numbered(chunks, numbers.where(F.col("kind") == "numbers"), shards, before))
+    discard(hashed, numbers)
+    # a word of a share of 1 / (2 shards) is listed by chunks with half of its tokens at least; such lists hold 4 shards words at most
+    hot = np.array(sorted(r["word"] for r in _heavy(chunks, 4 * shards).where(F.col("n") * (4 * shards) >= tokens).collect()), np.int64).astype(U64)
+
     def hot_tables(rows: DataFrame) -> dict[int, int]:
         """Tables of the contexts dealt by the pair, added up over shards: 4 shards numbers at most."""
 
@@ -511,13 +565,13 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
         if not len(hot):
             return {}
         sums = rows.where(F.col("kind") == "hot").select("a", "b").mapInArrow(opened, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        return {r["word"] % (1 << 64): r["n"] for r in sums.collect()}
+        return {r["word"]: r["n"] for r in sums.collect()}
 
     def added(rows: DataFrame, kind: str, numbers: str) -> list:
         """Sums of a few numbers a shard."""
         return np.sum([np.frombuffer(_open(m["a"]), numbers) for m in rows.where(F.col("kind") == kind).select("a").collect()], axis=0).tolist()
 
-    merged = materialise(by_shard(_ask(chunks, shards, hot), _merge(shards, hot)))
+    merged = materialise(by_shard(_ask(chunks, shards, hot, start), _merge(shards, hot, start)))
     train, known = added(merged, "totals", "<i8")
     kind = F.col("kind")
     settled = materialise(by_shard(merged.where(kind.isin("words", "customers")), _settle))
@@ -543,6 +597,7 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
             kept += [up.where(kind == "word_sample"), down.where(kind == "pair_sample")]
             sums.append((customers, tables, hot_now))
     discard(settled)
+    spark._jvm.System.gc()
     told = lasting
     for x in kept:
         told = told.unionByName(x)
@@ -551,16 +606,16 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
 
     def score(key: object, own: pa.Table, mail: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        x = _Chunk(row, shards, hot)
+        x = _Chunk(row, shards, hot, start)
         got = {(m["frm"], m["kind"]): _opened(m) for m in mail.to_pylist()}
         n_w, n_p = len(x.words), len(x.u)
-        count, num, tab, val = np.zeros(n_w, np.int64), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_p))
+        count, num, tab, val = np.zeros(n_w, np.int64), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_w)), np.zeros(n_p)
         for r in range(shards):
             m, at = got[r, "words"], x.word_cut[r]
             count[at] = _u32(m["a"])
             num[:, at] = _f32(m["b"]).reshape(SAMPLES, -1)
             tab[:, at] = _u32(m["c"]).reshape(SAMPLES, -1)
-            val[:, x.pair_cut[r]] = _f32(got[r, "pairs"]["a"]).reshape(SAMPLES, -1)
+            val[x.pair_cut[r]] = _f32(got[r, "pairs"]["a"])
         prob = np.zeros(n_p)
         for s, (customers, tables, hot_tab) in enumerate(sums):
             for w, n in hot_tab.items():
@@ -568,7 +623,7 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
                 if i < n_w and x.words[i] == U64(w):
                     tab[s, i] = n
             p = _parent(num[s], customers, tables, known)
-            prob += (val[s] + (theta + d * tab[s][x.u]) * p[x.w]) / (theta + count[x.u])
+            prob += (val + (theta + d * tab[s][x.u]) * p[x.w]) / (theta + count[x.u])
         by_token = np.log10(prob / SAMPLES)[x.pair]
         c = count[x.toks]
         base = np.log10((c + 1) / (train + known + 1))

@@ -186,8 +186,9 @@ def test_null_ids_train(spark):
 
 
 def test_pack_of_words():
-    x = np.array([0, 1, (1 << 64) - 1, 123456789012], np.uint64)
-    assert pitman_yor._unpack(pitman_yor._pack(x)).tolist() == x.tolist()
+    x = np.array([0, 1, (1 << 32) - 1, 123456789, 7, 7], np.uint64)
+    assert pitman_yor._unpack(pitman_yor._open(pitman_yor._dense(pitman_yor._pack(x)))).tolist() == x.tolist()
+    assert pitman_yor._open(pitman_yor._dense(b"")) == b""
 
 
 def long_texts():
