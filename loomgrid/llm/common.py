@@ -47,6 +47,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+class Tables:
+    """Tables that a computation writes on its way; `result` keeps the last one and deletes the others."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.made.append(materialise(df))
+        return self.made[-1]
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = materialise(df)
+        discard(*self.made)
+        self.made.clear()
+        return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by `materialise` that nothing reads any more."""
     for df in tables:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, materialise, mix64, text_bytes, word_hashes
+from .common import U64, Tables, batches, materialise, mix64, text_bytes, word_hashes
 from .components import connected_components
 
 TREES, LEVELS, DEPTH = 20, 6, 4
@@ -339,37 +339,42 @@ def _with_sizes(apart: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
-    rows = materialise(signatures(docs, k))
+    tables = Tables()
+    rows = tables.hold(signatures(docs, k))
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = materialise(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = tables.hold(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     total = classes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * TREES // 400_000))
 
-    found = materialise(_find_pairs(_labels(classes), parts))
+    found = tables.hold(_find_pairs(_labels(classes), parts))
     columns = ["a", "b", "same", "taken", "leader", "whole"]
     leaders = found.where(F.col("kind") == _LEADER).select("label", F.col("a").alias("rep"), "n")
     again = _find_pairs(leaders, parts).where(F.col("kind") == _PAIR).withColumn("whole", F.lit(False))
     pairs = found.where(F.col("kind") == _PAIR).select(*columns).unionByName(again.select(*columns)).where("a <> b")
-    pairs = materialise(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
+    pairs = tables.hold(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
     in_split = found.where(F.col("kind") == _MEMBER).select("region", F.col("a").alias("rep"))
 
     shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
     clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     ends = pairs.select(F.explode(F.array("a", "b", "leader")).alias("rep")).unionAll(in_split.select("rep")).distinct()
-    texts = materialise(_only(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), materialise(ends)))
-    best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
-    links = materialise(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
+    texts = tables.hold(_only(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), tables.hold(ends)))
+    best = tables.hold(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
+    links = tables.hold(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
     labels = connected_components(links)
-    asked = _groups(pairs, labels, in_split)
+    tables.made.append(labels)
+    asked = _groups(tables, pairs, labels, in_split)
     if not asked.isEmpty():
-        links = links.unionByName(materialise(_ask(_plausible(asked, classes, percent), texts, k, percent)))
+        met = _plausible(asked, classes, percent)
+        tables.made.append(met)
+        links = links.unionByName(tables.hold(_ask(met, texts, k, percent)))
         labels = connected_components(links)
+        tables.made.append(labels)
     reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "n", "component_id")
     lone = rows.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(lone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return tables.result(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -388,9 +393,9 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return few.join(ids.hint("merge"), "rep", "left_semi")
 
 
-def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFrame:
+def _groups(tables: Tables, pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFrame:
     """Who asks whom: kind and id of a group, rep, its component, and whether it asks the group or is a member of it."""
-    apart = materialise(_with_sizes(_apart(pairs, labels), labels).select("b", "taken", "leader", "c_a", "c_b", "s_a", "s_b"))
+    apart = tables.hold(_with_sizes(_apart(pairs, labels), labels).select("b", "taken", "leader", "c_a", "c_b", "s_a", "s_b"))
     first_smaller = F.col("s_a") <= F.col("s_b")
     smaller, larger = F.when(first_smaller, F.col("c_a")).otherwise(F.col("c_b")), F.when(first_smaller, F.col("c_b")).otherwise(F.col("c_a"))
     facing = apart.select(smaller.alias("component"), larger.alias("g")).distinct()
@@ -400,7 +405,7 @@ def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFra
 
     regions = labelled(in_split)
     largest = regions.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
-    outside = materialise(regions.join(largest, "region").where("component <> largest"))
+    outside = tables.hold(regions.join(largest, "region").where("component <> largest"))
 
     nodes = every.unionAll(alone(facing, "component")).distinct()
     asks_component = facing.join(nodes, "component").select("g", "rep", "component").unionAll(outside.select(F.col("largest").alias("g"), "rep", "component")).distinct()
@@ -413,7 +418,7 @@ def _groups(pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFra
         for df, asks in ((asking, True), (being, False)):
             some = df.select(F.lit(kind).alias("kind"), "g", "rep", "component", F.lit(asks).alias("asks"))
             out = some if out is None else out.unionAll(some)
-    return materialise(out)
+    return tables.hold(out)
 
 
 def _plausible(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, batches, materialise, mix64, text_bytes
+from .common import U64, Tables, batches, mix64, text_bytes
 
 #: Vectors of a list that centroids are made for, and the most centroids: these and their graph are broadcast.
 LIST, MOST_LISTS = 100, 8192
@@ -197,7 +197,7 @@ _SEARCH = "query_id long, rank int, vec_id long, score double"
 
 def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row of table (vec_id, embedding) that `query` selects."""
-    spark = table.sparkSession
+    spark, tables = table.sparkSession, Tables()
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("e"), query.alias("asks")).where(_valid(F.col("e")) & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -212,11 +212,11 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
             names = [c for c in b.schema.names if c != "e"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([x.tobytes() for x in v], pa.binary())], [*names, "v"])
 
-    once = materialise(once.select("k1", "k2", "vec_id", "asks", "e").mapInArrow(packed, "k1 long, k2 long, vec_id long, asks boolean, v binary"))
+    once = tables.hold(once.select("k1", "k2", "vec_id", "asks", "e").mapInArrow(packed, "k1 long, k2 long, vec_id long, asks boolean, v binary"))
     rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
-    members = materialise(once.select("k1", "k2", "vec_id").withColumn("r", rank).where(F.col("r") <= k + 1))
+    members = tables.hold(once.select("k1", "k2", "vec_id").withColumn("r", rank).where(F.col("r") <= k + 1))
     first = members.where("r = 1").select("k1", "k2", "vec_id")
-    classes = materialise(once.join(first, ["k1", "k2", "vec_id"]).select("k1", "k2", F.col("vec_id").alias("rep"), "v"))
+    classes = tables.hold(once.join(first, ["k1", "k2", "vec_id"]).select("k1", "k2", F.col("vec_id").alias("rep"), "v"))
     n = classes.count()
 
     lists = max(1, min(MOST_LISTS, n // LIST))
@@ -248,7 +248,7 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
 
         return run
 
-    postings = materialise(classes.select("rep", "v").mapInArrow(enter, "list int, rep long, v binary"))
+    postings = tables.hold(classes.select("rep", "v").mapInArrow(enter, "list int, rep long, v binary"))
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row a list
     asking = once.where("asks").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("rep").alias("q"), "v")
 
@@ -280,7 +280,7 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
 
     def found_in(queries: DataFrame, every: bool) -> DataFrame:
         """q, score, vec_id of the k + 1 nearest rows in the lists read."""
-        probing = materialise(queries.mapInArrow(probe(every), "list int, q long, v binary, bound double"))
+        probing = tables.hold(queries.mapInArrow(probe(every), "list int, q long, v binary, bound double"))
         asks = probing.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("asking"))  # a row a list
         cut = F.broadcast(parts.join(asks, "list"))  # MOST_LISTS rows at most
         both = lambda n, mine: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(mine)
@@ -293,9 +293,9 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
         rows = hits.join(ids, "rep").join(members.drop("r"), ["k1", "k2"]).select("q", "score", "vec_id")
         return rows.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
 
-    found = materialise(found_in(asking, False))
+    found = tables.hold(found_in(asking, False))
     full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k)  # one of the k + 1 is the query itself
-    lacking = materialise(asking.join(full.select("q"), "q", "left_anti"))
+    lacking = tables.hold(asking.join(full.select("q"), "q", "left_anti"))
     if not lacking.isEmpty():
         found = found.join(lacking.select("q"), "q", "left_anti").unionByName(found_in(lacking, True))  # MOST_LISTS probes a query at most
     answers = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 a query
@@ -303,4 +303,4 @@ def nearest(table: DataFrame, query: Column, k: int = 10) -> DataFrame:
     asks = once.where("asks").select("k1", "k2", F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("salt"))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = asks.join(answers, ["k1", "k2", "salt"]).select("query_id", F.posexplode(own).alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return tables.result(out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")))

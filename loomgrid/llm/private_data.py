@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, text_bytes, word_hashes
+from .common import Tables, batches, discard, materialise, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
@@ -162,13 +162,15 @@ def texts_with(docs: DataFrame, told: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame | None:
     """key and the hashes of disclosing terms of all texts that have some, of whatever entity; None if nothing discloses."""
+    tables = Tables()
     total = found.count()
     held = found.where(F.size("entities") > 0)
     per_text = held.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("private_text").alias("text"))
-    per_text = materialise(per_text)
+    per_text = tables.hold(per_text)
     entities = per_text.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_e"))
-    entities = materialise(entities.where(F.col("texts") >= support).drop("texts"))
+    entities = tables.hold(entities.where(F.col("texts") >= support).drop("texts"))
     if entities.isEmpty():
+        discard(*tables.made)
         return None
     asked = per_text.select("key", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity").groupBy("key").agg(F.collect_set("entity").alias("entities"))  # the entities of one text
 
@@ -179,9 +181,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
             row = pa.array(np.repeat(np.arange(len(terms)), size))
             yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("copies").take(row), pa.array(np.concatenate(terms) if len(terms) else np.zeros(0, np.int64))], ["key", "copies", "term"])
 
-    near = materialise(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key string, copies long, term long"))
+    near = tables.hold(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key string, copies long, term long"))
     both = near.join(asked, "key").select("key", "copies", "term", F.explode("entities").alias("entity"))
-    pairs = materialise(both.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    pairs = tables.hold(both.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +210,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     told = pairs.join(entities, "entity").join(n_t, "term")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    told = materialise(told.where((known > 0) & (pmi >= alpha * known)).select("term").distinct())
-    return None if told.isEmpty() else materialise(texts_with(docs, told))
+    told = tables.hold(told.where((known > 0) & (pmi >= alpha * known)).select("term").distinct())
+    if told.isEmpty():
+        discard(*tables.made)
+        return None
+    return tables.result(texts_with(docs, told))
 
 
 def all_spans(text: str, terms: list[int] | None) -> list[tuple[str, int, int]]:
