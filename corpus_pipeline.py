@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.llm import language_id, near_duplicates, packing, private_data, quality_rules
-from loomgrid.llm.common import materialise, read_table
+from loomgrid.llm.common import discard, materialise, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +40,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", pack)]
 
-#: Trained classifiers, sketches and tokenizers are beyond SQL; tests hold the pipeline against a plain version.
+#: Trained classifiers, sketches and tokenizers are beyond SQL; tests hold each stage against a plain version of its decision.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
