@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, batches, materialise, mix64, text_bytes, word_hashes
+from .common import U64, Tables, batches, mix64, text_bytes, word_hashes
 from .components import connected_components
 
 TREES, LEVELS, DEPTH = 20, 6, 4
@@ -57,8 +57,8 @@ LOOKS, DECIDE, FLAG = 47, 35, 20
 _SMALL = 24
 #: Members of a group that those who ask meet in one place, and matching minima of the signature from which the sets decide (as DECIDE).
 BLOCK, ASKED = 1500, 78
-#: Tasks over which rows of one group are joined.
-SALTS = 32
+#: Groups of more than a block that are broadcast; beyond that, tasks over which rows of one group are joined.
+MOST_LARGE, SALTS = 50_000, 32
 #: Bits of the bitmap that keeps texts nobody asks for from being moved.
 BITMAP = 1 << 23
 
@@ -133,7 +133,7 @@ def _labels(classes: DataFrame) -> DataFrame:
 def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What is to be decided in groups of classes (gid sorted), and which rows led others.
 
-    Of each pair: class, class, matches, whether the first took the second, the leader, the second's row. In regions that
+    Of each pair: class, class, matches, whether the first took the second, the leader. In regions that
     were told apart or cut (rows in `split`) only what leaders take is told, as there everyone else asks.
     """
     m = len(gid)
@@ -154,7 +154,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split
         decide = (same >= DECIDE) & sizes_allow(rows, pivot, 8) & (rows != pivot)
         taken = decide & (same >= LOOKS)
         decide &= taken | ~split[rows]
-        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64), rep[pivot[decide]], rows[decide]]))
+        out.append(np.stack([rep[pivot[decide]], rep[rows[decide]], same[decide], taken[decide].astype(np.int64), rep[pivot[decide]]]))
         free[rows[taken]] = False
         free[pivot] = False
         led[pivot[decide]] = True
@@ -167,7 +167,7 @@ def _lead(gid: np.ndarray, rep: np.ndarray, n: np.ndarray, sk: np.ndarray, split
                 best = match.argmax(axis=1)
                 top = match[np.arange(len(some)), best]
                 good = top >= DECIDE
-                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good], np.zeros(int(good.sum()), np.int64), np.full(int(good.sum()), rep[p]), some[good]]))
+                out.append(np.stack([rep[mine[best[good]]], rep[some[good]], top[good], np.zeros(int(good.sum()), np.int64), np.full(int(good.sum()), rep[p])]))
 
     for s, e in zip(start[big], stop[big]):
         while len(left := rows[s:e][free[s:e]]):
@@ -246,7 +246,7 @@ def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarra
         yield *joined(), open_first, True
 
 
-_FOUND = "kind int, a long, b long, same long, taken long, leader long, whole boolean, region long, n long, label binary"
+_FOUND = "kind int, a long, b long, same long, taken long, leader long, region long, n long, label binary"
 _PAIR, _MEMBER, _LEADER = 0, 1, 2
 
 
@@ -271,7 +271,7 @@ def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
             now, ask = at, group[at]
             while len(now):
                 found, leads = _lead(ask, rep[now], n[now], label[now][:, 1 + DEPTH :], split[now])
-                pairs.append(np.concatenate([found[:5], ~split[now][found[5]][None]]))
+                pairs.append(found)
                 led[now] = leads
                 left = now[leads & split[now]]
                 if len(left) >= len(now):
@@ -291,7 +291,6 @@ def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
                     pa.array(np.repeat(np.array([_PAIR, _MEMBER, _LEADER], np.int32), [m, k, j])),
                     pa.array(np.concatenate([found[0], rep[member], rep[lead]])),
                     *(some(found[i], k, j) for i in range(1, 5)),
-                    some(found[5].astype(bool), k, j),
                     pa.array(np.concatenate([np.zeros(m, np.int64), own[member], own[lead]])),
                     pa.array(np.concatenate([np.zeros(m + k, np.int64), n[lead]])),
                     label_of,
@@ -322,20 +321,6 @@ def _decide(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs whose ends are in different components, with these."""
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
-
-
-def _with_sizes(apart: DataFrame, labels: DataFrame) -> DataFrame:
-    size = labels.groupBy("component").agg(F.count("*").alias("size"))
-    of = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
-    both = apart.join(of("a"), "c_a", "left").join(of("b"), "c_b", "left")
-    return both.withColumns({"s_a": F.coalesce("s_a", F.lit(1)), "s_b": F.coalesce("s_b", F.lit(1))})
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
@@ -347,29 +332,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * TREES // 400_000))
 
     found = tables.hold(_find_pairs(_labels(classes), parts))
-    columns = ["a", "b", "same", "taken", "leader", "whole"]
+    columns = ["a", "b", "same", "taken", "leader"]
     leaders = found.where(F.col("kind") == _LEADER).select("label", F.col("a").alias("rep"), "n")
-    again = _find_pairs(leaders, parts).where(F.col("kind") == _PAIR).withColumn("whole", F.lit(False))
+    again = _find_pairs(leaders, parts).where(F.col("kind") == _PAIR)
     pairs = found.where(F.col("kind") == _PAIR).select(*columns).unionByName(again.select(*columns)).where("a <> b")
-    pairs = tables.hold(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken"), F.max("whole").alias("whole")))
+    pairs = tables.hold(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken")))
     in_split = found.where(F.col("kind") == _MEMBER).select("region", F.col("a").alias("rep"))
 
-    shared = named.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("c")).where("c > 1").select("doc_id")  # rows that repeat a doc_id
-    clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    own = F.struct("f1", "f2")
+    shared = tables.hold(named.groupBy("doc_id").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").select("doc_id"))  # ids of different rows
 
     ends = pairs.select(F.explode(F.array("a", "b", "leader")).alias("rep")).unionAll(in_split.select("rep")).distinct()
     texts = tables.hold(_only(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), tables.hold(ends)))
     best = tables.hold(pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")))
-    links = tables.hold(_decide(best, texts, k, percent).unionByName(clash.where("a <> b")))
+    links = tables.hold(_decide(best, texts, k, percent))
+    if not shared.isEmpty():
+        clash = named.join(shared, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(tables.hold(clash.where("a <> b")))
     labels = connected_components(links)
     tables.made.append(labels)
-    asked = _groups(tables, pairs, labels, in_split)
+    placed = tables.hold(classes.select("rep", "n", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    asked = _groups(tables, pairs, placed.select("rep", "component"), in_split)
     if not asked.isEmpty():
-        met = _plausible(asked, classes, percent)
-        tables.made.append(met)
-        links = links.unionByName(tables.hold(_ask(met, texts, k, percent)))
-        labels = connected_components(links)
-        tables.made.append(labels)
+        met = tables.hold(_plausible(tables, asked, placed, percent))
+        more = tables.hold(_ask(met, texts, k, percent))
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
+            tables.made.append(labels)
     reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "n", "component_id")
     lone = rows.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -393,42 +382,46 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return few.join(ids.hint("merge"), "rep", "left_semi")
 
 
-def _groups(tables: Tables, pairs: DataFrame, labels: DataFrame, in_split: DataFrame) -> DataFrame:
-    """Who asks whom: kind and id of a group, rep, its component, and whether it asks the group or is a member of it."""
-    apart = tables.hold(_with_sizes(_apart(pairs, labels), labels).select("b", "taken", "leader", "c_a", "c_b", "s_a", "s_b"))
+def _groups(tables: Tables, pairs: DataFrame, placed: DataFrame, in_split: DataFrame) -> DataFrame:
+    """Who asks whom: kind and id of a group, rep, and whether it asks the group or is a member of it. placed: rep, component."""
+    of = lambda side: placed.select(F.col("rep").alias(side), F.col("component").alias(f"c_{side}"))
+    apart = tables.hold(pairs.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").select("b", "taken", "leader", "c_a", "c_b"))
+    size = placed.groupBy("component").agg(F.count("*").alias("size"))
+    sized = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
     first_smaller = F.col("s_a") <= F.col("s_b")
     smaller, larger = F.when(first_smaller, F.col("c_a")).otherwise(F.col("c_b")), F.when(first_smaller, F.col("c_b")).otherwise(F.col("c_a"))
-    facing = apart.select(smaller.alias("component"), larger.alias("g")).distinct()
-    every = labels.select(F.col("node").alias("rep"), "component")
-    alone = lambda df, c: df.select(F.col(c).alias("rep"), F.col(c).alias("component"))  # noqa: E731  a class without links is its own component
-    labelled = lambda df: df.join(every, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    facing = apart.select("c_a", "c_b").distinct().join(sized("a"), "c_a").join(sized("b"), "c_b").select(smaller.alias("component"), larger.alias("g"))
 
-    regions = labelled(in_split)
+    regions = in_split.join(placed, "rep")
     largest = regions.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
     outside = tables.hold(regions.join(largest, "region").where("component <> largest"))
 
-    nodes = every.unionAll(alone(facing, "component")).distinct()
-    asks_component = facing.join(nodes, "component").select("g", "rep", "component").unionAll(outside.select(F.col("largest").alias("g"), "rep", "component")).distinct()
-    members = asks_component.select("g").distinct().join(every.unionAll(alone(asks_component, "g")).distinct().withColumn("g", F.col("component")), "g").select("g", "rep", "component")
-    failed = apart.where("taken > 0").select(F.col("leader").alias("g"), F.col("b").alias("rep")).distinct()
-    through = pairs.join(failed.select(F.col("g").alias("leader")).distinct(), "leader", "left_semi").select(F.col("leader").alias("g"), F.explode(F.array("a", "b", "leader")).alias("rep")).distinct()
-    own = outside.select(F.col("region").alias("g"), "rep", "component").distinct()
+    asks = tables.hold(facing.join(placed, "component").select("g", "rep").unionAll(outside.select(F.col("largest").alias("g"), "rep")))
+    members = asks.select(F.col("g").alias("component")).distinct().join(placed, "component").select(F.col("component").alias("g"), "rep")
+    failed = apart.where("taken > 0").select(F.col("leader").alias("g"), F.col("b").alias("rep"))
+    through = pairs.join(failed.select(F.col("g").alias("leader")).distinct(), "leader", "left_semi").select(F.col("leader").alias("g"), F.explode(F.array("a", "b", "leader")).alias("rep"))
+    own = outside.select(F.col("region").alias("g"), "rep")
     out = None
-    for kind, asking, being in ((0, asks_component, members), (1, labelled(failed), labelled(through)), (2, own, own)):
-        for df, asks in ((asking, True), (being, False)):
-            some = df.select(F.lit(kind).alias("kind"), "g", "rep", "component", F.lit(asks).alias("asks"))
+    for kind, asking, being in ((0, asks, members), (1, failed, through), (2, own, own)):
+        for df, flag in ((asking, True), (being, False)):
+            some = df.select(F.lit(kind).alias("kind"), "g", "rep", F.lit(flag).alias("asks"))
             out = some if out is None else out.unionAll(some)
-    return tables.hold(out)
+    return tables.hold(out.distinct())
 
 
-def _plausible(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _plausible(tables: Tables, asked: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Those who ask and the members they meet, by block, wherever their signatures leave a link open. A group's members are
     dealt into blocks; each block sees all who ask, as signatures."""
-    parts = asked.where("NOT asks").groupBy("kind", "g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group may have very many rows
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    there = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    told = asked.join(classes.select("rep", "n", "sig").hint("merge"), "rep").join(parts, ["kind", "g", "salt"]).withColumn("part", F.explode(there))
+    large = asked.where("NOT asks").groupBy("kind", "g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    large = tables.hold(large.select("kind", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    if large.count() <= MOST_LARGE:
+        cut = asked.join(F.broadcast(large), ["kind", "g"], "left")
+    else:  # a group may have very many rows
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cut = asked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salts, ["kind", "g", "salt"], "left")
+    parts = F.coalesce("parts", F.lit(1))
+    there = F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))
+    told = cut.join(placed.hint("merge"), "rep").withColumn("part", F.explode(there))
     least = ASKED * percent // 80
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +464,7 @@ def _plausible(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     ready = told.select(F.xxhash64("kind", "g", "part").alias("bucket"), "asks", "rep", "component", "n", "sig")
     many = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return materialise(ready.repartition(many, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(meet, "bucket long, asks boolean, rep long, component long"))
+    return ready.repartition(many, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(meet, "bucket long, asks boolean, rep long, component long")
 
 
 def _ask(met: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
