@@ -73,6 +73,12 @@ class _Encoded:
 
     __hash__ = None
 
+    @classmethod
+    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> _Encoded:
+        """A batch of rows of (column, value)."""
+        flat = [x for r in rows for x in r]
+        return cls.of_cells(np.array([len(r) for r in rows], np.int64), np.array([c for c, _ in flat], np.int64), np.array([v for _, v in flat], float), cols)
+
     def size(self) -> int:
         return len(self.write())
 
@@ -96,11 +102,10 @@ class Dense(_Encoded):
         self.rows, self.cols = x.shape
 
     @classmethod
-    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> Dense:
-        x = np.zeros((len(rows), cols))
-        for i, row in enumerate(rows):
-            for c, v in row:
-                x[i, c] = v
+    def of_cells(cls, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, cols: int) -> Dense:
+        """A batch of rows of so many cells, end to end; of repeated columns the last counts."""
+        x = np.zeros((len(sizes), cols))
+        x[np.repeat(np.arange(len(sizes)), sizes), at] = values
         return cls(x)
 
     @classmethod
@@ -140,8 +145,8 @@ class DenseDictionary(Dense):
         self.rows, self.cols = ids.shape
 
     @classmethod
-    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> DenseDictionary:
-        x = Dense.of(rows, cols).x
+    def of_cells(cls, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, cols: int) -> DenseDictionary:
+        x = Dense.of_cells(sizes, at, values, cols).x
         values, ids = first_seen(x.reshape(-1))
         return cls(ids.reshape(x.shape), values)
 
@@ -178,12 +183,8 @@ class Sparse(_Encoded):
         self.row = np.repeat(np.arange(self.rows), sizes)
 
     @classmethod
-    def _parts(cls, rows: list[list[tuple[int, float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([len(r) for r in rows], np.int64), np.array([c for r in rows for c, _ in r], np.int64), np.array([v for r in rows for _, v in r], float)
-
-    @classmethod
-    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> Sparse:
-        return cls(cols, *cls._parts(rows))
+    def of_cells(cls, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, cols: int) -> Sparse:
+        return cls(cols, sizes, at, values)
 
     @classmethod
     def read(cls, data: bytes) -> Sparse:
@@ -230,8 +231,7 @@ class SparseDictionary(Sparse):
         self.ids = ids
 
     @classmethod
-    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> SparseDictionary:
-        sizes, at, values = cls._parts(rows)
+    def of_cells(cls, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, cols: int) -> SparseDictionary:
         table, ids = first_seen(values)
         return cls(cols, sizes, at, ids, table)
 
@@ -273,10 +273,12 @@ class Logical(_Encoded):
         return self._nodes
 
     @classmethod
-    def of(cls, rows: list[list[tuple[int, float]]], cols: int) -> Logical:
-        pairs, codes, nodes = lzw.encode(rows)
-        flat = np.array([c for r in codes for c in r], np.int64)
-        return cls(cols, np.array([c for c, _ in pairs], np.int64), np.array([v for _, v in pairs], float), np.array([len(r) for r in codes], np.int64), flat, nodes)
+    def of_cells(cls, sizes: np.ndarray, at: np.ndarray, values: np.ndarray, cols: int) -> Logical:
+        table, which = first_seen(values)
+        pairs, ids = first_seen(at * max(1, len(table)) + which)
+        pair_cols, pair_values = np.divmod(pairs, max(1, len(table)))
+        codes, counts, nodes = lzw.encode_ids(ids, sizes, len(pairs))
+        return cls(cols, pair_cols, table[pair_values], counts, codes, nodes)
 
     @classmethod
     def read(cls, data: bytes) -> Logical:

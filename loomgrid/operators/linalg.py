@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .codecs import codec, encode
+from .codecs import codec
 
 
 def range_table(spark: SparkSession, n: int, name: str) -> DataFrame:
@@ -86,17 +86,23 @@ def encode_batches(rows: DataFrame, name: str, num_cols: int, keys: tuple[str, .
 
     A batch is a group and bounded by its size; LZW is sequential within it and batches are encoded in parallel.
     """
-    codec(name)
+    cls = codec(name)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("row_in_batch")
-        rows = [[(c["col"], c["val"]) for c in r] for r in t.column("cells").to_pylist()]
+        lists = t.column("cells").combine_chunks()
+        flat = lists.flatten()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, values = flat.field("col").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("val").to_numpy(zero_copy_only=False).astype(float)
         if name in ("logicalfoc", "toc"):
-            rows = [sorted(r) for r in rows]
-            if any(a == b for r in rows for (a, _), (b, _) in zip(r, r[1:])):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((at, row))
+            at, values = at[order], values[order]
+            if ((at[1:] == at[:-1]) & (row[1:] == row[:-1])).any():
                 raise ValueError("a row names a column twice")
         out = {k: t.column(k).slice(0, 1) for k in keys}
-        out |= {"num_rows": pa.array([t.num_rows], pa.int32()), "payload": pa.array([encode(name, rows, num_cols)], pa.binary()), "labels": pa.array([t.column("label").to_pylist()], pa.list_(pa.int32()))}
+        payload = cls.of_cells(sizes, at, values, num_cols).write()
+        out |= {"num_rows": pa.array([t.num_rows], pa.int32()), "payload": pa.array([payload], pa.binary()), "labels": pa.array([t.column("label").to_pylist()], pa.list_(pa.int32()))}
         return pa.table(out)
 
     kind = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)

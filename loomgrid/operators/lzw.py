@@ -5,30 +5,37 @@ from __future__ import annotations
 import numpy as np
 
 
+def encode_ids(ids: np.ndarray, sizes: np.ndarray, initial: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of rows of so many initial pairs each, end to end, the number of codes of each row, and the number of nodes."""
+    longer: dict[int, int] = {}
+    nodes, codes, counts, at = initial, [], [], 0
+    pairs = ids.tolist()
+    for size in sizes.tolist():
+        before = len(codes)
+        if size:
+            match = pairs[at]
+            for pair in pairs[at + 1 : at + size]:
+                key = match * initial + pair
+                grown = longer.get(key)
+                if grown is None:
+                    codes.append(match)
+                    longer[key] = nodes
+                    nodes += 1
+                    match = pair
+                else:
+                    match = grown
+            codes.append(match)
+            at += size
+        counts.append(len(codes) - before)
+    return np.array(codes, np.int64), np.array(counts, np.int64), nodes
+
+
 def encode(rows: list[list[tuple[int, float]]]) -> tuple[list[tuple[int, float]], list[list[int]], int]:
     """Initial pairs in order of first appearance, the codes of each row, and the number of nodes."""
-    pairs = list(dict.fromkeys((int(c), float(v)) for row in rows for c, v in row))
-    number = {p: i for i, p in enumerate(pairs)}
-    longer: dict[tuple[int, int], int] = {}
-    nodes, codes = len(pairs), []
-    for row in rows:
-        out: list[int] = []
-        match = None
-        for c, v in row:
-            nxt = number[int(c), float(v)]
-            if match is None:
-                match = nxt
-            elif (grown := longer.get((match, nxt))) is not None:
-                match = grown
-            else:
-                out.append(match)
-                longer[match, nxt] = nodes
-                nodes += 1
-                match = nxt
-        if match is not None:
-            out.append(match)
-        codes.append(out)
-    return pairs, codes, nodes
+    number: dict[tuple[int, float], int] = {}
+    ids = [number.setdefault((int(c), float(v)), len(number)) for row in rows for c, v in row]
+    codes, counts, nodes = encode_ids(np.array(ids, np.int64), np.array([len(r) for r in rows], np.int64), len(number))
+    return list(number), [x.tolist() for x in np.split(codes, np.cumsum(counts)[:-1])] if len(counts) else [], nodes
 
 
 class Nodes:
