@@ -142,7 +142,7 @@ def test_scores_are_those_of_a_plain_sampler(spark, monkeypatch):
     rng = random.Random(6)
     texts = [[rng.randint(2, 4) * rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(60)]
     want = seated(texts, *pitman_yor.WORDS, *pitman_yor.CONTEXTS, 400, 50, rng)
-    monkeypatch.setattr(pitman_yor, "SAMPLES", 20)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 12)
     docs = table(spark, [" ".join(f"w{x}" for x in t) for t in texts])
     got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(docs, held=F.lit(False)).collect()}
     off = np.array([(got[i] - w) / (len(texts[i]) + 1) for i, w in enumerate(want)])
