@@ -162,3 +162,25 @@ def test_packing_does_not_depend_on_partitions(spark):
         return sorted(sorted((r.doc_id, r.length) for r in x.near) for x in got.groupBy("sequence_id").agg(F.collect_list(F.struct("doc_id", "length")).alias("near")).collect())
 
     assert shared(1) == shared(5)
+
+
+def test_clustered_queries_read_few_lists():
+    """20,000 clustered rows: recall by brute force, and the share of lists that a query reads."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((150, 24)) * 3
+    x = centres[rng.integers(0, 150, 20_000)] + rng.standard_normal((20_000, 24))
+    lists = len(x) // posting_lists.LIST
+    sample = x[rng.permutation(len(x))[: posting_lists.SAMPLE * lists]]
+    c = posting_lists.balanced_centroids(sample, lists)
+    graph = posting_lists.CentroidGraph(c, float(np.median(posting_lists._squares(sample, c).min(1) ** 0.5)))
+    graph.fit_pruning(sample, 10)
+    q = x[:200]
+    row, at = graph.probes(q)
+    entered, where = graph.entries(x)
+    hits = 0
+    for i in range(len(q)):
+        d = ((x - q[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = set(np.argsort(d, kind="stable")[:10].tolist())
+        hits += len(near & set(entered[np.isin(where, at[row == i])].tolist()))
+    assert hits / 2000 > 0.95 and len(row) / len(q) / lists < 0.15
