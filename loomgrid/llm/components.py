@@ -14,7 +14,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each step replaces a node's links by links to its least neighbour; minima are pre-aggregated and joined back,
     so that a node with very many links is not gathered in one task. Steps are written to the shared folder.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
     for done in range(rounds):
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

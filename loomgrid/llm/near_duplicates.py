@@ -10,14 +10,14 @@ takes, in each part of it as many as that part needs.
 
 Inside a region a leader (the class nearest to the region's most usual signature) is compared by a sketch, the rest of
 the label, with all classes not yet taken; those that look linked are taken, and the next leader is chosen from the
-rest. So a region of g copies yields about g pairs, not g * g. Leaders of regions that had to be told apart, or that a
-task's edge cuts, meet again at the least depth at which few enough are left. A class near a leader (FLAG) that it does
+rest. So a region of g copies yields about g pairs, not g * g. Leaders of regions that had to be told apart meet again
+at the least depth at which few enough are left. A class near a leader (FLAG) that it does
 not take is paired with the nearest of those it took: by the triangle inequality of the Jaccard distance, whoever is
 linked to one of them is near the leader. Pairs are decided on the full sets, first each class's best one. Then some
 classes ask: they are compared with all members of a group, in blocks, by their whole signatures, and where these leave
 it open on the full sets; only links are told:
 
-- where two components had a pair that was not confirmed, the classes of the smaller ask the larger;
+- where two components had a pair that was not confirmed, the classes of one ask the other;
 - a class that a leader took without being linked to it asks all that were paired through that leader;
 - in a region of DEPTH that was told apart or cut, classes outside its largest component ask that component and one
   another.
@@ -55,8 +55,8 @@ SKETCH = LABEL - DEPTH
 #: Matching levels from which a pair looks linked, is to be decided, or is near: 0.8, and 0.8 and 0.6 less four standard deviations.
 LOOKS, DECIDE, FLAG = 47, 35, 20
 _SMALL = 24
-#: Members of a group that those who ask meet in one place, and matching minima of the signature from which the sets decide (as DECIDE).
-BLOCK, ASKED = 1500, 78
+#: Members of a group and those who ask that meet in one place, and matching minima of the signature from which the sets decide (as DECIDE).
+BLOCK, ASKERS, ASKED = 1500, 20_000, 78
 #: Groups of more than a block that are broadcast; beyond that, tasks over which rows of one group are joined.
 MOST_LARGE, SALTS = 50_000, 32
 #: Bits of the bitmap that keeps texts nobody asks for from being moved.
@@ -246,12 +246,12 @@ def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarra
         yield *joined(), open_first, True
 
 
-_FOUND = "kind int, a long, b long, same long, taken long, leader long, region long, n long, label binary"
-_PAIR, _MEMBER, _LEADER = 0, 1, 2
+_FOUND = "kind int, a long, b long, same long, taken long, leader long, region long"
+_PAIR, _MEMBER = 0, 1
 
 
 def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
-    """Of each region: pairs (a leads b); members (a) of the regions of DEPTH that were told apart or cut; leaders (a) of those cut."""
+    """Of each region: pairs (a leads b), and members (a) of the regions of DEPTH that were told apart or cut."""
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, rep, n, before, after in _parts(it):
@@ -267,12 +267,11 @@ def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
             at = np.flatnonzero((size > 1) | split)
             if not len(at):
                 continue
-            pairs, led = [], np.zeros(len(own), bool)
+            pairs = []
             now, ask = at, group[at]
             while len(now):
                 found, leads = _lead(ask, rep[now], n[now], label[now][:, 1 + DEPTH :], split[now])
                 pairs.append(found)
-                led[now] = leads
                 left = now[leads & split[now]]
                 if len(left) >= len(now):
                     break
@@ -282,18 +281,15 @@ def _find_pairs(labels: DataFrame, parts: int) -> DataFrame:
                     deeper = np.zeros(len(own), bool)
                     deeper[now] = apart
             found = np.concatenate(pairs, axis=1)
-            member, lead = np.flatnonzero(split), np.flatnonzero(led & cut)
-            m, k, j = found.shape[1], len(member), len(lead)
-            some = lambda x, *empty: pa.array(np.concatenate([x, *(np.zeros(e, x.dtype) for e in empty)]))
-            label_of = pa.array([None] * (m + k) + [x.tobytes() for x in label[lead]], pa.binary())
+            member = np.flatnonzero(split)
+            m, k = found.shape[1], len(member)
+            some = lambda x: pa.array(np.concatenate([x, np.zeros(k, x.dtype)]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(np.array([_PAIR, _MEMBER, _LEADER], np.int32), [m, k, j])),
-                    pa.array(np.concatenate([found[0], rep[member], rep[lead]])),
-                    *(some(found[i], k, j) for i in range(1, 5)),
-                    pa.array(np.concatenate([np.zeros(m, np.int64), own[member], own[lead]])),
-                    pa.array(np.concatenate([np.zeros(m + k, np.int64), n[lead]])),
-                    label_of,
+                    pa.array(np.repeat(np.array([_PAIR, _MEMBER], np.int32), [m, k])),
+                    pa.array(np.concatenate([found[0], rep[member]])),
+                    *(some(found[i]) for i in range(1, 5)),
+                    pa.array(np.concatenate([np.zeros(m, np.int64), own[member]])),
                 ],
                 [f.split()[0] for f in _FOUND.split(", ")],
             )
@@ -333,9 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     found = tables.hold(_find_pairs(_labels(classes), parts))
     columns = ["a", "b", "same", "taken", "leader"]
-    leaders = found.where(F.col("kind") == _LEADER).select("label", F.col("a").alias("rep"), "n")
-    again = _find_pairs(leaders, parts).where(F.col("kind") == _PAIR)
-    pairs = found.where(F.col("kind") == _PAIR).select(*columns).unionByName(again.select(*columns)).where("a <> b")
+    pairs = found.where(F.col("kind") == _PAIR).select(*columns).where("a <> b")
     pairs = tables.hold(pairs.groupBy("a", "b", "leader").agg(F.max("same").alias("same"), F.max("taken").alias("taken")))
     in_split = found.where(F.col("kind") == _MEMBER).select("region", F.col("a").alias("rep"))
 
@@ -351,15 +345,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.unionByName(tables.hold(clash.where("a <> b")))
     labels = connected_components(links)
     tables.made.append(labels)
-    placed = tables.hold(classes.select("rep", "n", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    placed = tables.hold(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    reps = placed.select("f1", "f2", F.col("component").alias("component_id"))
     asked = _groups(tables, pairs, placed.select("rep", "component"), in_split)
     if not asked.isEmpty():
-        met = tables.hold(_plausible(tables, asked, placed, percent))
+        met = tables.hold(_plausible(tables, asked, placed.select("rep", "n", "sig", "component"), percent))
         more = tables.hold(_ask(met, texts, k, percent))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
             tables.made.append(labels)
-    reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+            reps = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "n", "component_id")
     lone = rows.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(lone)
@@ -386,11 +381,7 @@ def _groups(tables: Tables, pairs: DataFrame, placed: DataFrame, in_split: DataF
     """Who asks whom: kind and id of a group, rep, and whether it asks the group or is a member of it. placed: rep, component."""
     of = lambda side: placed.select(F.col("rep").alias(side), F.col("component").alias(f"c_{side}"))
     apart = tables.hold(pairs.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").select("b", "taken", "leader", "c_a", "c_b"))
-    size = placed.groupBy("component").agg(F.count("*").alias("size"))
-    sized = lambda side: size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}"))
-    first_smaller = F.col("s_a") <= F.col("s_b")
-    smaller, larger = F.when(first_smaller, F.col("c_a")).otherwise(F.col("c_b")), F.when(first_smaller, F.col("c_b")).otherwise(F.col("c_a"))
-    facing = apart.select("c_a", "c_b").distinct().join(sized("a"), "c_a").join(sized("b"), "c_b").select(smaller.alias("component"), larger.alias("g"))
+    facing = apart.select(F.greatest("c_a", "c_b").alias("component"), F.least("c_a", "c_b").alias("g")).distinct()
 
     regions = in_split.join(placed, "rep")
     largest = regions.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
@@ -411,16 +402,19 @@ def _groups(tables: Tables, pairs: DataFrame, placed: DataFrame, in_split: DataF
 
 def _plausible(tables: Tables, asked: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Those who ask and the members they meet, by block, wherever their signatures leave a link open. A group's members are
-    dealt into blocks; each block sees all who ask, as signatures."""
-    large = asked.where("NOT asks").groupBy("kind", "g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-    large = tables.hold(large.select("kind", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    dealt into blocks and those who ask into turns; each block sees each turn, as signatures."""
+    ask, be = F.count(F.when(F.col("asks"), 1)), F.count(F.when(~F.col("asks"), 1))
+    large = asked.groupBy("kind", "g").agg(ask.alias("a"), be.alias("m")).where((F.col("m") > BLOCK) | (F.col("a") > ASKERS))
+    large = tables.hold(large.select("kind", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("a") / ASKERS).cast("int").alias("turns")))
     if large.count() <= MOST_LARGE:
         cut = asked.join(F.broadcast(large), ["kind", "g"], "left")
     else:  # a group may have very many rows
         salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         cut = asked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salts, ["kind", "g", "salt"], "left")
-    parts = F.coalesce("parts", F.lit(1))
-    there = F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))
+    parts, turns = F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("turns", F.lit(1)), F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n, of: F.transform(F.sequence(F.lit(0), n - 1), of)
+    there = F.when(F.col("asks"), each(parts, lambda p: F.struct(p.alias("p"), own(turns).alias("t")))).otherwise(each(turns, lambda t: F.struct(own(parts).alias("p"), t.alias("t"))))
     told = cut.join(placed.hint("merge"), "rep").withColumn("part", F.explode(there))
     least = ASKED * percent // 80
 
@@ -462,7 +456,7 @@ def _plausible(tables: Tables, asked: DataFrame, placed: DataFrame, percent: int
         if wanted.any():
             yield done()
 
-    ready = told.select(F.xxhash64("kind", "g", "part").alias("bucket"), "asks", "rep", "component", "n", "sig")
+    ready = told.select(F.xxhash64("kind", "g", "part.p", "part.t").alias("bucket"), "asks", "rep", "component", "n", "sig")
     many = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return ready.repartition(many, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(meet, "bucket long, asks boolean, rep long, component long")
 

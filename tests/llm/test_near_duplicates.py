@@ -163,6 +163,7 @@ def test_cut_and_crowded_regions(spark, monkeypatch):
     monkeypatch.setattr(near, "HELD", 30)
     monkeypatch.setattr(near, "REGION", 12)
     monkeypatch.setattr(near, "BLOCK", 25)
+    monkeypatch.setattr(near, "ASKERS", 10)
     rows = list(enumerate(texts))
     assert result(near.near_duplicates(table(spark, rows), 2)) == brute(rows, 2)
 
