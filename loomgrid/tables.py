@@ -19,7 +19,7 @@ def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder shared by driver and executors: spark.checkpoint.dir. Where that is unset, a folder of our own
     if all runs on this machine (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = root or _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='loomgrid-')}")
     return f"{root.rstrip('/')}/loomgrid/{uuid.uuid4().hex}"
