@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, batches, discard, materialise, text_bytes, word_hashes
@@ -85,6 +85,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _key() -> Column:
+    """What tells texts apart: SHA-256, null for a null text."""
+    return F.unhex(F.sha2("text", 256)).alias("key")
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -111,7 +116,7 @@ def terms_of(text: str, taken: list[tuple[str, int, int]]) -> tuple[np.ndarray,
     return h[free].astype(np.int64), [places[i] for i in free]
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, key string, entities array<long>, private_text string"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, key binary, entities array<long>, private_text string"
 
 
 def find_patterns(docs: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def find_patterns(docs: DataFrame) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "key", "entities", "private_text"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.sha2("text", 256).alias("key")).mapInArrow(find, _FOUND)
+    return docs.select(F.col("doc_id").cast("long"), "text", _key()).mapInArrow(find, _FOUND)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -141,27 +146,39 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def texts_with(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """key and those of the terms told (distinct) that the text has, for the texts that have some: a bitmap, then an exact join."""
+_PLACES = "array<struct<start:int,end:int>>"
+
+
+def places_of(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """key and the places (code points, in order) of the terms told (distinct), for the texts that have some outside patterns:
+    a bitmap, then an exact join. Texts stay where they are; of those that the bitmap lets through, hashes and places move."""
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(told))
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sent.value).astype(bool)
         for b in batches(it):
             h, first = word_hashes(*text_bytes(b.column("text")))
-            h = h.astype(np.int64)
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            some = bits[h & (BITMAP - 1)]
-            doc, h = np.unique(np.stack([doc[some], h[some]]), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), pa.array(h)], ["key", "term"])
-
-    may = docs.select("text", F.sha2("text", 256).alias("key")).mapInArrow(ask, "key string, term long").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
+            row, term, places = [], [], []
+            for i in np.unique(doc[bits[h.astype(np.int64) & (BITMAP - 1)]]).tolist():
+                text = b.column("text")[i].as_py()
+                own, at = terms_of(text, base_spans(text))
+                by_term: dict[int, list[dict]] = {}
+                for k in np.flatnonzero(bits[own & (BITMAP - 1)]).tolist():
+                    by_term.setdefault(int(own[k]), []).append({"start": at[k][0], "end": at[k][1]})
+                row += [i] * len(by_term)
+                term += by_term
+                places += by_term.values()
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row, pa.int64())), pa.array(term, pa.int64()), pa.array(places, kind)], ["key", "term", "places"])
+
+    may = docs.select("text", _key()).mapInArrow(ask, f"key binary, term long, places {_PLACES}").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
     asked = told.select("term", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))  # a term may be in many texts
-    return may.join(asked, ["term", "salt"]).groupBy("key").agg(F.collect_set("term").alias("terms"))  # terms of one text
+    return may.join(asked, ["term", "salt"]).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))  # places in one text
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame | None:
-    """key and the hashes of disclosing terms of all texts that have some, of whatever entity; None if nothing discloses."""
+    """key and the places of disclosing terms of all texts that have some, of whatever entity; None if nothing discloses."""
     tables = Tables()
     total = found.count()
     held = found.where(F.size("entities") > 0)
@@ -181,7 +198,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
             row = pa.array(np.repeat(np.arange(len(terms)), size))
             yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("copies").take(row), pa.array(np.concatenate(terms) if len(terms) else np.zeros(0, np.int64))], ["key", "copies", "term"])
 
-    near = tables.hold(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key string, copies long, term long"))
+    near = tables.hold(per_text.select("key", "copies", "text").join(asked.select("key"), "key").mapInArrow(words, "key binary, copies long, term long"))
     both = near.join(asked, "key").select("key", "copies", "term", F.explode("entities").alias("entity"))
     pairs = tables.hold(both.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
@@ -214,16 +231,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     if told.isEmpty():
         discard(*tables.made)
         return None
-    return tables.result(texts_with(docs, told))
-
-
-def all_spans(text: str, terms: list[int] | None) -> list[tuple[str, int, int]]:
-    """Patterns, then the words of the text that are among the terms."""
-    out = base_spans(text)
-    if terms:
-        h, places = terms_of(text, out)
-        out += [("term", *places[i]) for i in np.flatnonzero(np.isin(h, np.array(terms, np.int64)))]
-    return out
+    return tables.result(places_of(docs, told))
 
 
 def private_data(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
@@ -233,18 +241,10 @@ def private_data(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA)
     terms = disclosing_terms(docs, found, support, alpha)
     if terms is None:
         return found.select(*names, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
-    plain = found.join(terms, "key", "left_anti").select(*names, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_term"))
-
-    def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            every = [all_spans(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("terms").to_pylist())]
-            base = [[s for s in x if s[0] != "term"] for x in every]
-            counts = [pa.array([sum(s[0] == k for s in x) for x in every], pa.int64()) for k in (*KINDS, "term")]
-            sha = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts[:-1], pa.array(sha, pa.string()), pa.array([joined(x) for x in every], pa.string()), counts[-1]], [*names, "spans", "n_term"])
-
-    held = docs.select(F.col("doc_id").cast("long"), "text", F.sha2("text", 256).alias("key")).join(terms, "key").select("doc_id", "text", "terms")
-    return plain.unionByName(held.mapInArrow(spans, plain.schema))
+    none = F.array().cast("array<string>")
+    spans = F.concat(F.when(F.col("base") != "", F.array("base")).otherwise(none), F.coalesce(F.transform("places", lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["end"])), none))
+    rows = found.select(*names, "base", "key").join(terms, "key", "left")  # no texts
+    return rows.select(*names, F.array_join(spans, ",").alias("spans"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_term"))
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -262,14 +262,14 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> D
     names = docs.columns
     found = materialise(find_patterns(docs).select("key", "entities", "private_text"))
     terms = disclosing_terms(docs, found, support, alpha)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.sha2("text", 256).alias("key"))
-    rows = rows.withColumn("terms", F.lit(None).cast("array<long>")) if terms is None else rows.join(terms, "key", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", _key())
+    rows = rows.withColumn("places", F.lit(None).cast(_PLACES)) if terms is None else rows.join(terms, "key", "left")
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            texts = [t and replaced(t, all_spans(t, x)) for t, x in zip(b.column("text").to_pylist(), b.column("terms").to_pylist())]
+            texts = [t and replaced(t, base_spans(t) + [("term", p["start"], p["end"]) for p in x or []]) for t, x in zip(b.column("text").to_pylist(), b.column("places").to_pylist())]
             row = b.column("row")
             columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select("row", "text", "terms").mapInArrow(clean, docs.schema)
+    return rows.select("row", "text", "places").mapInArrow(clean, docs.schema)

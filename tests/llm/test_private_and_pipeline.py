@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from loomgrid.llm import language_id, packing
 from loomgrid.llm import private_data as private
-from loomgrid.llm.common import public_tokenizer
+from loomgrid.llm.common import materialise, public_tokenizer
 
 from .fixtures import WORD, empty, odd_texts, sentence, table
 from .test_near_duplicates import brute
@@ -97,6 +97,31 @@ def test_terms_are_found_without_their_entity(spark):
     assert not any("zorbulon" in (t or "").lower() for t in clean.values())
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Where terms disclose, rows of all documents meet their terms without their texts."""
+    monkeypatch.setattr(private, "materialise", lambda df: held(df))
+    made = []
+
+    def held(df):
+        made.append(materialise(df))
+        return made[-1]
+
+    texts = corpus()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = private.private_data(table(spark, texts))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(made) == 1 and "Join LeftOuter" in plan
+    assert not re.search(r"\btext#|MapInArrow", plan)
+    got = {r.doc_id: r for r in out.collect()}
+    assert {i for i, r in got.items() if r.n_term} == set(range(5)) and len(got) == len(texts)
+    for i in range(5):
+        places = [m.span() for m in re.finditer(r"zorbulon|(?<!\S)reach(?!\S)|(?<!\S)me(?!\S)", texts[i])]
+        assert got[i].spans == ",".join([*(f"{k}:{a}:{b}" for k, a, b in plain(texts[i])), *(f"term:{a}:{b}" for a, b in places)])
+
+
 def told_clearly(model, text):
     near, score = model.predict(np.frombuffer(text.lower().encode(), np.uint8), np.array([0, len(text.lower().encode())]))
     return bool(regex.search(r"\p{L}", text)) and score[0] >= language_id.CLEAR
