@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -186,6 +187,13 @@ def batches(it: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[p
                 yield b
 
 
+def release_memory() -> None:
+    """Hand what the allocators keep of freed memory back, as Python workers are used again and hold it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def public_tokenizer(name: str) -> str:
     """Where a vocabulary file of the installed public tokenizers lies."""
     import public_tokenizers

@@ -26,7 +26,7 @@ held out, and trains. An empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, discard, materialise, mix64, text_bytes, word_hashes
+from .common import U64, batches, discard, materialise, mix64, release_memory, text_bytes, word_hashes
 from .language_id import crc_mod
 
 #: Discount and strength of the shared restaurant and of the contexts'.
@@ -81,10 +81,11 @@ def _dense(blob: bytes | None) -> bytes | None:
     return len(blob).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _open(blob: bytes | None) -> bytes | None:
+def _open(blob: bytes | pa.Buffer | None) -> bytes | None:
     if blob is None:
         return None
-    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    blob = memoryview(blob)
+    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd")
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes()
 
 
@@ -92,8 +93,8 @@ def _opened(row: dict) -> dict:
     return row | {c: _open(row[c]) for c in "abcd" if c in row}
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    """Messages (to, frm, kind, a, b, c, d); missing parts are null."""
+def _rows(rows: Iterable[tuple]) -> pa.RecordBatch:
+    """Messages (to, frm, kind, a, b, c, d); missing parts are null. Of a generator's, only what is sent is held."""
     full = [(*r[:3], *map(_dense, r[3:]), *[None] * (7 - len(r))) for r in rows]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, t in enumerate(kinds)], ["to", "frm", "kind", "a", "b", "c", "d"])
@@ -102,11 +103,36 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _mail(t: pa.Table) -> dict[str, list[dict]]:
     """Messages by kind, in the order of their senders."""
     out: dict[str, list[dict]] = {}
-    for r in sorted(map(_opened, t.to_pylist()), key=lambda r: r["frm"]):
-        out.setdefault(r["kind"], []).append(r)
+    frm, kind = t.column("frm").to_numpy(), t.column("kind").to_pylist()
+    for i in np.argsort(frm, kind="stable").tolist():
+        out.setdefault(kind[i], []).append({"frm": int(frm[i])} | {c: _open(t.column(c)[i].as_buffer()) for c in "abcd"})
     return out
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and which of them each is, in 32 bits."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    group = np.cumsum(new, dtype=np.uint32)
+    group -= 1
+    at = np.empty(len(x), np.uint32)
+    at[order] = group
+    return x[new], at
+
+
+def _sparing(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f of a shard; the memory it took goes back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        release_memory()
+        return out
+
+    return run
+
+
 def _stirling(d: float) -> list[np.ndarray]:
     """log of the generalised Stirling numbers: for c customers, by t - 1."""
     out = [np.zeros(0), np.zeros(1)]
@@ -164,8 +190,8 @@ def draw_tables(c: np.ndarray, rate: np.ndarray, d: float, rng: np.random.Genera
     log_rate = np.log(rate)
     for n in np.unique(c[(c >= 2) & (c <= EXACT)]):
         at = np.flatnonzero(c == n)
-        for i in range(0, len(at), 1 << 15):
-            some = at[i : i + (1 << 15)]
+        for i in range(0, len(at), 1 << 13):
+            some = at[i : i + (1 << 13)]
             w = table[n] + log_rate[some][:, None] * np.arange(1, n + 1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             t[some] = 1 + (w < rng.random(len(some))[:, None] * w[:, -1:]).sum(axis=1)
@@ -212,12 +238,15 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
         def hand_on() -> pa.RecordBatch:
             nonlocal number, count
-            words, at = np.unique(np.concatenate([*toks, [END, START]]), return_inverse=True)
-            at = at[:-2]
-            row = [[number], [ids[:]], [held[:]], [lens[:]], [words.tobytes()], [_dense(_bytes(at, "<u4"))]]
+            every = np.concatenate([*toks, [END, START]])
+            toks.clear()
+            words, at = _distinct(every)
+            row = [[number], [ids[:]], [held[:]], [lens[:]], [words.tobytes()], [_dense(_bytes(at[:-2], "<u4"))]]
             number, count = number + 1, 0
-            for x in (ids, held, lens, toks):
+            for x in (ids, held, lens):
                 x.clear()
+            del every, words, at
+            release_memory()
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["chunk", "doc_id", "held", "lens", "words", "toks"])
 
@@ -255,7 +284,7 @@ def _number(t: pa.Table) -> pa.Table:
     """Shard: number its words; tells chunks, and the driver how many there are and which is the start mark."""
     r, mail = t.column("to")[0].as_py(), _mail(t)["hashes"]
     own = [np.frombuffer(m["a"], "<u8") for m in mail]
-    words, at = np.unique(np.concatenate(own), return_inverse=True)
+    words, at = _distinct(np.concatenate(own))
     start = np.flatnonzero(words == START)
     out = [(m["frm"], r, "numbers", _bytes(x, "<u4")) for m, x in zip(mail, np.split(at, np.cumsum([len(x) for x in own])[:-1]))]
     return pa.Table.from_batches([_rows([*out, (r, r, "size", np.array([len(words), start[0] if len(start) else -1], "<i8").tobytes())])])
@@ -295,21 +324,23 @@ def _heavy(chunks: DataFrame, least: int) -> DataFrame:
 
 
 class _Chunk:
-    """A chunk's tokens, the word before each, and its distinct pairs."""
+    """A chunk's tokens and its distinct pairs of a word and the word before."""
 
     def __init__(self, row: dict, shards: int, hot: np.ndarray, start: int):
         self.words = _unpack(_open(row["words"]))
-        self.toks = _u32(_open(row["toks"]))
+        self.toks = np.frombuffer(_open(row["toks"]), "<u4")
         self.lens, self.held = np.array(row["lens"], np.int64), np.array(row["held"], bool)
         self.first = np.cumsum(self.lens) - self.lens
-        before = np.empty_like(self.toks)
-        before[1:] = self.toks[:-1]
-        before[self.first] = np.searchsorted(self.words, U64(start))
-        self.before = before
+        key = np.empty(len(self.toks), np.int64)
+        key[1:] = self.toks[:-1]
+        key[self.first] = np.searchsorted(self.words, U64(start))
+        key <<= 32
+        key |= self.toks
+        key, self.pair = _distinct(key)
+        self.u, self.w = (key >> 32).astype(np.uint32), key.astype(np.uint32)
         train = np.repeat(~self.held, self.lens)
-        key, self.pair = np.unique((before << 32) | self.toks, return_inverse=True)
-        self.u, self.w = key >> 32, key & 0xFFFFFFFF
-        self.pair_count = np.bincount(self.pair[train], minlength=len(key))
+        self.pair_count = np.bincount(self.pair[train], minlength=len(key)).astype(np.uint32)
+        del key
         self.word_count = np.bincount(self.toks[train], minlength=len(self.words))
         self.word_count[np.searchsorted(self.words, U64(start))] = (~self.held).sum()
         word_shard = (self.words % U64(shards)).astype(np.int64)
@@ -346,24 +377,18 @@ def _ask(chunks: DataFrame, shards: int, hot: np.ndarray, start: int) -> DataFra
                             (r, row["chunk"], "ask_pairs", _pack(x.words[u]), _bytes(n, "<u4"), _pack(x.words[x.w[p]]), _bytes(x.pair_count[p], "<u4")),
                         ]
                     )
+                del x
+                release_memory()
 
     return chunks.mapInArrow(ask, _MESSAGE)
 
 
 def _merged_pairs(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """All pairs that chunks ask for: contexts, words, counts, and each chunk's rows among them."""
-    u = np.concatenate([np.repeat(_unpack(r["a"]), _u32(r["b"])) for r in asked])
-    w = np.concatenate([_unpack(r["c"]) for r in asked])
-    n = np.concatenate([_u32(r["d"]) for r in asked])
-    order = np.lexsort((w, u))
-    su, sw = u[order], w[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])
-    group = np.cumsum(new) - 1
-    back = np.empty(len(u), np.int64)
-    back[order] = group
-    count = np.bincount(group, n[order]).astype(np.int64)
-    return su[new], sw[new], count, np.split(back, np.cumsum([len(r["d"]) // 4 for r in asked])[:-1])
+    key = np.concatenate([(np.repeat(_unpack(r["a"]), _u32(r["b"])) << U64(32)) | _unpack(r["c"]) for r in asked])
+    n = np.concatenate([np.frombuffer(r["d"], "<u4") for r in asked])
+    key, back = _distinct(key)
+    return key >> U64(32), key & U64(0xFFFFFFFF), np.bincount(back, n, len(key)).astype(np.int64), np.split(back, np.cumsum([len(r["d"]) // 4 for r in asked])[:-1])
 
 
 def _ascending(number: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -377,33 +402,42 @@ def _merge(shards: int, hot: np.ndarray, start: int):
 
     def merge(t: pa.Table) -> pa.Table:
         r, mail = t.column("to")[0].as_py(), _mail(t)
-        words, at = np.unique(np.concatenate([_unpack(m["a"]) for m in mail["ask_words"]]), return_inverse=True)
+        words, at = _distinct(np.concatenate([_unpack(m["a"]) for m in mail["ask_words"]]))
         count = np.bincount(at, np.concatenate([_u32(m["d"]) for m in mail["ask_words"]]), len(words)).astype(np.int64)
-        replies = [[(r, m["frm"], "reply_words"), count[x], _ascending(np.cumsum(count > 0) - 1, x, count[x] > 0)] for m, x in zip(mail["ask_words"], np.split(at, np.cumsum([len(m["a"]) // 4 for m in mail["ask_words"]])[:-1]))]
-        words, count = words[count > 0], count[count > 0]
-        token = words != U64(start)
-        totals = np.array([count[token].sum(), token.sum()], "<i8")
-        out = [(r, r, "words", _pack(words), None, None, _bytes(count, "<u4")), (r, r, "totals", totals.tobytes())]
         u, w, c, back = _merged_pairs(mail["ask_pairs"])
-        replies += [[(r, m["frm"], "reply_pairs"), c[x], _ascending(np.cumsum(c > 1) - 1, x, c[x] > 1)] for m, x in zip(mail["ask_pairs"], back)]
-        out += [(*head, _bytes(n, "<u4"), _bytes(steps, "<u4")) for head, n, steps in replies]
-        u, w, c = u[c > 0], w[c > 0], c[c > 0]
-        context, at = np.unique(u, return_inverse=True)
-        single = np.bincount(at[c == 1], minlength=len(context))
-        dish, own = np.unique(w, return_inverse=True)
-        dealt = _deal((dish % U64(shards)).astype(np.int64), shards)
-        twice = np.bincount(own[c > 1], minlength=len(dish))
-        once = np.bincount(own[c == 1], minlength=len(dish))
-        place = np.full(len(dish), -1, np.int64)  # of the dishes with pairs of two or more, in the order of shards
-        kept = np.concatenate([x[twice[x] > 0] for x in dealt])
-        place[kept] = np.arange(len(kept))
-        two = c > 1
-        out.append((r, r, "pairs", _pack(context), _bytes(single, "<u4"), np.concatenate([at[two], place[own[two]], c[two]]).astype("<u4").tobytes(), _bytes(np.array([(twice[x] > 0).sum() for x in dealt]), "<u4")))
-        for s, x in enumerate(dealt):
-            out.append((s, r, "customers", _pack(dish[x]), _bytes(once[x], "<u4"), None, _bytes(twice[x], "<u4")))
-        mine = np.isin(context, hot)
-        out.append((r, r, "hot", _pack(context[mine]), _bytes(np.bincount(at, minlength=len(context))[mine], "<u4")))
-        return pa.Table.from_batches([_rows(out)])
+        word_rows = list(zip([m["frm"] for m in mail["ask_words"]], np.split(at, np.cumsum([len(m["a"]) // 4 for m in mail["ask_words"]])[:-1])))
+        pair_rows = list(zip([m["frm"] for m in mail["ask_pairs"]], back))
+        del at, back, mail
+
+        def told() -> Iterator[tuple]:
+            nonlocal u, w, c, words, count
+            for kind, rows, n, least in (("reply_words", word_rows, count, 1), ("reply_pairs", pair_rows, c, 2)):
+                number = np.cumsum(n >= least) - 1
+                for frm, x in rows:
+                    yield r, frm, kind, _bytes(n[x], "<u4"), _bytes(_ascending(number, x, n[x] >= least), "<u4")
+                rows.clear()
+            words, count = words[count > 0], count[count > 0]
+            token = words != U64(start)
+            yield r, r, "words", _pack(words), None, None, _bytes(count, "<u4")
+            yield r, r, "totals", np.array([count[token].sum(), token.sum()], "<i8").tobytes()
+            u, w, c = u[c > 0], w[c > 0], c[c > 0]
+            context, at = _distinct(u)
+            single = np.bincount(at[c == 1], minlength=len(context))
+            dish, own = _distinct(w)
+            dealt = _deal((dish % U64(shards)).astype(np.int64), shards)
+            twice = np.bincount(own[c > 1], minlength=len(dish))
+            once = np.bincount(own[c == 1], minlength=len(dish))
+            place = np.full(len(dish), -1, np.int64)  # of the dishes with pairs of two or more, in the order of shards
+            kept = np.concatenate([x[twice[x] > 0] for x in dealt])
+            place[kept] = np.arange(len(kept))
+            two = c > 1
+            yield r, r, "pairs", _pack(context), _bytes(single, "<u4"), np.concatenate([at[two], place[own[two]], c[two]]).astype("<u4").tobytes(), _bytes(np.array([(twice[x] > 0).sum() for x in dealt]), "<u4")
+            for s, x in enumerate(dealt):
+                yield s, r, "customers", _pack(dish[x]), _bytes(once[x], "<u4"), None, _bytes(twice[x], "<u4")
+            mine = np.isin(context, hot)
+            yield r, r, "hot", _pack(context[mine]), _bytes(np.bincount(at, minlength=len(context))[mine], "<u4")
+
+        return pa.Table.from_batches([_rows(told())])
 
     return merge
 
@@ -508,20 +542,22 @@ def _answer(samples: int):
         own = words[at] == context if len(words) else np.zeros(len(context), bool)  # not those of hot contexts kept elsewhere
         for t, m in zip(tables, mail["pair_sample"]):
             t[at[own]] = _u32(m["b"])[own]
-        out = []
-        for m in mail["reply_words"]:
-            n, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
-            known = n > 0
-            v, tab = np.zeros((samples, len(n))), np.zeros((samples, len(n)), np.int64)
-            for s in range(samples):
-                v[s, known], tab[s, known] = num[s][there], tables[s][there]
-            out.append((m["frm"], r, "words", _bytes(n, "<u4"), _bytes(v, "<f4"), _bytes(tab, "<u4")))
-        for m in mail["reply_pairs"]:
-            c, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
-            v = c - d * np.minimum(c, 1)
-            v[c > 1] = c[c > 1] - d * mean[there]
-            out.append((m["frm"], r, "pairs", _bytes(v, "<f4")))
-        return pa.Table.from_batches([_rows(out)])
+
+        def told() -> Iterator[tuple]:
+            for m in mail["reply_words"]:
+                n, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
+                known = n > 0
+                v, tab = np.zeros((samples, len(n)), "<f4"), np.zeros((samples, len(n)), "<u4")
+                for s in range(samples):
+                    v[s, known], tab[s, known] = num[s][there], tables[s][there]
+                yield m["frm"], r, "words", _bytes(n, "<u4"), v.tobytes(), tab.tobytes()
+            for m in mail["reply_pairs"]:
+                c, there = _u32(m["a"]), np.cumsum(_u32(m["b"]))
+                v = c - d * np.minimum(c, 1)
+                v[c > 1] = c[c > 1] - d * mean[there]
+                yield m["frm"], r, "pairs", _bytes(v, "<f4")
+
+        return pa.Table.from_batches([_rows(told())])
 
     return answer
 
@@ -539,7 +575,7 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
         return spark.createDataFrame([], _SCORES).withColumn("train_tokens", F.lit(0).cast("long"))
     shards = max(8, math.ceil(tokens / SHARD_TOKENS))
     def by_shard(rows: DataFrame, f) -> DataFrame:
-        return rows.repartition(shards, "to").groupBy("to").applyInArrow(f, _MESSAGE)
+        return rows.repartition(shards, "to").groupBy("to").applyInArrow(_sparing(f), _MESSAGE)
 
     numbers = materialise(by_shard(_hashes(chunks, shards), _number))
     sizes = np.zeros((shards, 2), np.int64)
@@ -607,28 +643,35 @@ def pitman_yor_scores(docs: DataFrame, held: object | None = None, seed: int = 1
     def score(key: object, own: pa.Table, mail: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
         x = _Chunk(row, shards, hot, start)
-        got = {(m["frm"], m["kind"]): _opened(m) for m in mail.to_pylist()}
+        at_row = {x: i for i, x in enumerate(zip(mail.column("frm").to_pylist(), mail.column("kind").to_pylist()))}
+        part = lambda r, kind, c: _open(mail.column(c)[at_row[r, kind]].as_buffer())
         n_w, n_p = len(x.words), len(x.u)
-        count, num, tab, val = np.zeros(n_w, np.int64), np.zeros((SAMPLES, n_w)), np.zeros((SAMPLES, n_w)), np.zeros(n_p)
+        count, num, tab, val = np.zeros(n_w, np.int64), np.zeros((SAMPLES, n_w), "<f4"), np.zeros((SAMPLES, n_w), "<u4"), np.zeros(n_p)
         for r in range(shards):
-            m, at = got[r, "words"], x.word_cut[r]
-            count[at] = _u32(m["a"])
-            num[:, at] = _f32(m["b"]).reshape(SAMPLES, -1)
-            tab[:, at] = _u32(m["c"]).reshape(SAMPLES, -1)
-            val[x.pair_cut[r]] = _f32(got[r, "pairs"]["a"])
+            at = x.word_cut[r]
+            count[at] = _u32(part(r, "words", "a"))
+            num[:, at] = np.frombuffer(part(r, "words", "b"), "<f4").reshape(SAMPLES, -1)
+            tab[:, at] = np.frombuffer(part(r, "words", "c"), "<u4").reshape(SAMPLES, -1)
+            val[x.pair_cut[r]] = _f32(part(r, "pairs", "a"))
         prob = np.zeros(n_p)
         for s, (customers, tables, hot_tab) in enumerate(sums):
             for w, n in hot_tab.items():
                 i = np.searchsorted(x.words, U64(w))
                 if i < n_w and x.words[i] == U64(w):
                     tab[s, i] = n
-            p = _parent(num[s], customers, tables, known)
+            p = _parent(num[s].astype(np.float64), customers, tables, known)
             prob += (val + (theta + d * tab[s][x.u]) * p[x.w]) / (theta + count[x.u])
-        by_token = np.log10(prob / SAMPLES)[x.pair]
-        c = count[x.toks]
-        base = np.log10((c + 1) / (train + known + 1))
-        ends = lambda v: np.add.reduceat(v, x.first) if len(x.first) else np.zeros(0)
-        return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": x.lens, "n_known": ends((c > 0).astype(np.int64)), "base_score": ends(base), "score": ends(by_token)})
+        base = np.log10((count + 1) / (train + known + 1))
+        ends = lambda v, at: np.add.reduceat(v[at], x.first, dtype=v.dtype) if len(x.first) else np.zeros(0)
+        out = pa.table(
+            {
+                "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": x.lens,
+                "n_known": ends((count > 0).astype(np.int64), x.toks), "base_score": ends(base, x.toks), "score": ends(np.log10(prob / SAMPLES), x.pair),
+            }
+        )
+        del x, row, count, num, tab, val, prob, base
+        release_memory()
+        return out
 
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, _SCORES)
     return scored.withColumn("train_tokens", F.lit(train).cast("long"))

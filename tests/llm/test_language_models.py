@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,36 @@ def test_pack_of_words():
     assert pitman_yor._open(pitman_yor._dense(b"")) == b""
 
 
+def peak_of(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_chunks_and_shards():
+    """What a chunk and a shard hold at most, a token and a pair: their tasks share an executor's memory with others."""
+    n, words, none = 300_000, 40_000, np.zeros(0, np.uint64)
+    rng = np.random.default_rng(2)
+    asked, pairs = [], 0
+    for chunk in range(4):
+        toks = np.minimum(rng.integers(0, words, n), rng.integers(0, words, n))
+        row = {"chunk": chunk, "words": pitman_yor._dense(pitman_yor._pack(np.arange(words))), "toks": pitman_yor._dense(pitman_yor._bytes(toks, "<u4")), "lens": [100] * (n // 100), "held": [False] * (n // 100)}
+        x, peak = peak_of(lambda row=row: pitman_yor._Chunk(row, 1, none, 7))
+        assert peak < 70 * n and x.pair_count.sum() == n
+        u, m = np.unique(x.u, return_counts=True)
+        asked.append((0, chunk, "ask_words", pitman_yor._pack(x.words), None, None, pitman_yor._bytes(x.word_count, "<u4")))
+        asked.append((0, chunk, "ask_pairs", pitman_yor._pack(x.words[u]), pitman_yor._bytes(m, "<u4"), pitman_yor._pack(x.words[x.w]), pitman_yor._bytes(x.pair_count, "<u4")))
+        pairs += len(x.u)
+    t = pa.Table.from_batches([pitman_yor._rows(asked)])
+    del x, asked
+    out, peak = peak_of(lambda: pitman_yor._merge(1, none, 7)(t))
+    assert peak < 88 * pairs
+    got = {k: [pitman_yor._u32(pitman_yor._open(x)) for x, kind in zip(out.column("a").to_pylist(), out.column("kind").to_pylist()) if kind == k] for k in ("reply_words", "reply_pairs")}
+    assert len(got["reply_words"]) == len(got["reply_pairs"]) == 4 and all(x.sum() >= n for x in got["reply_pairs"])
+
+
 def long_texts():
     rng = random.Random(5)
     return ["a" * 700, "x" * 90 + " " * 70 + "y" * 80, "".join(rng.choice("abcdefgeinthe") for _ in range(2500)), "".join(rng.choice("the an in  ing\té中😀") for _ in range(2500)), "   lead" + " " * 33 + "  tail   ", "ing" * 400 + " " + "er" * 500, sentence(rng, 900), "中文字" * 200]
