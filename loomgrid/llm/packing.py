@@ -7,6 +7,9 @@ bins. Crossover injects the well-filled bins of one parent into the other, remov
 duplicates, and puts the displaced pieces back by best fit. In a block of many bins those that are filled well stay,
 and the others are bred. After each epoch an island's elite migrates to the
 next island of its ring. A block is done when its number of bins reaches the lower bound, ceil(sum / capacity).
+Blocks do not keep pieces apart for good: bins that are not full, the emptiest first and up to half of a block's pieces, are
+reopened and meet those of other blocks in new, fewer blocks, in which the old bins are the first individual. That goes on
+until one block is left, or until what is reopened needs as many bins as it has.
 
 Tokenising is exact and cheap by words: the tokenizer drops white space before it merges, so what stands
 between blanks is encoded once and looked up after that.
@@ -258,13 +261,32 @@ def pack_islands(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK
     tables = Tables()
     names = [c for c in pieces.columns if c != "spread"]
     alike = [F.col(c) for c in names]
+    out = [pieces.where(F.col("length") >= capacity).select(*names, (-1 - F.col("spread")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     n = pieces.where(F.col("length") < capacity).count()
-    blocks = max(1, -(-n // block))
-    full = pieces.where(F.col("length") >= capacity).select(*names, (-1 - F.col("spread")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # dealt by what they are, so that the packing is the same however rows lie; equal pieces are counted and numbered
     rest = pieces.where(F.col("length") < capacity).groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    rest = rest.withColumn("_key", F.xxhash64(*alike, "_copy")).withColumn("block", F.pmod("_key", F.lit(blocks)).cast("int"))
-    problem = rest.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_key", *names))).alias("items"))  # about `block` items
+    rest = rest.select(*names, F.xxhash64(*alike, "_copy").alias("_key"), F.lit(-1).cast("long").alias("_bin"))
+    level = 0
+    while True:
+        blocks = max(1, -(-n // block))
+        dealt = F.col("_key") if level == 0 else F.xxhash64("_bin", F.lit(level))  # bins stay whole
+        placed = _pack_blocks(rest.withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("int")), names, tables, capacity, blocks, islands, epochs, level)
+        again = placed.where("reopened")
+        n, bins, size = again.agg(F.count("*"), F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if blocks == 1 or -(-size // capacity) >= bins:
+            out.append(placed.select(*names, "sequence_id", "offset"))
+            break
+        out.append(placed.where("not reopened").select(*names, "sequence_id", "offset"))
+        rest, level = again.select(*names, "_key", F.col("sequence_id").alias("_bin")), level + 1
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return tables.result(whole)
+
+
+def _pack_blocks(rest: DataFrame, names: list[str], tables: Tables, capacity: int, blocks: int, islands: int, epochs: int, level: int) -> DataFrame:
+    """Pieces, each block packed for itself, with sequence_id, offset, _key and whether their bin is to be reopened."""
+    problem = rest.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_key", "_bin", *names))).alias("items"))  # about `block` items
     problem = problem.select("block", "items", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<binary>").alias("elites"))
     kind = problem.select("block", "island").schema.add("best", "binary").add("bins", "integer")
     state = tables.hold(problem.repartition(max(1, min(blocks * islands, 10_000)), "block", "island"))
@@ -275,14 +297,19 @@ def pack_islands(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK
                 for i in range(b.num_rows):
                     k, isle = b.column("block")[i].as_py(), b.column("island")[i].as_py()
                     sizes = np.array(b.column("sizes")[i].as_py(), np.int64)
-                    groups = Groups(sizes, capacity, int(mix64(np.array([k * 1009 + isle * 31 + epoch], U64))[0] >> U64(1)))
-                    best = groups.evolve([_blob_to_bins(x) for x in b.column("elites")[i].as_py()], POPULATION, GENERATIONS)
+                    groups = Groups(sizes, capacity, int(mix64(np.array([level * 1_000_003 + k * 1009 + isle * 31 + epoch], U64))[0] >> U64(1)))
+                    elites = [_blob_to_bins(x) for x in b.column("elites")[i].as_py()]
+                    if level and epoch == 0:
+                        old = np.unique(b.column("olds")[i].values.to_numpy(), return_inverse=True)[1]
+                        elites = [_blob_to_bins(old.astype("<i4").tobytes()), groups.fresh(0.0)]
+                    best = groups.evolve(elites, POPULATION, GENERATIONS)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int32()), pa.array([isle], pa.int32()), pa.array([_bins_to_blob(best, len(sizes))], pa.binary()), pa.array([len(best)], pa.int32())], ["block", "island", "best", "bins"]
                     )
 
         fed = state if epoch == 0 else state.drop("elites").join(elites, ["block", "island"])
-        result = tables.hold(fed.select("block", "island", F.transform("items", lambda x: x["length"]).alias("sizes"), "elites").mapInArrow(evolve, kind))
+        given = ["block", "island", F.transform("items", lambda x: x["length"]).alias("sizes"), F.transform("items", lambda x: x["_bin"]).alias("olds"), "elites"]
+        result = tables.hold(fed.select(*given).mapInArrow(evolve, kind))
         moved = result.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("guest"))
         elites = result.join(moved, ["block", "island"]).select("block", "island", F.array("best", "guest").alias("elites"))
     best = result.groupBy("block").agg(F.min(F.struct("bins", "island", "best")).alias("b")).select("block", "b.best")
@@ -299,10 +326,21 @@ def pack_islands(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK
                 first = np.concatenate([[True], np.diff(bins[order]) != 0])
                 offset = np.empty(len(bins), np.int64)
                 offset[order] = run - np.maximum.accumulate(np.where(first, run, 0))
-                ids = (b.column("block")[i].as_py() << 32) + bins
-                yield pa.RecordBatch.from_arrays([*[items.field(c) for c in names], pa.array(ids), pa.array(offset)], [*names, "sequence_id", "offset"])
+                ids = (level << 56) + (b.column("block")[i].as_py() << 32) + bins
+                columns = [*[items.field(c) for c in names], pa.array(ids), pa.array(offset), items.field("_key"), pa.array(_reopened(bins, length, capacity)[bins])]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset", "_key", "reopened"])
 
-    return tables.result(full.unionByName(placed.mapInArrow(unfold, full.schema)))
+    kind = rest.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "_key", F.lit(False).alias("reopened")).schema
+    return tables.hold(placed.mapInArrow(unfold, kind))
+
+
+def _reopened(bins: np.ndarray, length: np.ndarray, capacity: int) -> np.ndarray:
+    """For each bin, whether it is to be reopened: not full, and among the emptiest that hold up to half of the pieces."""
+    n, full = np.bincount(bins), np.bincount(bins, length)
+    order = np.argsort(full, kind="stable")
+    out = np.zeros(len(n), bool)
+    out[order] = (np.cumsum(n[order]) <= len(bins) // 2) & (full[order] < capacity)
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -164,6 +164,25 @@ def test_packing_does_not_depend_on_partitions(spark):
     assert shared(1) == shared(5)
 
 
+def test_blocks_share_what_they_leave_open(spark):
+    """Of 50 blocks each leaves bins with room; together they need hardly more than the lower bound of all."""
+    rng = random.Random(12)
+    rows = [(i, 0, 0, rng.randint(1, 700), 7, i) for i in range(4000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
+    got = packing.pack_islands(pieces, block=80).toPandas()
+    assert sorted(zip(got.doc_id, got.length)) == [(r[0], r[3]) for r in rows]
+    s = got.sort_values(["sequence_id", "offset"])
+    assert (s.offset == s.groupby("sequence_id").length.cumsum() - s.length).all() and s.groupby("sequence_id").length.sum().max() <= 2048
+    assert s.sequence_id.nunique() <= -(-s.length.sum() // 2048) + 1
+
+
+def test_pieces_that_leave_room_anyway(spark):
+    """No two fit together: as many sequences as pieces, and an end."""
+    pieces = spark.createDataFrame([(i, 0, 0, 1100 + i % 7, 7, i) for i in range(300)], "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
+    got = packing.pack_islands(pieces, block=20).toPandas()
+    assert got.sequence_id.nunique() == 300 and sorted(got.doc_id) == list(range(300))
+
+
 def test_clustered_queries_read_few_lists():
     """20,000 clustered rows: recall by brute force, and the share of lists that a query reads."""
     rng = np.random.default_rng(11)
