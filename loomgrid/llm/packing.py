@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, batches, discard, materialise, mix64, public_tokenizer
+from .common import U64, Tables, batches, discard, materialise, mix64, public_tokenizer, release_memory
 from .merges import WordMerges
 
 CAPACITY = 2048
@@ -146,6 +146,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
                 [b.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(spread)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "spread"],
             )
+        del encoder
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
 
@@ -306,6 +308,8 @@ def _pack_blocks(rest: DataFrame, names: list[str], tables: Tables, capacity: in
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int32()), pa.array([isle], pa.int32()), pa.array([_bins_to_blob(best, len(sizes))], pa.binary()), pa.array([len(best)], pa.int32())], ["block", "island", "best", "bins"]
                     )
+                    del groups, elites, best
+                    release_memory()
 
         fed = state if epoch == 0 else state.drop("elites").join(elites, ["block", "island"])
         given = ["block", "island", F.transform("items", lambda x: x["length"]).alias("sizes"), F.transform("items", lambda x: x["_bin"]).alias("olds"), "elites"]
